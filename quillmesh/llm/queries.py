@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quillmesh.llm.p1_plain_form import p1_found, p1_plain
+from quillmesh.llm.p8_encode import p8_ids
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_plain": p1_plain}
+    return {"p1_found": p1_found, "p1_plain": p1_plain, "p8_ids": p8_ids}
 
 
 def oracle_sql() -> dict[str, str]:
