@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillmesh.llm.p1_plain_form import p1_found, p1_plain
 from quillmesh.llm.p8_encode import p8_ids
+from quillmesh.llm.p9_leaks import p9_found, p9_overlaps
+from quillmesh.llm.p10_repetition import p10_found, p10_share
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_plain": p1_plain, "p8_ids": p8_ids}
+    return {"p1_found": p1_found, "p1_plain": p1_plain, "p8_ids": p8_ids, "p9_found": p9_found, "p9_overlaps": p9_overlaps, "p10_found": p10_found, "p10_share": p10_share}
 
 
 def oracle_sql() -> dict[str, str]:
