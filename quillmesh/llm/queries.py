@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillmesh.llm.p1_plain_form import p1_found, p1_plain
 from quillmesh.llm.p2_overlaps import p2_found, p2_report
+from quillmesh.llm.p5_families import p5_found
 from quillmesh.llm.p6_splits import p6_found, p6_splits
 from quillmesh.llm.p8_encode import p8_ids
 from quillmesh.llm.p9_leaks import p9_found, p9_overlaps
@@ -15,7 +16,7 @@ from quillmesh.llm.p10_repetition import p10_found, p10_share
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_plain": p1_plain, "p2_found": p2_found, "p2_report": p2_report, "p6_found": p6_found, "p6_splits": p6_splits, "p8_ids": p8_ids, "p9_found": p9_found, "p9_overlaps": p9_overlaps, "p10_found": p10_found, "p10_share": p10_share}
+    return {"p1_found": p1_found, "p1_plain": p1_plain, "p2_found": p2_found, "p2_report": p2_report, "p5_found": p5_found, "p6_found": p6_found, "p6_splits": p6_splits, "p8_ids": p8_ids, "p9_found": p9_found, "p9_overlaps": p9_overlaps, "p10_found": p10_found, "p10_share": p10_share}
 
 
 def oracle_sql() -> dict[str, str]:
