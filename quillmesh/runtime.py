@@ -106,3 +106,22 @@ def data_bytes(path: str) -> int:
     if os.path.isfile(path):
         return os.path.getsize(path)
     return sum(os.path.getsize(os.path.join(at, f)) for at, _, files in os.walk(path) for f in files)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of whole groups from batches that are sorted by their first column; the last group of a batch waits for the next."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = batch.column(0).to_numpy(zero_copy_only=False)
+        start = int(key.searchsorted(key[-1], "left"))
+        if start == 0 and held and held[-1].column(0)[-1].as_py() == key[-1]:
+            held.append(batch)
+            continue
+        ready = [*held, batch.slice(0, start)]
+        if sum(b.num_rows for b in ready):
+            yield pa.Table.from_batches(ready)
+        held = [batch.slice(start)]
+    if held:
+        yield pa.Table.from_batches(held)
