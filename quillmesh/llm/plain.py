@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import functools
 import re
-import sys
 import unicodedata
 
 import pandas as pd
@@ -53,18 +52,16 @@ def _odd_blank(ch: str) -> bool:
 def unstable_points() -> frozenset[str]:
     """Every character that may change."""
     seconds, found = set(), []
-    for p in range(0x80, sys.maxunicode + 1):
-        if 0xAC00 <= p <= 0xD7A3 or 0xD800 <= p <= 0xDFFF:
-            continue
+    # ideographs, syllables, surrogates and private or empty planes have no other form
+    points = [*range(0x80, 0x3400), *range(0xA000, 0xAC00), *range(0xD7A4, 0xD800), *range(0xF900, 0x17000), *range(0x1AFF0, 0x20000), *range(0x2F800, 0x2FA20), *range(0xE0000, 0xE01F0)]
+    for p in points:
         d = unicodedata.decomposition(chr(p))
         if d and not d.startswith("<"):
             parts = d.split()
             if len(parts) == 2:
                 seconds.add(int(parts[1], 16))
     seconds |= set(range(0x1161, 0x1176)) | set(range(0x11A8, 0x11C3))
-    for p in range(0x80, sys.maxunicode + 1):
-        if 0xAC00 <= p <= 0xD7A3 or 0xD800 <= p <= 0xDFFF:
-            continue
+    for p in points:
         ch = chr(p)
         if ch in _LINE_BREAKS:
             continue
