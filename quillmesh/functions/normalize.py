@@ -28,7 +28,7 @@ def collapse(c: Column, keep: int = 1) -> Column:
 
 def repetition_ratio(c: Column) -> Column:
     n = F.length(c)
-    return F.when(n == 0, 0.0).otherwise(F.least(F.lit(1.0), (n - F.length(collapse(c))) / n))
+    return F.when(n == 0, 0.0).when(n > 0, F.least(F.lit(1.0), (n - F.length(collapse(c))) / n))
 
 
 def blanks(c: Column) -> Column:

@@ -74,7 +74,7 @@ def flooded(c: Column) -> Column:
 
 def uppercase_ratio(c: Column) -> Column:
     n = letters(c)
-    return F.when(n == 0, 0.0).otherwise(uppercase(c) / n)
+    return F.when(n == 0, 0.0).when(n > 0, uppercase(c) / n)
 
 
 def obfuscation(c: Column) -> Column:
