@@ -1,35 +1,22 @@
-"""All general queries and their SQL."""
+"""All general queries and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from quillmesh.plans import measures, relational, search, texts
+from quillmesh.plans.registry import Query
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+_MODULES = (texts, measures, search, relational)
 
-from quillmesh.runtime import table
 
-
-def norm_profile_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Length, letters and digits of the documents by language label."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return (
-        table(spark, sf_dir, "documents")
-        .select(F.coalesce("lang", F.lit("?")).alias("lang"), F.length(text).alias("n"), F.regexp_count(text, F.lit(r"\p{L}")).alias("letters"), F.regexp_count(text, F.lit(r"\p{N}")).alias("digits"))
-        .groupBy("lang")
-        .agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("chars"), F.sum("letters").alias("letters"), F.sum("digits").alias("digits"))
-    )
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"norm_profile_by_lang": norm_profile_by_lang}
+def queries() -> dict[str, Query]:
+    found: dict[str, Query] = {}
+    for module in _MODULES:
+        clash = found.keys() & module.query.queries.keys()
+        if clash:
+            raise ValueError(f"queries named twice: {sorted(clash)}")
+        found |= module.query.queries
+    return found
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
-        "norm_profile_by_lang": r"""
-            SELECT coalesce(lang, '?') AS lang, count(*) AS docs, sum(length(coalesce(text, ''))) AS chars,
-                   sum(len(regexp_extract_all(coalesce(text, ''), '\p{L}'))) AS letters,
-                   sum(len(regexp_extract_all(coalesce(text, ''), '\p{N}'))) AS digits
-            FROM documents GROUP BY 1"""
-    }
+    return {name: sql for module in _MODULES for name, sql in module.query.sql.items()}

@@ -1 +1 @@
-"""Part of the engine; see the README for the map of modules."""
+"""Streams: stateless analysis of messages, windows over events, near-duplicates within a watermark, and upserts."""
