@@ -67,7 +67,7 @@ def choose(counts: list[tuple[int, int]], target: int) -> dict[int, int]:
         taken = {s: int(n * part) for s, n in counts}
         target -= sum(s * n for s, n in taken.items())
     reach, history = 1, []
-    limit = target + min(target, max((s for s, _ in counts if s <= target), default=0)) + 1
+    limit = 2 * target  # no sum beyond it is closer than none at all
     window = (1 << limit + 1) - 1
     for size, n in sorted(counts, reverse=True):
         n, bundle = min(n - taken.get(size, 0), limit // size), 1
@@ -100,15 +100,22 @@ def assign(records: DataFrame, shares: dict[str, float] = SHARES) -> DataFrame:
     whole = per.groupBy("group_id").agg(F.sum("n").alias("size"), F.min(F.struct((-F.col("n")).alias("n"), "category")).getField("category").alias("stratum"))
     whole = cut(whole)
     sizes = whole.groupBy("stratum", "size").agg(F.count(F.lit(1)).alias("n")).collect()  # few: see above
-    quota = []
-    for stratum in sorted({r.stratum for r in sizes}):
-        rest = {r.size: r.n for r in sizes if r.stratum == stratum}
-        total, before = sum(s * n for s, n in rest.items()), dict.fromkeys(rest, 0)
+    quota, missing = [], dict.fromkeys(shares, 0)
+    strata: dict[str, dict[int, int]] = {}
+    for r in sizes:
+        strata.setdefault(r.stratum, {})[r.size] = r.n
+    total = lambda rest: sum(s * n for s, n in rest.items())
+    # categories with large groups come first, so what they can't give exactly the others make up for
+    for stratum in sorted(strata, key=lambda k: (-max(strata[k]) / total(strata[k]), k)):
+        rest, whole_, before = strata[stratum], total(strata[stratum]), dict.fromkeys(strata[stratum], 0)
         for split, share in shares.items():
-            for size, n in choose(sorted(rest.items()), round(share * total)).items():
+            target = share * whole_ + missing[split]
+            taken = choose(sorted(rest.items()), round(target))
+            for size, n in taken.items():
                 quota.append((stratum, size, split, before[size] + 1, before[size] + n))
                 before[size] += n
                 rest[size] -= n
+            missing[split] = target - total(taken)
     places = ranked(whole, ["stratum", "size"], "group_id", name="place")
     if quota:
         frame = spark.createDataFrame(pd.DataFrame(quota, columns=["stratum", "size", "split", "low", "high"]), "stratum string, size bigint, split string, low bigint, high bigint")

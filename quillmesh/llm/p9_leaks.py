@@ -175,7 +175,7 @@ def _joined(docs: DataFrame, items: DataFrame, run: int, tolerant: bool) -> Data
 
     docs = docs.filter(F.length("text") > 0)
     left = map_batches(docs, explode, "k bigint, seed bigint").withColumnRenamed("k", "doc_id").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
-    right = map_batches(items, explode, "k bigint, seed bigint").withColumnRenamed("k", "item_id").distinct().withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("bigint"))
+    right = map_batches(items, explode, "k bigint, seed bigint").withColumnRenamed("k", "item_id").distinct().withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
     met = left.join(right, ["seed", "salt"]).select("doc_id", "item_id").distinct()
     pairs = met.join(docs.dropDuplicates(["doc_id", "text"]), "doc_id").withColumnRenamed("text", "doc").join(items.dropDuplicates(["item_id", "text"]), "item_id").select("doc_id", "item_id", "doc", "text")
 

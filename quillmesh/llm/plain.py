@@ -203,13 +203,16 @@ def plain(text: str | None) -> str | None:
     """The plain form of one text."""
     if text is None or text.isascii():
         return text
-    chars = set(text)  # the quick check: most texts end here
-    if not chars.isdisjoint(unstable_points()):
-        text = _segments().sub(_segment, text)
-        chars = set(text)
-    if not chars.isdisjoint(_letters_elsewhere()) and _mixed.search(text):
-        text = _unmix(text)
-    return text
+    while True:
+        chars = set(text)  # the quick check: most texts end here
+        if not chars.isdisjoint(unstable_points()):
+            text = _segments().sub(_segment, text)
+            chars = set(text)
+        if chars.isdisjoint(_letters_elsewhere()) or not _mixed.search(text):
+            return text
+        before, text = text, _unmix(text)
+        if text == before or set(text).isdisjoint(unstable_points()):
+            return text  # else a letter that was replaced may join the mark after it
 
 
 def is_plain(text: str | None) -> bool:
