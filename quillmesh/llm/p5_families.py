@@ -11,7 +11,9 @@ Pairs whose records are in one component already are left too, so a family of an
 Copies are one class from the start. A word that very many records hold gives not one group but one for each pair of
 blocks of its records (two blocks of ``BLOCK`` records at most), so no task holds an unbounded group.
 
-Words are 64-bit hashes for classes and 32-bit ones (the upper halves) in the groups.
+What travels is packed: the ``COMMON`` words that are most frequent in a sample are one byte each (the sample decides on
+their spelling alone), all others 32 bits of their hash, words of no second record only count, and a record is sent once
+to each partition that holds groups of it. Within groups the overlap of common words is exact in the bitmaps.
 
 Defined results: null and short texts (fewer than ``least_words`` words) belong to no family; repeated deliveries are
 one record; a word counts once in a set however often it stands in the text; order of words does not matter.
@@ -28,45 +30,59 @@ from pyspark.sql import functions as F
 
 from quillmesh.llm.common import fields
 from quillmesh.llm.components import components, look_up
-from quillmesh.llm.wordsets import binary_rows, by_rarity, count_of_level, packed, prefix_length, rarity, same_sets, split_rows, word_sets
-from quillmesh.runtime import cut, default_parallelism, map_batches
+from quillmesh.llm.plain import hash_words, words
+from quillmesh.llm.wordsets import bucket_of, binary_rows, count_of_level, packed, prefix_length, rarity, sets_of, split_rows
+from quillmesh.runtime import cut, default_parallelism, map_batches, whole_groups
 
 #: Records of one word that form a block, as estimated from the rarity table.
 BLOCK = 16_384
 LEAF, FAN = 16, 8
-_LANES = 4  # 64-bit lanes of a bitmap
+#: Words that are spelled in one byte, and the texts that they are counted in.
+COMMON, SAMPLE = 256, 4_000
+#: Word sets that a task remembers in order to send copies once.
+SEEN = 1_000_000
+_LANES = 4  # 64-bit lanes of a bitmap, for common words and again for the others
+
+
+def _bits(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A bitmap of 256 bits for each row of numbers below 256."""
+    out = np.zeros((len(sizes), 256), bool)
+    out[np.repeat(np.arange(len(sizes)), sizes), flat] = True
+    return np.packbits(out, axis=1, bitorder="little").view(np.uint64)
 
 
 class Sets:
-    """Word sets of some records: padded matrix, sizes and bitmaps."""
+    """Word sets of some records: bitmaps of common words, bitmaps and a padded matrix of the others, and sizes."""
 
-    def __init__(self, flat: np.ndarray, sizes: np.ndarray):
+    def __init__(self, n: np.ndarray, flat: np.ndarray, sizes: np.ndarray, common: np.ndarray, common_sizes: np.ndarray):
         width = int(sizes.max(initial=1))
-        self.n = sizes.astype(np.int32)
+        self.n = n.astype(np.int32)
         self.words = np.zeros((len(sizes), width), np.uint32)
         self.filled = np.arange(width)[None, :] < sizes[:, None]
         self.words[self.filled] = flat
-        row, _ = split_rows(flat, sizes)
-        bit = (flat.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(56)).astype(np.int64)
-        self.maps = np.zeros((len(sizes), _LANES), np.uint64)
-        np.bitwise_or.at(self.maps, (row, bit >> 6), np.uint64(1) << (bit & 63).astype(np.uint64))
-        self.slack = self.n - np.bitwise_count(self.maps).sum(axis=1).astype(np.int32)
+        bit = flat.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(56)
+        rare = _bits(bit.astype(np.int64), sizes)
+        self.slack = sizes.astype(np.int32) - np.bitwise_count(rare).sum(axis=1).astype(np.int32)
+        self.sizes = sizes
+        self.maps = np.concatenate([_bits(common, common_sizes), rare], axis=1)
 
     def similar(self, i: np.ndarray, j: np.ndarray, least: float) -> np.ndarray:
         """Which of the pairs (i, j) reach the similarity, bitmaps first."""
         ni, nj = self.n[i], self.n[j]
         need = np.ceil(least / (1 + least) * (ni + nj) - 1e-9)
-        room = np.bitwise_count(self.maps[i] & self.maps[j]).sum(axis=1) + np.minimum(self.slack[i], self.slack[j])
+        met = np.bitwise_count(self.maps[i] & self.maps[j]).astype(np.int32)
+        common = met[:, :_LANES].sum(axis=1)
+        room = common + np.minimum(met[:, _LANES:].sum(axis=1) + np.minimum(self.slack[i], self.slack[j]), np.minimum(self.sizes[i], self.sizes[j]))
         go = np.flatnonzero((room >= need) & (np.minimum(ni, nj) >= least * np.maximum(ni, nj) - 1e-9))
         out = np.zeros(len(i), bool)
         step = max(1, 8_000_000 // max(1, self.words.shape[1] ** 2))
         for start in range(0, len(go), step):
             k = go[start : start + step]
-            a, b = self.words[i[k]], self.words[j[k]]
-            wa, wb = int(ni[k].max()), int(nj[k].max())
-            equal = a[:, :wa, None] == b[:, None, :wb]
+            wa, wb = max(1, int(self.sizes[i[k]].max())), max(1, int(self.sizes[j[k]].max()))
+            a, b = self.words[i[k], :wa], self.words[j[k], :wb]
+            equal = a[:, :, None] == b[:, None, :]
             equal &= self.filled[i[k], :wa, None] & self.filled[j[k], None, :wb]
-            shared = equal.any(axis=2).sum(axis=1)
+            shared = common[k] + equal.any(axis=2).sum(axis=1)
             out[k] = shared >= least * (ni[k] + nj[k] - shared) - 1e-9
         return out
 
@@ -118,7 +134,7 @@ def tree_links(sets: Sets, rows: np.ndarray, forest: Forest, least: float) -> li
     def open_pairs(level: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         maps, low, high, slack = levels[level]
         need = np.ceil(least / (1 + least) * (low[a].astype(np.int64) + low[b]) - 1e-9)
-        room = np.minimum(np.bitwise_count(maps[a] & maps[b]).sum(axis=1) + np.minimum(slack[a], slack[b]), np.minimum(high[a], high[b]))
+        room = np.minimum(np.bitwise_count(maps[a] & maps[b]).sum(axis=1, dtype=np.int32) + np.minimum(slack[a], slack[b]), np.minimum(high[a], high[b]))
         go = (room >= need) & (high[b] >= least * low[a] - 1e-9) & (high[a] >= least * low[b] - 1e-9)
         return a[go], b[go]
 
@@ -166,103 +182,176 @@ def _small_pairs(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.
     return np.concatenate(i_all), np.concatenate(j_all)
 
 
-def links_of_groups(starts: np.ndarray, sizes: np.ndarray, ids: np.ndarray, flat: np.ndarray, counts: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Links inside groups of consecutive rows. A record may stand in several groups; ``ids`` tells."""
-    used = np.repeat(sizes > 1, sizes)
-    if not used.any():
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    row, begin = split_rows(flat, counts)
-    # each record once, however many groups it is in
-    unique, first, of = np.unique(ids, return_index=True, return_inverse=True)
-    pick = first
-    take = np.repeat(begin[pick], counts[pick]) + np.arange(counts[pick].sum()) - np.repeat(np.cumsum(counts[pick]) - counts[pick], counts[pick])
-    sets, forest = Sets(flat[take], counts[pick]), Forest(len(unique))
-    found = []
+def links_of_groups(key: np.ndarray, of: np.ndarray, sets: Sets, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links inside groups: record ``of[i]`` of ``sets`` stands in group ``key[i]``; keys ascend."""
+    starts = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1])
+    sizes = np.diff(np.concatenate([starts, [len(key)]]))
+    forest, found = Forest(len(sets.n)), []
     small = sizes <= LEAF
     i, j = _small_pairs(starts[small], sizes[small])
     i, j = of[i], of[j]
     if len(i):
-        pairs = np.unique(np.minimum(i, j) * len(unique) + np.maximum(i, j))
-        i, j = pairs // len(unique), pairs % len(unique)
+        pairs = np.unique(np.minimum(i, j) * len(sets.n) + np.maximum(i, j))
+        i, j = pairs // len(sets.n), pairs % len(sets.n)
         i, j = i[i != j], j[i != j]
-        hit = sets.similar(i, j, least)
+        hit = np.concatenate([sets.similar(i[k : k + 200_000], j[k : k + 200_000], least) for k in range(0, len(i), 200_000)] or [np.empty(0, bool)])
         found.append(forest.link(i[hit], j[hit]))
     for s, m in zip(starts[~small].tolist(), sizes[~small].tolist(), strict=True):
         found += tree_links(sets, np.unique(of[s : s + m]), forest, least)
-    i, j = (np.concatenate([f[k] for f in found]) if found else np.empty(0, np.int64) for k in (0, 1))
-    return unique[i], unique[j]
+    return tuple(np.concatenate([f[k] for f in found]) if found else np.empty(0, np.int64) for k in (0, 1))
+
+
+def common_words(records: DataFrame, text: str) -> np.ndarray:
+    """Hashes of the words that most of a few thousand texts hold, in ascending order."""
+    from collections import Counter
+
+    counts: Counter = Counter()
+    for r in records.select(text).where(F.length(text) > 0).limit(SAMPLE).collect():
+        counts.update(set(words(r[0])))
+    return np.sort(hash_words([w for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:COMMON]]))
+
+
+def _records(df: DataFrame, common: np.ndarray, least_words: int) -> DataFrame:
+    """(src, id, space, set_hash, n, rare, common) of the records with enough words; set hashes of two sources differ."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        total, hashes, sizes, sums = sets_of(batch.column(2).to_pylist())
+        row, _ = split_rows(hashes, sizes)
+        at = np.minimum(np.searchsorted(common, hashes), max(0, len(common) - 1))
+        known = common[at] == hashes if len(common) else np.zeros(len(hashes), bool)
+        codes = np.bincount(row[known], minlength=len(sizes))
+        space = batch.column(3).to_numpy()
+        new = [
+            batch.column(3), pa.array(sums ^ space), pa.array(sizes.astype(np.int32)),
+            packed((hashes[~known] >> np.uint64(32)).astype(np.uint32), sizes - codes), packed(at[known].astype(np.uint8), codes),
+        ]
+        out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *new], names=["src", "id", "space", "set_hash", "n", "rare", "common"])
+        return out.filter(pa.array(total >= least_words))
+
+    return map_batches(df.select("src", "id", "text", F.xxhash64("src").alias("space")), run, "src string, id string, space bigint, set_hash bigint, n int, rare binary, common binary")
+
+
+_BLOB = "part int, keys binary, of binary, hashes binary, n binary, sizes binary, rare binary, common_sizes binary, common binary"
+
+
+def _placed(records: DataFrame, common: np.ndarray, levels: np.ndarray, least: float, parts: int) -> DataFrame:
+    """Records and the groups that they stand in, packed by the partition of the groups."""
+    sent = records.sparkSession.sparkContext.broadcast((levels, (common >> np.uint64(32)).astype(np.uint32)))  # of fixed size
+    seen: set[int] = set()
+
+    def run(batch: pa.RecordBatch) -> pa.Table | None:
+        levels, spelled = sent.value
+        hashes, space, n = (batch.column(i).to_numpy() for i in (0, 1, 2))
+        if len(seen) > SEEN:
+            seen.clear()
+        fresh = np.fromiter((h not in seen and not seen.add(h) for h in hashes.tolist()), bool, len(hashes))
+        if not fresh.any():
+            return None
+        batch = batch.filter(pa.array(fresh))
+        hashes, space, n = hashes[fresh], space[fresh], n[fresh].astype(np.int64)
+        rare, sizes = binary_rows(batch.column(3), np.uint32)
+        codes, code_sizes = binary_rows(batch.column(4), np.uint8)
+        # rare words first, rarest of all in front, then common ones: the same order in all records
+        row = np.repeat(np.arange(len(n)), sizes)
+        level = levels[bucket_of(rare)]
+        order = np.lexsort((rare, level, row))
+        rare, level, row = rare[order], level[order], row[order]
+        prefix = prefix_length(n, least)
+        place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        post = (place < prefix[row]) & (level > 0)
+        code_row = np.repeat(np.arange(len(n)), code_sizes)
+        code_place = sizes[code_row] + np.arange(len(code_row)) - np.repeat(np.cumsum(code_sizes) - code_sizes, code_sizes)
+        code_post = code_place < prefix[code_row]
+        spelled_codes = spelled[codes[code_post]]
+        word = np.concatenate([rare[post], spelled_codes])
+        who = np.concatenate([row[post], code_row[code_post]])
+        held = np.concatenate([level[post], levels[bucket_of(spelled_codes)]])
+        # a word of many records gives a group for each pair of blocks
+        blocks = np.maximum(1, np.ceil(count_of_level(held) / BLOCK)).astype(np.int64)
+        own = (hashes[who].view(np.uint64) % blocks.astype(np.uint64)).astype(np.int64)
+        other = np.arange(blocks.sum()) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+        word, who, own, width = (np.repeat(x, blocks) for x in (word, who, own, blocks))
+        pair = np.minimum(own, other) * width + np.maximum(own, other)
+        key = word.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + pair.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + space[who].view(np.uint64)
+        key ^= key >> np.uint64(29)
+        part = (key * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(33)) % np.uint64(parts)
+        # words that no second record holds are sent as part of n alone
+        shared = level > 0
+        rare, sizes = rare[shared], np.bincount(row[shared], minlength=len(n)).astype(np.int64)
+        begin, code_begin = np.cumsum(sizes) - sizes, np.cumsum(code_sizes) - code_sizes
+        order = np.lexsort((key, part))
+        key, who, part = key[order], who[order], part[order]
+        edges = np.searchsorted(part, np.arange(parts + 1))
+        rows = []
+        for p, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+            if a == b:
+                continue
+            sub, of = np.unique(who[a:b], return_inverse=True)
+            take = np.repeat(begin[sub], sizes[sub]) + np.arange(sizes[sub].sum()) - np.repeat(np.cumsum(sizes[sub]) - sizes[sub], sizes[sub])
+            code_take = np.repeat(code_begin[sub], code_sizes[sub]) + np.arange(code_sizes[sub].sum()) - np.repeat(np.cumsum(code_sizes[sub]) - code_sizes[sub], code_sizes[sub])
+            rows.append((p, key[a:b].tobytes(), of.astype(np.uint32).tobytes(), hashes[sub].tobytes(), n[sub].astype(np.uint32).tobytes(), sizes[sub].astype(np.uint32).tobytes(), rare[take].tobytes(), code_sizes[sub].astype(np.uint32).tobytes(), codes[code_take].tobytes()))
+        if not rows:
+            return None
+        names = [c.split(" ")[0] for c in _BLOB.split(", ")]
+        return pa.Table.from_arrays([pa.array([r[i] for r in rows], pa.int32() if i == 0 else pa.binary()) for i in range(9)], names=names)
 
+    return map_batches(records.select("set_hash", "space", "n", "rare", "common"), run, _BLOB)
 
-def _postings(classes: DataFrame, levels: np.ndarray, least: float) -> DataFrame:
-    """(grp, set_hash, toks) of each record for each group that it belongs to."""
-    sent = classes.sparkSession.sparkContext.broadcast(levels)  # of fixed size
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        at = batch.schema.get_field_index
-        hashes, space = batch.column(at("set_hash")).to_numpy(), batch.column(at("space")).to_numpy()
-        flat, sizes = binary_rows(batch.column(at("toks")), np.uint32)
-        row, toks, level = by_rarity(flat, sizes, sent.value)
-        place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        go = (place < prefix_length(sizes, least)[row]) & (level > 0)
-        row_, tok_, level_ = row[go], toks[go], level[go]
-        blocks = np.ceil(count_of_level(level_) / BLOCK).astype(np.int64)
-        own = (hashes[row_].view(np.uint64) % blocks.astype(np.uint64)).astype(np.int64)
-        n = blocks  # a record of block k meets every block once
-        other = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        row_, tok_, own, blocks = (np.repeat(x, n) for x in (row_, tok_, own, blocks))
-        pair = np.minimum(own, other) * blocks + np.maximum(own, other)
-        group = tok_.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + pair.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + space[row_].astype(np.uint64)
-        # the words go along rarest first
-        begin = np.cumsum(sizes) - sizes
-        m = sizes[row_]
-        take = np.repeat(begin[row_], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
-        return pa.RecordBatch.from_arrays([pa.array(group.view(np.int64)), pa.array(hashes[row_]), packed(toks[take], m)], names=["grp", "set_hash", "toks"])
-
-    return map_batches(classes.select("space", "set_hash", "toks"), run, "grp bigint, set_hash bigint, toks binary")
-
-
-def links(classes: DataFrame, levels: np.ndarray, least: float) -> DataFrame:
-    """(u, v): enough links between classes (space, set_hash, n, toks) to join all that are linked. Spaces stay apart."""
+def links(records: DataFrame, common: np.ndarray, levels: np.ndarray, least: float) -> DataFrame:
+    """(u, v): enough links between word sets to join all that are linked. Sources stay apart."""
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Groups come sorted; the last of a batch waits for the next one."""
-        held: list[pa.RecordBatch] = []
-
-        def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            table = table.combine_chunks()
-            if not table.num_rows:
-                return
-            group, ids = table.column(0).to_numpy(), table.column(1).to_numpy()
-            flat, counts = binary_rows(table.column(2).combine_chunks() if isinstance(table.column(2), pa.ChunkedArray) else table.column(2), np.uint32)
-            starts = np.concatenate([[0], np.flatnonzero(group[1:] != group[:-1]) + 1])
-            u, v = links_of_groups(starts, np.diff(np.concatenate([starts, [len(group)]])), ids, flat, counts, least)
-            if len(u):
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            group = batch.column(0).to_numpy()
-            cut_at = int(np.searchsorted(group, group[-1], "left"))
-            if cut_at == 0 and held and held[-1].column(0)[-1].as_py() == group[-1]:
-                held.append(batch)
-                continue
-            yield from work(pa.Table.from_batches([*held, batch.slice(0, cut_at)]))
-            held = [batch.slice(cut_at)]
-        if held:
-            yield from work(pa.Table.from_batches(held))
-
-    placed = _postings(classes, levels, least).repartition(default_parallelism(classes.sparkSession), "grp").sortWithinPartitions("grp")
-    return placed.mapInArrow(walk, "u bigint, v bigint")
+        for table in whole_groups(batches):
+            part = table.column(0).to_numpy()
+            edges = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1, [len(part)]])
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                u, v = work(table.slice(a, b - a))
+                if len(u):
+                    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+    def work(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        columns = [[np.frombuffer(x, kind) for x in table.column(i).to_pylist()] for i, kind in enumerate((None, np.uint64, np.uint32, np.int64, np.uint32, np.uint32, np.uint32, np.uint32, np.uint8)) if i]
+        keys, of, hashes, n, sizes, rare, common_sizes, codes = columns
+        shift = np.cumsum([0, *map(len, hashes)])
+        of = np.concatenate([o.astype(np.int64) + s for o, s in zip(of, shift[:-1], strict=True)])
+        keys, hashes, n, sizes, rare, common_sizes, codes = (np.concatenate(c) for c in (keys, hashes, n, sizes, rare, common_sizes, codes))
+        sizes, common_sizes = sizes.astype(np.int64), common_sizes.astype(np.int64)
+        unique, first, same = np.unique(hashes, return_index=True, return_inverse=True)
+        of = same[of]
+        order = np.lexsort((of, keys))
+        keys, of = keys[order], of[order]
+        fresh = np.ones(len(keys), bool)
+        fresh[1:] = (keys[1:] != keys[:-1]) | (of[1:] != of[:-1])
+        keys, of = keys[fresh], of[fresh]
+        _, at, count = np.unique(keys, return_index=True, return_counts=True)
+        lone = np.zeros(len(keys), bool)
+        lone[at[count == 1]] = True
+        keys, of = keys[~lone], of[~lone]
+        if not len(keys):
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        used, of = np.unique(of, return_inverse=True)
+        pick = first[used]
+
+        def chosen(flat: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            begin, m = (np.cumsum(size) - size)[pick], size[pick]
+            return flat[np.repeat(begin, m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)], m
+
+        sets = Sets(n[pick], *chosen(rare, sizes), *chosen(codes, common_sizes))
+        u, v = links_of_groups(keys, of, sets, least)
+        return unique[used][u], unique[used][v]
+
+    parts = default_parallelism(records.sparkSession)
+    return _placed(records, common, levels, least, parts).repartitionById(parts, "part").sortWithinPartitions("part").mapInArrow(walk, "u bigint, v bigint")
 
 
 def families(records: DataFrame, least: float = 0.6, least_words: int = 8) -> DataFrame:
     """(src, id, group_id) of all members of families of two or more; ``records`` holds src, id and text."""
-    sets = word_sets(records.where(F.col("id").isNotNull()), ["src", "id"], "text", kind=np.uint32).where(F.col("n_words") >= least_words)
-    space = F.xxhash64("src")
-    sets = cut(sets.select("src", "id", F.col("set_hash").bitwiseXOR(space).alias("set_hash"), space.alias("space"), "n", "toks"))
-    levels = rarity(sets, np.uint32)
-    found = components(links(same_sets(sets, "space"), levels, least))
+    records = records.where("id IS NOT NULL AND text IS NOT NULL")
+    common = common_words(records, "text")
+    sets = cut(_records(records, common, least_words))
+    levels = rarity(sets, np.uint32, "rare", "common", (common >> np.uint64(32)).astype(np.uint32))
+    found = components(links(sets, common, levels, least))
     members = sets.select("src", "id", "set_hash").distinct()
     labelled = cut(members.join(found.select(F.col("node").alias("set_hash"), "root"), "set_hash", "left").select("src", "id", F.coalesce("root", "set_hash").alias("label")))
     named = labelled.groupBy("label").agg(F.min("id").alias("group_id"), F.count(F.lit(1)).alias("members")).where("members > 1")

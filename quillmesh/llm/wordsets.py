@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from quillmesh.llm.plain import hash_words, words
 from quillmesh.runtime import map_batches
 
-#: Buckets of the rarity table: 4 MB of one-byte levels, whatever the size of the corpus.
-BITS = 22
+#: Buckets of the rarity table: 8 MB of one-byte levels, whatever the size of the corpus.
+BITS = 23
 _CHUNKS = 64
 
 
@@ -77,22 +77,27 @@ def word_sets(df: DataFrame, keep: list[str], text: str, also: str | None = None
     return map_batches(df.select(*dict.fromkeys([*keep, text, *([also] if also else [])])), run, schema)
 
 
-def _bucket(toks: np.ndarray) -> np.ndarray:
+def bucket_of(toks: np.ndarray) -> np.ndarray:
+    """The bucket of each word hash."""
     shift = 32 if toks.dtype == np.uint64 else 0
     return (toks >> toks.dtype.type(shift) & toks.dtype.type((1 << BITS) - 1)).astype(np.int64)
 
 
-def rarity(sets: DataFrame, kind: type = np.uint64) -> np.ndarray:
+def rarity(sets: DataFrame, kind: type = np.uint64, column: str = "toks", codes: str | None = None, spelled: np.ndarray | None = None) -> np.ndarray:
     """For each bucket of word hashes a level that grows with the number of records that hold a word of it.
 
     Every record counts. Level 0 means at most one record, so a word of such a bucket is in no second one. What each task
-    sends are the buckets it met; the sum is a table of fixed size.
+    sends are the buckets it met; the sum is a table of fixed size. ``codes`` may name a column of bytes that stand for the
+    hashes ``spelled``.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(1 << BITS, np.int64)
         for batch in batches:
-            np.add.at(sums, _bucket(binary_rows(batch.column(0), kind)[0]), 1)
+            sums += np.bincount(bucket_of(binary_rows(batch.column(0), kind)[0]), minlength=1 << BITS)
+            if codes:
+                uses = np.bincount(binary_rows(batch.column(1), np.uint8)[0], minlength=len(spelled))
+                np.add.at(sums, bucket_of(spelled), uses)
         met = np.flatnonzero(sums)
         part = met * _CHUNKS >> BITS
         edges = np.searchsorted(part, np.arange(_CHUNKS + 1))
@@ -109,7 +114,7 @@ def rarity(sets: DataFrame, kind: type = np.uint64) -> np.ndarray:
         level = np.where(sums <= 1, 0, 1 + 4 * np.log2(np.maximum(sums, 1))).clip(0, 255).astype(np.uint8)
         yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([level.tobytes()], pa.binary())], names=["chunk", "level"])
 
-    rows = sets.select("toks").mapInArrow(count, "chunk int, at binary, n binary").groupBy("chunk").applyInArrow(add, "chunk int, level binary").collect()
+    rows = sets.select(column, *([codes] if codes else [])).mapInArrow(count, "chunk int, at binary, n binary").groupBy("chunk").applyInArrow(add, "chunk int, level binary").collect()
     out = np.zeros(1 << BITS, np.uint8)
     for r in rows:
         at = r.chunk * ((1 << BITS) // _CHUNKS)
@@ -125,7 +130,7 @@ def count_of_level(level: np.ndarray) -> np.ndarray:
 def by_rarity(toks: np.ndarray, sizes: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The words of each row, rarest first (ties by hash): row numbers, words, levels. The order is the same in all rows."""
     row, _ = split_rows(toks, sizes)
-    level = levels[_bucket(toks)]
+    level = levels[bucket_of(toks)]
     order = np.lexsort((toks, level, row))
     return row[order], toks[order], level[order]
 

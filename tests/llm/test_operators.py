@@ -104,7 +104,9 @@ def test_tree_links_join_all_that_is_linked():
         own = base.copy() if rng.random() < 0.5 else rng.integers(1, 2**32, 30, dtype=np.uint32)
         own[rng.integers(0, 30, 5)] = rng.integers(1, 2**32, 5, dtype=np.uint32)
         rows.append(np.unique(own))
-    sets = p5_families.Sets(np.concatenate(rows), np.array([len(r) for r in rows]))
+    none = np.zeros(len(rows), np.int64)
+    sizes = np.array([len(r) for r in rows])
+    sets = p5_families.Sets(sizes, np.concatenate(rows), sizes, np.empty(0, np.uint8), none)
     forest = p5_families.Forest(len(rows))
     p5_families.tree_links(sets, np.arange(len(rows)), forest, 0.6)
     got = forest.roots()
