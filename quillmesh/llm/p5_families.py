@@ -12,8 +12,9 @@ Copies are one class from the start. A word that very many records hold gives no
 blocks of its records (two blocks of ``BLOCK`` records at most), so no task holds an unbounded group.
 
 What travels is packed: the ``COMMON`` words that are most frequent in a sample are one byte each (the sample decides on
-their spelling alone), all others 32 bits of their hash, words of no second record only count, and a record is sent once
-to each partition that holds groups of it. Within groups the overlap of common words is exact in the bitmaps.
+their spelling alone), all others 24 bits of their hash, words of no second record only count, and a record is sent once
+to each partition that holds groups of it. Within groups the overlap of common words is exact in the bitmaps. Two other
+words agree in 24 bits by chance once in 16 million, which can only matter to pairs one word short of the threshold.
 
 Defined results: null and short texts (fewer than ``least_words`` words) belong to no family; repeated deliveries are
 one record; a word counts once in a set however often it stands in the text; order of words does not matter.
@@ -38,7 +39,7 @@ from quillmesh.runtime import cut, default_parallelism, map_batches, whole_group
 BLOCK = 16_384
 LEAF, FAN = 16, 8
 #: Words that are spelled in one byte, and the texts that they are counted in.
-COMMON, SAMPLE = 256, 4_000
+COMMON, SAMPLE = 255, 4_000
 #: Word sets that a task remembers in order to send copies once.
 SEEN = 1_000_000
 _LANES = 4  # 64-bit lanes of a bitmap, for common words and again for the others
@@ -54,7 +55,7 @@ def _bits(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 class Sets:
     """Word sets of some records: bitmaps of common words, bitmaps and a padded matrix of the others, and sizes."""
 
-    def __init__(self, n: np.ndarray, flat: np.ndarray, sizes: np.ndarray, common: np.ndarray, common_sizes: np.ndarray):
+    def __init__(self, n: np.ndarray, flat: np.ndarray, sizes: np.ndarray, common: np.ndarray, common_sizes: np.ndarray, tags: np.ndarray | None = None):
         width = int(sizes.max(initial=1))
         self.n = n.astype(np.int32)
         self.words = np.zeros((len(sizes), width), np.uint32)
@@ -64,6 +65,7 @@ class Sets:
         rare = _bits(bit.astype(np.int64), sizes)
         self.slack = sizes.astype(np.int32) - np.bitwise_count(rare).sum(axis=1).astype(np.int32)
         self.sizes = sizes
+        self.tags = np.zeros(len(n), np.uint16) if tags is None else tags  # records of two sources are never linked
         self.maps = np.concatenate([_bits(common, common_sizes), rare], axis=1)
 
     def similar(self, i: np.ndarray, j: np.ndarray, least: float) -> np.ndarray:
@@ -73,7 +75,7 @@ class Sets:
         met = np.bitwise_count(self.maps[i] & self.maps[j]).astype(np.int32)
         common = met[:, :_LANES].sum(axis=1)
         room = common + np.minimum(met[:, _LANES:].sum(axis=1) + np.minimum(self.slack[i], self.slack[j]), np.minimum(self.sizes[i], self.sizes[j]))
-        go = np.flatnonzero((room >= need) & (np.minimum(ni, nj) >= least * np.maximum(ni, nj) - 1e-9))
+        go = np.flatnonzero((room >= need) & (self.tags[i] == self.tags[j]) & (np.minimum(ni, nj) >= least * np.maximum(ni, nj) - 1e-9))
         out = np.zeros(len(i), bool)
         step = max(1, 8_000_000 // max(1, self.words.shape[1] ** 2))
         for start in range(0, len(go), step):
@@ -88,28 +90,31 @@ class Sets:
 
 
 class Forest:
-    """Union-find over the records at hand, in arrays."""
+    """Union-find over the records at hand, in one array."""
 
     def __init__(self, n: int):
         self.parent = np.arange(n)
 
-    def roots(self) -> np.ndarray:
+    def roots(self, rows: np.ndarray | None = None) -> np.ndarray:
+        """The roots of some records, or of all."""
+        found = self.parent if rows is None else self.parent[rows]
         while True:
-            up = self.parent[self.parent]
-            if (up == self.parent).all():
-                return self.parent
-            self.parent = up
+            up = self.parent[found]
+            if (up == found).all():
+                break
+            found = up
+        if rows is not None:
+            self.parent[rows] = found
+        return found
 
     def link(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Joins pairs; returns those that joined two components when taken in turn."""
-        kept = []
-        self.roots()
-        parent = self.parent
+        kept, parent = [], self.parent
         for k, (a, b) in enumerate(zip(i.tolist(), j.tolist(), strict=True)):
             while parent[a] != a:
-                a = parent[a]
+                parent[a] = a = parent[parent[a]]
             while parent[b] != b:
-                b = parent[b]
+                parent[b] = b = parent[parent[b]]
             if a != b:
                 parent[max(a, b)] = min(a, b)
                 kept.append(k)
@@ -159,10 +164,10 @@ def tree_links(sets: Sets, rows: np.ndarray, forest: Forest, least: float) -> li
         j = (y[:, None] * LEAF + np.arange(LEAF))[:, None, :] + np.zeros((1, LEAF, 1), np.int64)
         i, j = i.ravel(), j.ravel()
         go = (i < j) & (j < n)
-        i, j = order[i[go]], order[j[go]]
-        roots = forest.roots()
-        go = roots[i] != roots[j]
         i, j = i[go], j[go]
+        roots = forest.roots(order)
+        go = roots[i] != roots[j]
+        i, j = order[i[go]], order[j[go]]
         hit = sets.similar(i, j, least)
         found.append(forest.link(i[hit], j[hit]))
     return found
@@ -223,7 +228,7 @@ def _records(df: DataFrame, common: np.ndarray, least_words: int) -> DataFrame:
         space = batch.column(3).to_numpy()
         new = [
             batch.column(3), pa.array(sums ^ space), pa.array(sizes.astype(np.int32)),
-            packed((hashes[~known] >> np.uint64(32)).astype(np.uint32), sizes - codes), packed(at[known].astype(np.uint8), codes),
+            packed((hashes[~known] >> np.uint64(40)).astype(np.uint32), sizes - codes), packed(at[known].astype(np.uint8), codes),
         ]
         out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *new], names=["src", "id", "space", "set_hash", "n", "rare", "common"])
         return out.filter(pa.array(total >= least_words))
@@ -231,15 +236,21 @@ def _records(df: DataFrame, common: np.ndarray, least_words: int) -> DataFrame:
     return map_batches(df.select("src", "id", "text", F.xxhash64("src").alias("space")), run, "src string, id string, space bigint, set_hash bigint, n int, rare binary, common binary")
 
 
-_BLOB = "part int, keys binary, of binary, hashes binary, n binary, sizes binary, rare binary, common_sizes binary, common binary"
+_BLOB = "part int, keys binary, of binary, hashes binary, tags binary, n binary, sizes binary, rare binary, common_sizes binary, common binary"
+#: Records of one piece, so that 16 bits tell them apart.
+PIECE = 50_000
 
 
 def _placed(records: DataFrame, common: np.ndarray, levels: np.ndarray, least: float, parts: int) -> DataFrame:
     """Records and the groups that they stand in, packed by the partition of the groups."""
-    sent = records.sparkSession.sparkContext.broadcast((levels, (common >> np.uint64(32)).astype(np.uint32)))  # of fixed size
+    sent = records.sparkSession.sparkContext.broadcast((levels, (common >> np.uint64(40)).astype(np.uint32)))  # of fixed size
     seen: set[int] = set()
 
     def run(batch: pa.RecordBatch) -> pa.Table | None:
+        tables = [t for i in range(0, batch.num_rows, PIECE) if (t := place(batch.slice(i, PIECE)))]
+        return pa.concat_tables(tables) if tables else None
+
+    def place(batch: pa.RecordBatch) -> pa.Table | None:
         levels, spelled = sent.value
         hashes, space, n = (batch.column(i).to_numpy() for i in (0, 1, 2))
         if len(seen) > SEEN:
@@ -275,6 +286,8 @@ def _placed(records: DataFrame, common: np.ndarray, levels: np.ndarray, least: f
         key = word.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + pair.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + space[who].view(np.uint64)
         key ^= key >> np.uint64(29)
         part = (key * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(33)) % np.uint64(parts)
+        key = (key >> np.uint64(32)).astype(np.uint32)
+        tags = (space.view(np.uint64) >> np.uint64(48)).astype(np.uint16)
         # words that no second record holds are sent as part of n alone
         shared = level > 0
         rare, sizes = rare[shared], np.bincount(row[shared], minlength=len(n)).astype(np.int64)
@@ -289,11 +302,12 @@ def _placed(records: DataFrame, common: np.ndarray, levels: np.ndarray, least: f
             sub, of = np.unique(who[a:b], return_inverse=True)
             take = np.repeat(begin[sub], sizes[sub]) + np.arange(sizes[sub].sum()) - np.repeat(np.cumsum(sizes[sub]) - sizes[sub], sizes[sub])
             code_take = np.repeat(code_begin[sub], code_sizes[sub]) + np.arange(code_sizes[sub].sum()) - np.repeat(np.cumsum(code_sizes[sub]) - code_sizes[sub], code_sizes[sub])
-            rows.append((p, key[a:b].tobytes(), of.astype(np.uint32).tobytes(), hashes[sub].tobytes(), n[sub].astype(np.uint32).tobytes(), sizes[sub].astype(np.uint32).tobytes(), rare[take].tobytes(), code_sizes[sub].astype(np.uint32).tobytes(), codes[code_take].tobytes()))
+            three = np.ascontiguousarray(rare[take].view(np.uint8).reshape(-1, 4)[:, :3])
+            rows.append((p, key[a:b].tobytes(), of.astype(np.uint16).tobytes(), hashes[sub].tobytes(), tags[sub].tobytes(), n[sub].astype(np.uint32).tobytes(), sizes[sub].astype(np.uint32).tobytes(), three.tobytes(), code_sizes[sub].astype(np.uint8).tobytes(), codes[code_take].tobytes()))
         if not rows:
             return None
         names = [c.split(" ")[0] for c in _BLOB.split(", ")]
-        return pa.Table.from_arrays([pa.array([r[i] for r in rows], pa.int32() if i == 0 else pa.binary()) for i in range(9)], names=names)
+        return pa.Table.from_arrays([pa.array([r[i] for r in rows], pa.int32() if i == 0 else pa.binary()) for i in range(10)], names=names)
 
     return map_batches(records.select("set_hash", "space", "n", "rare", "common"), run, _BLOB)
 
@@ -311,11 +325,12 @@ def links(records: DataFrame, common: np.ndarray, levels: np.ndarray, least: flo
                     yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
     def work(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        columns = [[np.frombuffer(x, kind) for x in table.column(i).to_pylist()] for i, kind in enumerate((None, np.uint64, np.uint32, np.int64, np.uint32, np.uint32, np.uint32, np.uint32, np.uint8)) if i]
-        keys, of, hashes, n, sizes, rare, common_sizes, codes = columns
+        kinds = (np.uint32, np.uint16, np.int64, np.uint16, np.uint32, np.uint32, np.uint8, np.uint8, np.uint8)
+        keys, of, hashes, tags, n, sizes, three, common_sizes, codes = ([np.frombuffer(x, kind) for x in table.column(i + 1).to_pylist()] for i, kind in enumerate(kinds))
         shift = np.cumsum([0, *map(len, hashes)])
         of = np.concatenate([o.astype(np.int64) + s for o, s in zip(of, shift[:-1], strict=True)])
-        keys, hashes, n, sizes, rare, common_sizes, codes = (np.concatenate(c) for c in (keys, hashes, n, sizes, rare, common_sizes, codes))
+        keys, hashes, tags, n, sizes, three, common_sizes, codes = (np.concatenate(c) for c in (keys, hashes, tags, n, sizes, three, common_sizes, codes))
+        rare = np.concatenate([three.reshape(-1, 3), np.zeros((len(three) // 3, 1), np.uint8)], axis=1).view(np.uint32).ravel()
         sizes, common_sizes = sizes.astype(np.int64), common_sizes.astype(np.int64)
         unique, first, same = np.unique(hashes, return_index=True, return_inverse=True)
         of = same[of]
@@ -337,7 +352,7 @@ def links(records: DataFrame, common: np.ndarray, levels: np.ndarray, least: flo
             begin, m = (np.cumsum(size) - size)[pick], size[pick]
             return flat[np.repeat(begin, m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)], m
 
-        sets = Sets(n[pick], *chosen(rare, sizes), *chosen(codes, common_sizes))
+        sets = Sets(n[pick], *chosen(rare, sizes), *chosen(codes, common_sizes), tags[pick])
         u, v = links_of_groups(keys, of, sets, least)
         return unique[used][u], unique[used][v]
 
@@ -350,7 +365,7 @@ def families(records: DataFrame, least: float = 0.6, least_words: int = 8) -> Da
     records = records.where("id IS NOT NULL AND text IS NOT NULL")
     common = common_words(records, "text")
     sets = cut(_records(records, common, least_words))
-    levels = rarity(sets, np.uint32, "rare", "common", (common >> np.uint64(32)).astype(np.uint32))
+    levels = rarity(sets, np.uint32, "rare", "common", (common >> np.uint64(40)).astype(np.uint32))
     found = components(links(sets, common, levels, least))
     members = sets.select("src", "id", "set_hash").distinct()
     labelled = cut(members.join(found.select(F.col("node").alias("set_hash"), "root"), "set_hash", "left").select("src", "id", F.coalesce("root", "set_hash").alias("label")))
