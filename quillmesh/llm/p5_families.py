@@ -262,7 +262,7 @@ def _placed(records: DataFrame, common: np.ndarray, levels: np.ndarray, least: f
         hashes, space, n = hashes[fresh], space[fresh], n[fresh].astype(np.int64)
         rare, sizes = binary_rows(batch.column(3), np.uint32)
         codes, code_sizes = binary_rows(batch.column(4), np.uint8)
-        # rare words first, rarest of all in front, then common ones: the same order in all records
+        # rare words first, rarest of all in front, then common ones likewise: the same order in all records
         row = np.repeat(np.arange(len(n)), sizes)
         level = levels[bucket_of(rare)]
         order = np.lexsort((rare, level, row))
@@ -271,6 +271,7 @@ def _placed(records: DataFrame, common: np.ndarray, levels: np.ndarray, least: f
         place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         post = (place < prefix[row]) & (level > 0)
         code_row = np.repeat(np.arange(len(n)), code_sizes)
+        codes = codes[np.lexsort((codes, levels[bucket_of(spelled)][codes], code_row))]
         code_place = sizes[code_row] + np.arange(len(code_row)) - np.repeat(np.cumsum(code_sizes) - code_sizes, code_sizes)
         code_post = code_place < prefix[code_row]
         spelled_codes = spelled[codes[code_post]]
