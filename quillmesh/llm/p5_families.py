@@ -157,17 +157,29 @@ def tree_links(sets: Sets, rows: np.ndarray, forest: Forest, least: float) -> li
     a, b = a[first], b[first]
     found = []
     n, start, step = len(order), 0, 64
+    own_maps, own_n, own_slack = sets.maps[order], sets.n[order].astype(np.int64), sets.slack[order]
+    leaf_maps, leaf_low, leaf_high, _ = levels[0]
+    within = np.arange(LEAF)
+
+    def fit(rows: np.ndarray, leaf: np.ndarray) -> np.ndarray:
+        """Which of the records in ``rows`` (a line for each leaf) may be similar to any record of the leaf."""
+        at = np.minimum(rows, n - 1)
+        size = own_n[at]
+        low, high = leaf_low[leaf][:, None].astype(np.int64), leaf_high[leaf][:, None].astype(np.int64)
+        need = np.ceil(least / (1 + least) * (size + low) - 1e-9)
+        room = np.minimum(np.bitwise_count(own_maps[at] & leaf_maps[leaf][:, None, :]).sum(axis=2, dtype=np.int32) + own_slack[at], high)
+        return (rows < n) & (room >= need) & (high >= least * size - 1e-9) & (size >= least * low - 1e-9)
+
     while start < len(a):
         x, y = a[start : start + step], b[start : start + step]
         start, step = start + step, min(step * 2, 4096)
-        i = (x[:, None] * LEAF + np.arange(LEAF))[:, :, None] + np.zeros((1, 1, LEAF), np.int64)
-        j = (y[:, None] * LEAF + np.arange(LEAF))[:, None, :] + np.zeros((1, LEAF, 1), np.int64)
-        i, j = i.ravel(), j.ravel()
-        go = (i < j) & (j < n)
-        i, j = i[go], j[go]
+        rows_x, rows_y = x[:, None] * LEAF + within, y[:, None] * LEAF + within
+        open_x, open_y = fit(rows_x, y), fit(rows_y, x)
         roots = forest.roots(order)
-        go = roots[i] != roots[j]
-        i, j = order[i[go]], order[j[go]]
+        root_x, root_y = roots[np.minimum(rows_x, n - 1)], roots[np.minimum(rows_y, n - 1)]
+        go = open_x[:, :, None] & open_y[:, None, :] & (root_x[:, :, None] != root_y[:, None, :]) & (rows_x[:, :, None] < rows_y[:, None, :])
+        p, i, j = np.nonzero(go)
+        i, j = order[rows_x[p, i]], order[rows_y[p, j]]
         hit = sets.similar(i, j, least)
         found.append(forest.link(i[hit], j[hit]))
     return found
@@ -313,6 +325,40 @@ def _placed(records: DataFrame, common: np.ndarray, levels: np.ndarray, least: f
     return map_batches(records.select("set_hash", "space", "n", "rare", "common"), run, _BLOB)
 
 
+def links_of_pieces(table: pa.Table, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links between word sets from the pieces of one partition."""
+    kinds = (np.uint32, np.uint16, np.int64, np.uint16, np.uint32, np.uint32, np.uint8, np.uint8, np.uint8)
+    keys, of, hashes, tags, n, sizes, three, common_sizes, codes = ([np.frombuffer(x, kind) for x in table.column(i + 1).to_pylist()] for i, kind in enumerate(kinds))
+    shift = np.cumsum([0, *map(len, hashes)])
+    of = np.concatenate([o.astype(np.int64) + s for o, s in zip(of, shift[:-1], strict=True)])
+    keys, hashes, tags, n, sizes, three, common_sizes, codes = (np.concatenate(c) for c in (keys, hashes, tags, n, sizes, three, common_sizes, codes))
+    rare = np.concatenate([three.reshape(-1, 3), np.zeros((len(three) // 3, 1), np.uint8)], axis=1).view(np.uint32).ravel()
+    sizes, common_sizes = sizes.astype(np.int64), common_sizes.astype(np.int64)
+    unique, first, same = np.unique(hashes, return_index=True, return_inverse=True)
+    of = same[of]
+    order = np.lexsort((of, keys))
+    keys, of = keys[order], of[order]
+    fresh = np.ones(len(keys), bool)
+    fresh[1:] = (keys[1:] != keys[:-1]) | (of[1:] != of[:-1])
+    keys, of = keys[fresh], of[fresh]
+    _, at, count = np.unique(keys, return_index=True, return_counts=True)
+    lone = np.zeros(len(keys), bool)
+    lone[at[count == 1]] = True
+    keys, of = keys[~lone], of[~lone]
+    if not len(keys):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    used, of = np.unique(of, return_inverse=True)
+    pick = first[used]
+
+    def chosen(flat: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        begin, m = (np.cumsum(size) - size)[pick], size[pick]
+        return flat[np.repeat(begin, m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)], m
+
+    sets = Sets(n[pick], *chosen(rare, sizes), *chosen(codes, common_sizes), tags[pick])
+    u, v = links_of_groups(keys, of, sets, least)
+    return unique[used][u], unique[used][v]
+
+
 def links(records: DataFrame, common: np.ndarray, levels: np.ndarray, least: float) -> DataFrame:
     """(u, v): enough links between word sets to join all that are linked. Sources stay apart."""
 
@@ -321,42 +367,10 @@ def links(records: DataFrame, common: np.ndarray, levels: np.ndarray, least: flo
             part = table.column(0).to_numpy()
             edges = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1, [len(part)]])
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                u, v = work(table.slice(a, b - a))
+                u, v = links_of_pieces(table.slice(a, b - a), least)
                 if len(u):
                     yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
-    def work(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        kinds = (np.uint32, np.uint16, np.int64, np.uint16, np.uint32, np.uint32, np.uint8, np.uint8, np.uint8)
-        keys, of, hashes, tags, n, sizes, three, common_sizes, codes = ([np.frombuffer(x, kind) for x in table.column(i + 1).to_pylist()] for i, kind in enumerate(kinds))
-        shift = np.cumsum([0, *map(len, hashes)])
-        of = np.concatenate([o.astype(np.int64) + s for o, s in zip(of, shift[:-1], strict=True)])
-        keys, hashes, tags, n, sizes, three, common_sizes, codes = (np.concatenate(c) for c in (keys, hashes, tags, n, sizes, three, common_sizes, codes))
-        rare = np.concatenate([three.reshape(-1, 3), np.zeros((len(three) // 3, 1), np.uint8)], axis=1).view(np.uint32).ravel()
-        sizes, common_sizes = sizes.astype(np.int64), common_sizes.astype(np.int64)
-        unique, first, same = np.unique(hashes, return_index=True, return_inverse=True)
-        of = same[of]
-        order = np.lexsort((of, keys))
-        keys, of = keys[order], of[order]
-        fresh = np.ones(len(keys), bool)
-        fresh[1:] = (keys[1:] != keys[:-1]) | (of[1:] != of[:-1])
-        keys, of = keys[fresh], of[fresh]
-        _, at, count = np.unique(keys, return_index=True, return_counts=True)
-        lone = np.zeros(len(keys), bool)
-        lone[at[count == 1]] = True
-        keys, of = keys[~lone], of[~lone]
-        if not len(keys):
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        used, of = np.unique(of, return_inverse=True)
-        pick = first[used]
-
-        def chosen(flat: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            begin, m = (np.cumsum(size) - size)[pick], size[pick]
-            return flat[np.repeat(begin, m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)], m
-
-        sets = Sets(n[pick], *chosen(rare, sizes), *chosen(codes, common_sizes), tags[pick])
-        u, v = links_of_groups(keys, of, sets, least)
-        return unique[used][u], unique[used][v]
-
     parts = default_parallelism(records.sparkSession)
     return _placed(records, common, levels, least, parts).repartitionById(parts, "part").sortWithinPartitions("part").mapInArrow(walk, "u bigint, v bigint")
 

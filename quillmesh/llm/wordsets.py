@@ -39,18 +39,14 @@ def packed(flat: np.ndarray, sizes: np.ndarray) -> pa.Array:
 
 
 def sets_of(texts: list[str | None], joined: list[str | None] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For texts (each with the words of ``joined`` added): total words, the distinct word hashes of all texts after one
-    another and ascending, how many each has, and a 64-bit hash of each set."""
+    """For texts (each with the words of ``joined`` added): total words, the hashes of the distinct words of all texts
+    after one another, how many each has, and a 64-bit hash of each set."""
     found = [words(t) for t in texts] if joined is None else [words(t) + words(u) for t, u in zip(texts, joined, strict=True)]
     total = np.fromiter(map(len, found), np.int64, len(found))
+    found = [list(dict.fromkeys(x)) for x in found]
+    sizes = np.fromiter(map(len, found), np.int64, len(found))
     hashes = hash_words([w for x in found for w in x])
-    row, _ = split_rows(hashes, total)
-    order = np.lexsort((hashes, row))
-    hashes, row = hashes[order], row[order]
-    fresh = np.ones(len(hashes), bool)
-    fresh[1:] = (hashes[1:] != hashes[:-1]) | (row[1:] != row[:-1])
-    hashes, row = hashes[fresh], row[fresh]
-    sizes = np.bincount(row, minlength=len(found)).astype(np.int64)
+    row, _ = split_rows(hashes, sizes)
     mixed = hashes * np.uint64(0x9E3779B97F4A7C15)
     mixed = (mixed ^ mixed >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
     sums = np.zeros(len(found), np.uint64)

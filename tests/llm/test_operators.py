@@ -283,6 +283,23 @@ def test_neighbours(spark):
     assert p4_neighbours.neighbours(df.limit(0), 5, 16).count() == 0
 
 
+def test_greedy_search(spark):
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(30, 16))
+    v = (centres[rng.integers(0, 30, 500)] + 0.3 * rng.normal(size=(500, 16))).astype(np.float32)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(900, None)], "id bigint, vec array<float>")
+    asked = rng.normal(size=(25, 16)).astype(np.float32) * 0.3 + centres[:25]
+    queries = spark.createDataFrame([(10_000 + i, x.tolist()) for i, x in enumerate(asked)] + [(20_000, None), (20_001, [0.0] * 16)], "query bigint, vec array<float>")
+    got = defaultdict(set)
+    for r in p4_neighbours.search(df, queries, 5, 16).collect():
+        got[r.query].add(r.other)
+    s = (asked / np.linalg.norm(asked, axis=1, keepdims=True)) @ (v / np.linalg.norm(v, axis=1, keepdims=True)).T
+    want = [set(np.argsort(-row)[:5].tolist()) for row in s]
+    assert set(got) == {10_000 + i for i in range(25)}
+    assert np.mean([len(got[10_000 + i] & want[i]) / 5 for i in range(25)]) >= 0.9
+    assert p4_neighbours.search(df.limit(0), queries, 5, 16).count() == 0
+
+
 # ---------------------------------------------------------------------------------------- languages
 
 
