@@ -83,9 +83,10 @@ class TextEngine:
     # retrieval
 
     def find_similar(self, store: DataFrame, queries: DataFrame, most: int = 10) -> DataFrame:
-        """The ``most`` best documents (id, text) of a store for each query (id, text)."""
+        """The ``most`` best documents (id, text) of a store for each query (id, text). Texts over the limit take no part."""
+        store, queries = (df.where(F.length("text").between(1, self.config.input_chars)) for df in (store, queries))
         found = retrieval.candidates(retrieval.postings(store), queries, self.config.per_channel)
-        ranked = retrieval.preranked(found, queries, store, min(self.config.search_candidates, 4 * most))
+        ranked = retrieval.preranked(found, queries, store, min(self.config.search_candidates, 2 * most))
         texts = ranked.join(queries.select(F.col("id").alias("query"), F.col("text").alias("a")), "query").join(store.select("id", F.col("text").alias("b")), "id")
         scored = scoring.scored(texts.select("query", "id", "prerank", "a", "b"), keep=["query", "id", "prerank"])
         from pyspark.sql import Window as W

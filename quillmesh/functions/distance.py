@@ -52,16 +52,24 @@ def jaro_text(a: str, b: str) -> float:
     if not a or not b:
         return 0.0
     reach = max(0, max(len(a), len(b)) // 2 - 1)
-    free = [True] * len(b)
-    met_a = []
-    at_b = []
+    # a character takes the leftmost free equal one in reach; as the reach moves right, each kind of character needs one pointer
+    places: dict[str, list[int]] = {}
+    for j, y in enumerate(b):
+        places.setdefault(y, []).append(j)
+    at = dict.fromkeys(places, 0)
+    met_a, at_b = [], []
     for i, x in enumerate(a):
-        for j in range(max(0, i - reach), min(len(b), i + reach + 1)):
-            if free[j] and b[j] == x:
-                free[j] = False
-                met_a.append(x)
-                at_b.append(j)
-                break
+        own = places.get(x)
+        if own is None:
+            continue
+        k = at[x]
+        while k < len(own) and own[k] < i - reach:
+            k += 1
+        if k < len(own) and own[k] <= i + reach:
+            met_a.append(x)
+            at_b.append(own[k])
+            k += 1
+        at[x] = k
     m = len(met_a)
     if not m:
         return 0.0

@@ -23,12 +23,12 @@ def postings(docs: DataFrame) -> DataFrame:
 def candidates(index: DataFrame, queries: DataFrame, per_list: int = T.PER_LIST) -> DataFrame:
     """(query, id, channels) of the documents that share a key with a query, at most ``per_list`` from each list, by id.
 
-    The cap is the retrieval feature it stands for in the API; the window only ranks inside one query and key.
+    The cap is the retrieval feature it stands for in the API. It is put on the lists before they meet any query, and the
+    window that does so drops all further ids already where they are read.
     """
-    wanted = postings(queries).withColumnRenamed("id", "query")
-    met = wanted.join(index, ["channel", "key"])
-    first = met.withColumn("k", F.row_number().over(W.partitionBy("query", "channel", "key").orderBy("id"))).where(F.col("k") <= per_list)
-    return first.groupBy("query", "id").agg(F.array_sort(F.collect_set("channel")).alias("channels"))
+    first = index.withColumn("_k", F.row_number().over(W.partitionBy("channel", "key").orderBy("id"))).where(F.col("_k") <= per_list).drop("_k")
+    met = postings(queries).withColumnRenamed("id", "query").join(first, ["channel", "key"])
+    return met.groupBy("query", "id").agg(F.array_sort(F.collect_set("channel")).alias("channels"))
 
 
 def preranked(found: DataFrame, queries: DataFrame, docs: DataFrame, most: int = T.CANDIDATES) -> DataFrame:
@@ -78,3 +78,33 @@ def migrated(rows: DataFrame, version: str = "schema_version", newest: int = 2)
     """(kept, refused): rows of an older version stamped anew, and rows of a newer one."""
     v = F.coalesce(F.col(version), F.lit(1))
     return rows.where(v <= newest).withColumn(version, F.lit(newest)), rows.where(v > newest)
+
+
+def cell_search(vectors: DataFrame, queries: DataFrame, k: int, probes: int = 4, cell: int = 1_000, sample: int = 20_000) -> DataFrame:
+    """Approximate :func:`exact_search`: vectors lie in cells around pivots of a bounded sample, a query looks into its
+    ``probes`` nearest cells. Every vector is in a cell; work and shuffles follow the cells, not all pairs."""
+    import numpy as np
+    import pandas as pd
+
+    from quillmesh.functions.lazy import arrow
+
+    drawn = vectors.orderBy(F.xxhash64("id")).select("vector").limit(sample).toPandas()
+    if drawn.empty:
+        return vectors.select(F.col("id").alias("query"), "id", F.lit(0.0).alias("similarity"), F.lit(0).alias("rank"))
+    rows = np.stack(drawn.vector.to_numpy()).astype(np.float32)
+    rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
+    count = max(1, min(len(rows), round(vectors.count() / cell)))
+    pivots = rows[np.random.default_rng(3).choice(len(rows), count, replace=False)]
+
+    def near(n: int):
+        def run(v: pd.Series) -> pd.Series:
+            x = np.stack(v.to_numpy()).astype(np.float32)
+            return pd.Series(list(np.argsort(-(x @ pivots.T), axis=1)[:, : min(n, count)].astype(np.int32)))
+
+        run.__annotations__ = {"v": pd.Series, "return": pd.Series}
+        return arrow("array<int>")(run)
+
+    placed = vectors.select("id", "vector", F.element_at(near(1)(F.col("vector")), 1).alias("cell"))
+    asked = queries.select(F.col("id").alias("query"), F.col("vector").alias("q"), F.explode(near(probes)(F.col("vector"))).alias("cell"))
+    scored = asked.join(placed, "cell").where(F.col("query") != F.col("id")).select("query", "id", cosine(F.col("q"), F.col("vector")).alias("similarity"))
+    return scored.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy(F.desc("similarity"), "id"))).where(F.col("rank") <= k)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from quillmesh.plans import engine, measures, relational, search, texts
+from quillmesh.plans import engine, extras, measures, relational, search, texts
 from quillmesh.plans.registry import Query
 
-_MODULES = (texts, measures, search, relational, engine)
+_MODULES = (texts, measures, search, relational, engine, extras)
 
 
 def queries() -> dict[str, Query]:

@@ -28,22 +28,22 @@ def engine_analyze(spark, sf):
 
 @query()
 def engine_decode(spark, sf):
-    rows = _once(table(spark, sf, "evaluation_case").where("category = 'rebus' AND b IS NOT NULL").select("id", F.col("b").alias("text")), "id")
+    rows = _once(table(spark, sf, "evaluation_case").where("b IS NOT NULL").select("id", F.col("b").alias("text")), "id")
     return TextEngine(spark).decode(rows).select("id", "rank", "text", F.round("score", 6).alias("score"), "strong")
 
 
 @query()
 def engine_compare(spark, sf):
-    """Short pairs with every channel and the single-word evidence."""
-    pairs = _once(table(spark, sf, "evaluation_case").where("category = 'short_text' AND a IS NOT NULL AND b IS NOT NULL").select("id", "a", "b"), "id")
+    """All pairs with every channel and the single-word evidence."""
+    pairs = _once(table(spark, sf, "evaluation_case").where("a IS NOT NULL AND b IS NOT NULL").select("id", "a", "b"), "id")
     out = TextEngine(spark).compare(pairs)
     return out.select("id", *(F.round(c, 6).alias(c) for c in ("lexical", "character", "visual", "phonetic", "obfuscation", "exact_decode", "decoded", "symbolic", "semantic", "swapped_word_similarity", "score")), "valid_swap")
 
 
 @query()
 def engine_find_similar(spark, sf):
-    """The five documents nearest to each test item of which only the head is long enough to compare."""
-    docs = table(spark, sf, "documents").where(F.length("text").between(1, 400)).select(F.col("doc_id").alias("id"), "text")
+    """The five documents nearest to each test item."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
     queries = table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), "text")
     return TextEngine(spark).find_similar(docs, queries, 5).select("query", "id", F.round("score", 6).alias("score"), "rank")
 

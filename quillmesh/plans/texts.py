@@ -486,5 +486,5 @@ def abbr_readings(spark, sf):
 def reb_decode(spark, sf):
     """The best reading of every pair's second text that has one beside itself."""
     lexicon = packs.load()
-    texts = table(spark, sf, "evaluation_case").where("category = 'rebus' AND b IS NOT NULL").select("id", "b").dropDuplicates(["id"])
+    texts = table(spark, sf, "evaluation_case").where("b IS NOT NULL").select("id", "b").dropDuplicates(["id"])
     return texts.select("id", F.explode(rebus.decode(F.col("b"), lexicon)).alias("r")).where("r.changed").select("id", "r.text", F.round("r.score", 6).alias("score"), "r.strong")

@@ -125,5 +125,5 @@ def balanced_decisions(rows: DataFrame, text: str, label: str, per_class: int) -
     """A sample of decisions with as many examples of each class, drawn by hash: a sampling operator."""
     from pyspark.sql import Window as W
 
-    placed = rows.withColumn("_k", F.row_number().over(W.partitionBy(label).orderBy(F.xxhash64(text))))
+    placed = rows.withColumn("_k", F.row_number().over(W.partitionBy(label).orderBy(F.md5(text))))
     return placed.where(F.col("_k") <= per_class).select(F.sha2(text, 256).alias("id"), F.col(text).alias("state"), F.col(label).alias("gold"))
