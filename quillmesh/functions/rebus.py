@@ -22,7 +22,7 @@ from quillmesh.sources.packs import Lexicon
 BEAM, KEPT, LONGEST_SPLIT = 20, 10, 4
 # Weights of the parts of a reading's score, and what each kind of step costs.
 WEIGHTS = {"lexical": 0.36, "phonetic": 0.22, "context": 0.12, "symbol": 0.18, "language": 0.12}
-COSTS = {"identity": 0.0, "boundary": 0.03, "leet": 0.05, "case": 0.05, "symbol": 0.10, "abbreviation": 0.08}
+COSTS = {"identity": 0.0, "boundary": 0.03, "leet": 0.05, "symbol": 0.10, "abbreviation": 0.08}
 COST_CAP, FREQUENCY_SCALE, FREQUENCY_CAP = 0.35, 5.0, 0.25
 SWITCH, BOUNDARY, DIGIT_IN_WORD = 0.98, {"join": 0.97, "space": 0.97, "both": 0.94}, 0.5
 FLOOR, ABSTAIN_SCORE, ABSTAIN_GAP, STRONG_GAP = 0.08, 0.4, 0.02, 0.15
@@ -34,8 +34,6 @@ def readings(piece: str, kind: str, lexicon: Lexicon) -> list[tuple[str, float,
     out = [(piece, 1.0, "identity", "und")]
     if kind in ("emoji", "symbol", "number", "unknown"):
         out += [(t, p, "symbol", lang) for t, lang, p in lexicon.symbols.get(piece.replace("️", ""), [])[:8]]
-    elif piece != piece.lower():
-        out.append((fold_text(piece), 0.95, "case", "und"))
     if any(c in T.LEET_FROM for c in piece) and any(c.isalpha() for c in piece):
         out.append((piece.lower().translate(_LEET), 0.85, "leet", "und"))
     out += [(t, p, "abbreviation", lang) for t, lang, p in lexicon.abbreviations.get(piece.lower(), [])[:8]]
@@ -93,7 +91,7 @@ def decode_text(text: str | None, lexicon: Lexicon, most: int = KEPT) -> list[di
                 if lang != "und" and any(x not in ("und", lang) for x in langs):
                     w *= SWITCH
                 forms = [(gap, w, ())] if done else [("", w, ())]
-                if done and step not in ("identity", "case"):
+                if done and step != "identity":
                     forms.append(("", w * BOUNDARY["join"], ("boundary",)) if apart else (" ", w * BOUNDARY["space"], ("boundary",)))
                 for between, v, extra in forms:
                     new = done + between + t
@@ -102,6 +100,9 @@ def decode_text(text: str | None, lexicon: Lexicon, most: int = KEPT) -> list[di
         beam = sorted(grown.values(), key=lambda x: -x[0])[:BEAM]
         last = end
     best: dict[str, dict] = {}
+    if len(beam) == 1:  # nothing in it can be read in another way
+        value = score(beam[0][1], text, 1.0, [], [], lexicon)
+        return [{"text": beam[0][1], "score": value, "steps": [], "changed": False, "gap": value, "strong": value >= STRONG_GAP, "confidence": value * (0.5 + 0.5 * value)}]
     for p, done, steps, langs in beam:
         value = score(done, text, p, [s for s in steps if s != "identity"], list(langs), lexicon)
         key = fold_text(done)

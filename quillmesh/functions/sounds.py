@@ -6,6 +6,7 @@ import re
 from collections import Counter
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -107,14 +108,23 @@ def sound_distance(a: str, b: str) -> float:
     return 0.35 * (x[1] != y[1]) + 0.35 * (x[2] != y[2]) + 0.30 * (x[3] != y[3])
 
 
-def _edits(a: list[str], b: list[str], cost) -> float:
-    last = [float(j) for j in range(len(b) + 1)]
-    for i, x in enumerate(a, 1):
-        row = [float(i)]
-        for j, y in enumerate(b, 1):
-            row.append(min(row[-1] + 1, last[j] + 1, last[j - 1] + cost(x, y)))
-        last = row
-    return last[-1]
+def _distances(a: list[str], b: list[str]) -> tuple[float, int]:
+    """Edit distance by features and by equality. A row is worked out at once: insertions are a running minimum."""
+    kinds = {s: i for i, s in enumerate(dict.fromkeys([*a, *b]))}
+    names = list(kinds)
+    cost = np.array([[sound_distance(x, y) for y in names] for x in names])
+    x, y = np.array([kinds[s] for s in a]), np.array([kinds[s] for s in b])
+    step = np.arange(len(b) + 1, dtype=float)
+    out = []
+    for table in (cost, 1.0 - np.eye(len(names))):
+        row = step.copy()
+        for i, k in enumerate(x, 1):
+            new = np.empty_like(row)
+            new[0] = i
+            new[1:] = np.minimum(row[1:] + 1, row[:-1] + table[k, y])
+            row = np.minimum.accumulate(new - step) + step
+        out.append(float(row[-1]))
+    return out[0], round(out[1])
 
 
 def sound_ngrams(a: list[str], b: list[str], n: int) -> float:
@@ -129,8 +139,8 @@ def sound_similarity(a: list[str], ca: float, b: list[str], cb: float) -> float:
     if not a or not b:
         return 0.0
     longest = max(len(a), len(b))
-    by_feature = 1 - _edits(a, b, sound_distance) / longest
-    exact = 1 - _edits(a, b, lambda x, y: float(x != y)) / longest
+    weighted, plain = (0.0, 0) if a == b else _distances(a, b)
+    by_feature, exact = 1 - weighted / longest, 1 - plain / longest
     grams = (sound_ngrams(a, b, 2) + sound_ngrams(a, b, 3)) / 2
     return max(0.0, min(1.0, 0.45 * by_feature + 0.25 * exact + 0.20 * grams + 0.10 * min(ca, cb)))
 

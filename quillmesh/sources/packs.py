@@ -6,6 +6,8 @@ tables, or a :class:`Lexicon` that travels with a closure.
 
 from __future__ import annotations
 
+import bisect
+import functools
 import hashlib
 import json
 import math
@@ -120,10 +122,22 @@ class Lexicon:
     def contains(self, word: str, languages: list[str] | None = None) -> bool:
         key = word.strip().lower()
         wild = not languages or any(x in ("und", "unknown") for x in languages)
+        if wild:
+            return key in self.all_words
         return any(key in own for lang, own in self.words.items() if wild or lang in languages)
 
+    @functools.cached_property
+    def all_words(self) -> frozenset[str]:
+        return frozenset(w for own in self.words.values() for w in own)
+
+    @functools.cached_property
+    def _in_order(self) -> list[str]:
+        return sorted(self.all_words)
+
     def starts(self, prefix: str) -> bool:
-        return any(w.startswith(prefix.lower()) for own in self.words.values() for w in own)
+        """Whether any word begins like this."""
+        at = bisect.bisect_left(self._in_order, prefix.lower())
+        return at < len(self._in_order) and self._in_order[at].startswith(prefix.lower())
 
     def frequency(self, word: str) -> float:
         return max((own[word.lower()][0] for own in self.words.values() if word.lower() in own), default=0.0)
