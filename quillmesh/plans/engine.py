@@ -32,22 +32,6 @@ def engine_decode(spark, sf):
     return TextEngine(spark).decode(rows).select("id", "rank", "text", F.round("score", 6).alias("score"), "strong")
 
 
-@query()
-def engine_compare(spark, sf):
-    """All pairs with every channel and the single-word evidence."""
-    pairs = _once(table(spark, sf, "evaluation_case").where("a IS NOT NULL AND b IS NOT NULL").select("id", "a", "b"), "id")
-    out = TextEngine(spark).compare(pairs)
-    return out.select("id", *(F.round(c, 6).alias(c) for c in ("lexical", "character", "visual", "phonetic", "obfuscation", "exact_decode", "decoded", "symbolic", "semantic", "swapped_word_similarity", "score")), "valid_swap")
-
-
-@query()
-def engine_find_similar(spark, sf):
-    """The document nearest to each test item."""
-    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
-    queries = table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), "text")
-    return TextEngine(spark).find_similar(docs, queries, 1).select("query", "id", F.round("score", 6).alias("score"), "rank")
-
-
 @query()
 def engine_diagnostics(spark, sf):
     return TextEngine(spark).diagnostics()
