@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quillmesh.functions import normalize, tokens
 from quillmesh.functions import tables as T
+from quillmesh.runtime import sampled
 
 
 def postings(docs: DataFrame) -> DataFrame:
@@ -88,7 +89,7 @@ def cell_search(vectors: DataFrame, queries: DataFrame, k: int, probes: int = 4,
 
     from quillmesh.functions.lazy import arrow
 
-    drawn = vectors.orderBy(F.xxhash64("id")).select("vector").limit(sample).toPandas()
+    drawn = sampled(vectors.select("id", "vector"), "id", sample).toPandas()
     if drawn.empty:
         return vectors.select(F.col("id").alias("query"), "id", F.lit(0.0).alias("similarity"), F.lit(0).alias("rank"))
     rows = np.stack(drawn.vector.to_numpy()).astype(np.float32)

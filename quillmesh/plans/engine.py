@@ -9,7 +9,7 @@ from quillmesh.engine import TextEngine
 from quillmesh.functions import tokens
 from quillmesh.operators import decide, measures
 from quillmesh.plans.registry import Registry
-from quillmesh.runtime import table
+from quillmesh.runtime import sampled, table
 
 query = Registry()
 
@@ -60,7 +60,7 @@ def dec_spam_adapter(spark, sf):
 def dec_interaction_head(spark, sf):
     """Choice questions decided by a head that was fitted to a bounded sample of labelled ones."""
     rows = _choices(spark, sf)
-    sample = rows.where("gold IS NOT NULL AND lower(split) LIKE 'train%'").orderBy(F.xxhash64("id")).limit(400).collect()
+    sample = sampled(rows.where("gold IS NOT NULL AND lower(split) LIKE 'train%'"), "id", 400).collect()
     examples = []
     for r in sample:
         labels = sorted(r.criteria)

@@ -125,3 +125,13 @@ def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         held = [batch.slice(start)]
     if held:
         yield pa.Table.from_batches(held)
+
+
+def sampled(df: DataFrame, key: str, most: int, seed: int = 0) -> DataFrame:
+    """At most ``most`` rows, drawn by hash of ``key``. Rows beyond a little over ``most`` are dropped where they are read,
+    so what reaches the driver does not grow with the number of tasks."""
+    rows = df.count()
+    if rows > 2 * most:
+        part = int(1.2 * most / rows * (1 << 30)) + 1
+        df = df.where(F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 30)) < part)
+    return df.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(most)
