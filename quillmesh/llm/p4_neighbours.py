@@ -3,7 +3,8 @@
 The first graph comes from ``TREES`` partitions of the space into cells around pivots (fitted on a bounded sample; every
 vector is placed), with exact neighbours inside each cell. Then rounds of NN-descent: two neighbours of one vector that
 have not shared a cell are compared, and what is better replaces what was known. Each round joins the proposed pairs with
-the vectors and the results with the lists. Queries from outside walk the graph greedily (:func:`search`).
+the vectors and the results with the lists. Queries from outside enter the graph at the nearest members of the cells they
+fall into and walk it greedily (:func:`search`).
 
 Rows travel in packed pieces (one for each batch and cell, or batch and part), not one by one. Vectors are scaled to
 length one and rounded to half precision, which moves a cosine by about 1e-4.
@@ -29,7 +30,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillmesh.llm.components import look_up
-from quillmesh.runtime import cut, default_parallelism, map_batches, sampled, table, whole_groups
+from quillmesh.runtime import cut, default_parallelism, map_batches, table, whole_groups
 
 TREES = 3
 #: Vectors in a cell, on average, and the most pivots of one partition.
@@ -195,6 +196,17 @@ class Cells:
             short |= ((cell + 20_011 * block).astype(np.uint64) & np.uint64(0xFFFF)) << np.uint64(16 * t)
         return whole, short
 
+    def reach(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Row numbers of vectors from outside, and the cells they look into: all blocks of the nearest in each partition."""
+        rows, whole = [], []
+        for t, (p, b) in enumerate(zip(self.pivots, self.blocks, strict=True)):
+            cell = _nearest(unit, p)
+            n = b[cell]
+            row = np.repeat(np.arange(len(unit)), n)
+            rows.append(row)
+            whole.append((np.int64(t) << 56) + (cell[row] << 24) + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n))
+        return np.concatenate(rows), np.concatenate(whole)
+
 
 def _share_cell(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Whether two vectors were in one cell of any partition."""
@@ -310,10 +322,13 @@ def compared(pairs: DataFrame, nodes: Nodes, sent, parts: int) -> DataFrame:
     return map_batches(both, run, _EDGES)
 
 
-def graph(nodes: Nodes, rounds: int = 1) -> DataFrame:
+def sent_cells(nodes: Nodes):
+    return nodes.df.sparkSession.sparkContext.broadcast(Cells(nodes))  # at most MAX_PIVOTS for each partition
+
+
+def graph(nodes: Nodes, sent, rounds: int = 1) -> DataFrame:
     """The packed neighbour lists after ``rounds`` of NN-descent."""
     parts = 4 * default_parallelism(nodes.df.sparkSession)
-    sent = nodes.df.sparkSession.sparkContext.broadcast(Cells(nodes))  # at most MAX_PIVOTS for each partition
     lists = cut(merged(first_graph(nodes, sent, parts)))
     for r in range(rounds):
         found = compared(proposals(lists), nodes, sent, parts)
@@ -328,7 +343,7 @@ def neighbours(df: DataFrame, k: int = 5, dims: int = 64, rounds: int = 1) -> Da
     if k > KEPT:
         raise ValueError(f"k is at most {KEPT}")
     nodes = Nodes(df, dims)
-    lists = graph(nodes, rounds)
+    lists = graph(nodes, sent_cells(nodes), rounds)
 
     def edges(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         parts = []
@@ -363,17 +378,51 @@ def neighbours(df: DataFrame, k: int = 5, dims: int = 64, rounds: int = 1) -> Da
     return plain.unionByName(chosen.select("id", F.col("o.other").alias("other"), F.least(F.lit(1.0).cast("float"), (-F.col("o.s"))).alias("similarity")))
 
 
+def entered(nodes: Nodes, sent, queries: DataFrame, entries: int) -> DataFrame:
+    """(query, node): the ``entries`` most similar nodes of each query (query, vec) in each cell and block it reaches."""
+    read, dims = nodes.mapper(), nodes.dims
+
+    def place(batch: pa.RecordBatch) -> pa.Table:
+        codes, unit = read(batch)
+        half = unit.astype(np.float16)
+        return pa.Table.from_batches([_blobs(part, [codes >> 1, half], ["node", "unit"]) for part in sent.value.place(codes, unit)[0]])
+
+    def ask(batch: pa.RecordBatch) -> pa.RecordBatch:
+        at, unit = unit_rows(batch.column(1), dims)
+        rows, part = sent.value.reach(unit)
+        return _blobs(part, [batch.column(0).to_numpy()[at][rows], unit.astype(np.float16)[rows]], ["node", "unit"])
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in whole_groups(batches):
+            key, asks = rows.column(0).to_numpy(), rows.column(3).to_numpy()
+            for a, b in _runs(key):
+                piece = rows.slice(a, b - a)
+                (query, q), (node, unit) = ((_open(x.column(1), np.int64), _open(x.column(2), np.float16).reshape(-1, dims).astype(np.float32)) for x in (piece.filter(pa.array(asks[a:b])), piece.filter(pa.array(~asks[a:b]))))
+                n = min(entries, len(node))
+                if not n:
+                    continue
+                for i in range(0, len(query), 1024):
+                    best = np.argpartition(q[i : i + 1024] @ unit.T, len(node) - n, axis=1)[:, -n:]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(query[i : i + 1024], n)), pa.array(node[best].ravel())], names=["query", "node"])
+
+    n, packed = default_parallelism(nodes.df.sparkSession), "part bigint, node binary, unit binary"
+    both = map_batches(nodes.source, place, packed).withColumn("asks", F.lit(False)).unionByName(map_batches(queries, ask, packed).withColumn("asks", F.lit(True)))
+    return both.repartition(n, "part").sortWithinPartitions("part").mapInArrow(walk, "query bigint, node bigint").distinct()
+
+
 def search(df: DataFrame, queries: DataFrame, k: int = 5, dims: int = 64, width: int = 24, entries: int = 6, most_steps: int = 12) -> DataFrame:
     """(query, other, similarity): the ``k`` most similar vectors of ``df`` (id, vec) for each query (query, vec).
 
-    Every query starts at the ``entries`` most similar vectors of a sample and goes on to the neighbours of the best
-    ``width`` it has met, until these bring nothing new. A step is a join with the lists and one with the vectors. Of a group
-    of copies the one with the least id is found.
+    Every query starts at the ``entries`` most similar vectors of each cell it falls into, so that no part of the table is
+    without a way in, and goes on to the neighbours of the best ``width`` it has met, until these bring nothing new. A step
+    is a join with the lists and one with the vectors. Of a group of copies the one with the least id is found.
     """
     if width < k or entries > width:
         raise ValueError("width must be at least k and entries")
     nodes = Nodes(df, dims)
-    read = nodes.mapper()
+    if not nodes.rows:
+        return df.sparkSession.createDataFrame([], "query bigint, other bigint, similarity float")
+    read, sent = nodes.mapper(), sent_cells(nodes)
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
         codes, unit = read(batch)
@@ -386,41 +435,29 @@ def search(df: DataFrame, queries: DataFrame, k: int = 5, dims: int = 64, width:
         both = np.concatenate([np.stack([u, v], axis=1), np.stack([v, u], axis=1)]) >> 1
         return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, 0])), pa.array(np.ascontiguousarray(both[:, 1]))], names=["node", "next"])
 
-    edges = cut(map_batches(graph(nodes), lists_of, "node bigint, next bigint").distinct())
-    start = sampled(vectors, "node", 2_000, 11).toPandas()  # bounded
-    if start.empty:
-        return df.sparkSession.createDataFrame([], "query bigint, other bigint, similarity float")
-    sent = df.sparkSession.sparkContext.broadcast((start.node.to_numpy(np.int64), np.stack(start.v.to_numpy()).astype(np.float32)))
-
-    def first(batch: pa.RecordBatch) -> pa.RecordBatch:
-        at, unit = unit_rows(batch.column(1), dims)
-        node, v = sent.value
-        n = min(entries, len(node))
-        sims = unit @ v.T
-        best = np.argpartition(sims, len(node) - n, axis=1)[:, -n:]
-        own = batch.column(0).to_numpy()[at]
-        return pa.RecordBatch.from_arrays([pa.array(np.repeat(own, n)), pa.array(node[best].ravel()), pa.array(np.take_along_axis(sims, best, 1).ravel()), pa.array(np.ones(best.size, bool))], names=["query", "node", "similarity", "fresh"])
-
+    edges = cut(map_batches(graph(nodes, sent), lists_of, "node bigint, next bigint").distinct())
     def usable(batch: pa.RecordBatch) -> pa.RecordBatch:
         at, unit = unit_rows(batch.column(1), dims)
         return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(list(unit), pa.list_(pa.float32()))], names=["query", "q"])
 
     wanted = queries.select("query", "vec").where("query IS NOT NULL AND vec IS NOT NULL").dropDuplicates(["query"])
     asked = cut(map_batches(wanted, usable, "query bigint, q array<float>"))
-    met = cut(map_batches(wanted, first, "query bigint, node bigint, similarity float, fresh boolean"))
     by_query = W.partitionBy("query").orderBy(F.desc("similarity"), "node")
 
     def compared_to(batch: pa.RecordBatch) -> pa.RecordBatch:
         q, v = (np.stack(batch.column(i).to_numpy(zero_copy_only=False)).astype(np.float32) for i in (2, 3))
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.einsum("ij,ij->i", q, v)), pa.array(np.ones(len(q), bool))], names=["query", "node", "similarity", "fresh"])
 
+    def scored(pairs: DataFrame) -> DataFrame:
+        return map_batches(pairs.join(vectors, "node").join(asked, "query").select("query", "node", "q", "v"), compared_to, "query bigint, node bigint, similarity float, fresh boolean")
+
+    met = cut(scored(entered(nodes, sent, wanted, entries)))
     for _ in range(most_steps):
         best = met.withColumn("place", F.row_number().over(by_query)).where(F.col("place") <= width)
         grown = best.where("fresh").join(edges, "node").select("query", F.col("next").alias("node")).distinct()
         new = grown.join(met.select("query", "node"), ["query", "node"], "left_anti")
-        scored = map_batches(new.join(vectors, "node").join(asked, "query").select("query", "node", "q", "v"), compared_to, "query bigint, node bigint, similarity float, fresh boolean")
         # of what was met only the best of each query can matter again; they are kept to know them as visited
-        met = cut(met.withColumn("fresh", F.lit(False)).unionByName(scored))
+        met = cut(met.withColumn("fresh", F.lit(False)).unionByName(scored(new)))
         if not met.withColumn("place", F.row_number().over(by_query)).where((F.col("place") <= width) & F.col("fresh")).limit(1).count():
             break
     found = met.where("node <> query").withColumn("place", F.row_number().over(by_query)).where(F.col("place") <= k)

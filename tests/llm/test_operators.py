@@ -300,6 +300,21 @@ def test_greedy_search(spark):
     assert p4_neighbours.search(df.limit(0), queries, 5, 16).count() == 0
 
 
+def test_greedy_search_reaches_every_family(spark):
+    """2,000 distant families of ten, none linked to another: each needs a way in."""
+    rng = np.random.default_rng(8)
+    v = (np.repeat(rng.normal(size=(2_000, 16)), 10, axis=0) + 0.02 * rng.normal(size=(20_000, 16))).astype(np.float32)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id bigint, vec array<float>")
+    got = defaultdict(set)
+    for r in p4_neighbours.search(df, df.where("id % 40 = 0").selectExpr("id AS query", "vec"), 5, 16).collect():
+        got[r.query].add(r.other)
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    s = u[::40] @ u.T
+    s[np.arange(500), np.arange(500) * 40] = -2
+    want = np.argsort(-s, axis=1)[:, :5]
+    assert np.mean([len(got[40 * i] & set(w)) / 5 for i, w in enumerate(want.tolist())]) >= 0.9
+
+
 # ---------------------------------------------------------------------------------------- languages
 
 
