@@ -4,7 +4,8 @@ Both sides become sequences of word hashes. A fixed mask of a span of ``run`` wo
 ignores the others (a spaced seed); windows of a test item and of a document that agree in the kept places have the same
 seed hash. Seeds of the corpus are joined with those of the items and every hit is verified: around it the two
 sequences are laid over each other, and the longest unbroken agreement, and the longest that bears substitutions, are
-taken. Every window of ``run`` equal words is a hit, whatever the mask, so :func:`leaks` misses no exact run.
+taken. Every window of ``run`` equal words is a hit, whatever the mask, so :func:`leaks` misses no exact run. Stretches
+with substitutions have masks of their own, of which each such stretch holds at least one, so it misses none of these either.
 
 The items' seeds are broadcast while they are at most ``broadcast_bytes`` large, which is checked first; beyond that the
 seeds of the corpus are joined by hash in the cluster, with hot seeds salted.
@@ -27,6 +28,12 @@ from quillmesh.runtime import map_batches, table
 
 #: Fixed masks over a span of ten words; each keeps the ends.
 MASKS = ("1110110111", "1101011011")
+#: Masks for stretches of ten words or more of which at most a fifth are substituted. Of two pieces of a stretch one bears no
+#: larger share than the whole, so each holds a piece of 10 to 19 words with at most a fifth substituted; every pattern of such
+#: a piece agrees with one of these masks somewhere (found by greedy covering of all 4,655 patterns; a test counts them again).
+TOLERANT_MASKS = ("1111011", "110010111", "1110100011", "1011111", "1110111", "111100101")
+#: Equal-word flags laid out at once.
+FLAGS = 1 << 22
 BROADCAST_BYTES = 64 << 20
 SALTS = 16
 
@@ -67,8 +74,8 @@ class Items:
         for seed, _, _ in self.tables:
             self.bloom[(seed & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
 
-    def hits(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(place in ``hashes``, item, place in the item) of every seed the two share."""
+    def hits(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(place in ``hashes``, item, place in the item, span) of every seed the two share."""
         out = []
         for mask, (seed, item, place) in zip(self.masks, self.tables, strict=True):
             own = seeds(hashes, mask)
@@ -76,8 +83,8 @@ class Items:
             low, high = np.searchsorted(seed, own[at], "left"), np.searchsorted(seed, own[at], "right")
             n = high - low
             k = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            out.append((np.repeat(at, n), item[k], place[k]))
-        return tuple(np.concatenate([o[i] for o in out]) for i in range(3))
+            out.append((np.repeat(at, n), item[k], place[k], np.full(len(k), len(mask))))
+        return tuple(np.concatenate([o[i] for o in out]) for i in range(4))
 
 
 def agreement(doc: np.ndarray, item: np.ndarray, shift: int, least_share: float = 0.8) -> tuple[int, int, int]:
@@ -100,9 +107,33 @@ def agreement(doc: np.ndarray, item: np.ndarray, shift: int, least_share: float
     return unbroken, int(lengths[best]), int(best - min(first[best], len(at) - 1) + 1)
 
 
+def _dense(hashes: np.ndarray, starts: np.ndarray, sizes: np.ndarray, items: Items, seen: np.ndarray, run: int) -> np.ndarray:
+    """Which of ``seen`` (document, item, shift) hold ``run`` words or more in a row of which at most a fifth differ."""
+    out = np.zeros(len(seen), bool)
+    order = np.argsort(items.sizes[seen[:, 1]], kind="stable")  # so that rows of like width go together
+    at = 0
+    while at < len(order):
+        most = max(1, FLAGS // max(1, int(items.sizes[seen[order[at], 1]])))
+        width = int(items.sizes[seen[order[min(at + most, len(order)) - 1], 1]])
+        rows = order[at : at + max(1, min(most, FLAGS // max(1, width)))]
+        at += len(rows)
+        doc, item, shift = seen[rows].T
+        width = int(items.sizes[item].max())
+        i = np.arange(width)
+        there = i + shift[:, None]
+        inside = (i < items.sizes[item][:, None]) & (there >= 0) & (there < sizes[doc][:, None])
+        own = hashes[np.where(inside, starts[doc][:, None] + there, 0)]
+        other = items.hashes[np.where(inside, items.starts[item][:, None] + i, 0)]
+        sums = np.zeros((len(rows), width + 1), np.int32)
+        np.cumsum(np.where(inside & (own == other), 1, -4), axis=1, out=sums[:, 1:])
+        if width >= run:
+            out[rows] = (sums[:, run:] >= np.minimum.accumulate(sums, axis=1)[:, : width + 1 - run]).any(axis=1)
+    return out
+
+
 def _overlaps(ids: np.ndarray, hashes: np.ndarray, starts: np.ndarray, sizes: np.ndarray, items: Items, run: int, tolerant: bool) -> tuple[list, list, list, list, list]:
     """Verified overlaps of a batch: document, item, unbroken run, stretch, equal words."""
-    place, item, at = items.hits(hashes)
+    place, item, at, span = items.hits(hashes)
     out: tuple[list, list, list, list, list] = ([], [], [], [], [])
     if not len(place):
         return out
@@ -112,9 +143,13 @@ def _overlaps(ids: np.ndarray, hashes: np.ndarray, starts: np.ndarray, sizes: np
         if not back.any():
             break
         doc = np.where(back, doc - 1, doc)
-    inside = place - starts[doc] + len(items.masks[0]) <= sizes[doc]
+    inside = place - starts[doc] + span <= sizes[doc]
     doc, item, shift = doc[inside], item[inside], (place - starts[doc])[inside] - at[inside]
-    seen = np.unique(np.stack([doc, item, shift], axis=1), axis=0)
+    order = np.lexsort((shift, item, doc))
+    seen = np.stack([doc, item, shift], axis=1)[order]
+    seen = seen[np.concatenate([[True], (seen[1:] != seen[:-1]).any(axis=1)])] if len(seen) else seen
+    if tolerant:
+        seen = seen[_dense(hashes, starts, sizes, items, seen, run)]
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
     for d, k, s in seen.tolist():
         own = hashes[starts[d] : starts[d] + sizes[d]]
@@ -134,7 +169,7 @@ def leaks(docs: DataFrame, items: DataFrame, run: int = 10, tolerant: bool = Fal
     """Pairs of a document and an item that leaked into it.
 
     ``docs`` holds doc_id and text, ``items`` item_id and text. With ``tolerant``, stretches of at least ``run`` words with
-    a fifth of them substituted count too.
+    at most a fifth of them substituted, which begin and end with equal words, count too; all of them are found.
     """
     spark = docs.sparkSession
     docs, items = docs.select("doc_id", "text"), items.select("item_id", "text").where(F.length("text") > 0)
@@ -144,7 +179,7 @@ def leaks(docs: DataFrame, items: DataFrame, run: int = 10, tolerant: bool = Fal
     rows = items.dropDuplicates(["item_id", "text"]).collect()  # bounded: its size was checked
     if not rows:
         return spark.createDataFrame([], _SCHEMA)
-    sent = spark.sparkContext.broadcast(pickle.dumps(Items([r[0] for r in rows], [r[1] for r in rows])))
+    sent = spark.sparkContext.broadcast(pickle.dumps(Items([r[0] for r in rows], [r[1] for r in rows], TOLERANT_MASKS if tolerant else MASKS)))
     holder: list[Items] = []
 
     def run_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -163,12 +198,13 @@ def leaks(docs: DataFrame, items: DataFrame, run: int = 10, tolerant: bool = Fal
 
 def _joined(docs: DataFrame, items: DataFrame, run: int, tolerant: bool) -> DataFrame:
     """The same where the items are too large to broadcast: seeds are joined by hash, then only the texts that met are laid over each other."""
+    masks = TOLERANT_MASKS if tolerant else MASKS
 
     def explode(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids, out_id, out_seed = batch.column(0).to_pylist(), [], []
         for k, t in zip(ids, batch.column(1).to_pylist(), strict=True):
             h = hash_words(words(t))
-            s = np.unique(np.concatenate([seeds(h, m) for m in MASKS])).view(np.int64)
+            s = np.unique(np.concatenate([seeds(h, m) for m in masks])).view(np.int64)
             out_id.append(np.full(len(s), k, np.int64))
             out_seed.append(s)
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_id)), pa.array(np.concatenate(out_seed))], names=["k", "seed"])
@@ -183,7 +219,7 @@ def _joined(docs: DataFrame, items: DataFrame, run: int, tolerant: bool) -> Data
         out: tuple[list, list, list, list, list] = ([], [], [], [], [])
         for d, k, doc, text in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
             own = words(doc)
-            part = _overlaps(np.array([d]), hash_words(own), np.array([0]), np.array([len(own)]), Items([k], [text]), run, tolerant)
+            part = _overlaps(np.array([d]), hash_words(own), np.array([0]), np.array([len(own)]), Items([k], [text], masks), run, tolerant)
             for column, v in zip(out, part, strict=True):
                 column.extend(v)
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["doc_id", "item_id", "unbroken", "stretch", "equal_words"])

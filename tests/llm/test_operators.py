@@ -437,6 +437,50 @@ def test_leaks_bear_substitutions(spark):
     assert row.stretch == 30 and row.equal_words == 27
 
 
+def test_tolerant_masks_miss_no_pattern():
+    for n in range(10, 20):
+        for bad in itertools.chain.from_iterable(itertools.combinations(range(n), k) for k in range(n // 5 + 1)):
+            kept = "".join("0" if i in bad else "1" for i in range(n))
+            assert any(all(kept[j + i] == "1" for i, c in enumerate(m) if c == "1") for m in p9_leaks.TOLERANT_MASKS for j in range(n - len(m) + 1)), kept
+
+
+def test_substituted_leaks_match_brute_force(spark):
+    rng = random.Random(12)
+    vocabulary = [f"v{i}" for i in range(400)]
+    items = [(i, " ".join(rng.choices(vocabulary, k=rng.randrange(20, 40)))) for i in range(12)] + [(50, None), (51, ""), (52, "too short")]
+    docs = []
+    for d in range(150):
+        own = rng.choices(vocabulary, k=30)
+        source = items[rng.randrange(12)][1].split()
+        n = rng.choice((9, 10, 10, 11, 14, 15, 20))
+        at = rng.randrange(len(source) - n + 1)
+        part = source[at : at + n]
+        for j in rng.sample(range(n), rng.randrange(n // 5 + 2)):
+            part[j] = f"x{rng.randrange(1000)}"
+        place = rng.choice((0, 5, 30))
+        own[place:place] = part
+        docs.append((d, " ".join(own)))
+    docs += [(900, None), (901, ""), (902, LONG)]
+
+    def stretches(a, b):  # (unbroken, stretch, equal) of the best alignment, straight from the definition
+        best = (0, 0, 0)
+        for shift in range(-len(b) + 1, len(a)):
+            equal = [0 <= i + shift < len(a) and a[i + shift] == w for i, w in enumerate(b)]
+            unbroken = max(len(list(g)) if k else 0 for k, g in itertools.groupby(equal))
+            long = max(((j - i + 1, sum(equal[i : j + 1])) for i in range(len(b)) if equal[i] for j in range(i, len(b)) if equal[j] and 5 * sum(equal[i : j + 1]) >= 4 * (j - i + 1)), default=(0, 0))
+            if long[0] >= 10:
+                best = max(best, (unbroken, *long))
+        return best
+
+    want = {(d, k): best for d, text in docs[:150] for k, t in items[:12] if (best := stretches(words(text), words(t)))[1]}
+    short = [w for w in want.values() if w[0] < 7]
+    assert len(want) > 80 and len(short) > 20
+    d, i = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    for limit in (p9_leaks.BROADCAST_BYTES, 0):
+        got = {(r.doc_id, r.item_id): (r.unbroken, r.stretch, r.equal_words) for r in p9_leaks.leaks(d, i, tolerant=True, broadcast_bytes=limit).collect()}
+        assert got == want
+
+
 def brute_repeated(tokens, run=8):
     seen, hit = set(), [0] * len(tokens)
     for j in range(len(tokens) - run + 1):
