@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quillmesh.functions import normalize, tokens
 from quillmesh.functions import tables as T
-from quillmesh.runtime import sampled
+from quillmesh.runtime import cut, sampled
 
 
 def postings(docs: DataFrame) -> DataFrame:
@@ -82,8 +82,11 @@ def migrated(rows: DataFrame, version: str = "schema_version", newest: int = 2)
 
 
 def cell_search(vectors: DataFrame, queries: DataFrame, k: int, probes: int = 4, cell: int = 1_000, sample: int = 20_000) -> DataFrame:
-    """Approximate :func:`exact_search`: vectors lie in cells around pivots of a bounded sample, a query looks into its
-    ``probes`` nearest cells. Every vector is in a cell; work and shuffles follow the cells, not all pairs."""
+    """The rows of :func:`exact_search` by cells around pivots of a bounded sample; every vector is in a cell.
+
+    A query looks into its ``probes`` nearest cells, then into all others that can hold a vector at least as near as its k-th
+    hit: no member is nearer than the query's angle to the pivot less the widest angle in the cell. What is left out follows
+    the data; where cells are wide, as among vectors without clusters, nothing is."""
     import numpy as np
     import pandas as pd
 
@@ -92,20 +95,53 @@ def cell_search(vectors: DataFrame, queries: DataFrame, k: int, probes: int = 4,
     drawn = sampled(vectors.select("id", "vector"), "id", sample).toPandas()
     if drawn.empty:
         return vectors.select(F.col("id").alias("query"), "id", F.lit(0.0).alias("similarity"), F.lit(0).alias("rank"))
-    rows = np.stack(drawn.vector.to_numpy()).astype(np.float32)
-    rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
-    count = max(1, min(len(rows), round(vectors.count() / cell)))
-    pivots = rows[np.random.default_rng(3).choice(len(rows), count, replace=False)]
 
-    def near(n: int):
-        def run(v: pd.Series) -> pd.Series:
-            x = np.stack(v.to_numpy()).astype(np.float32)
-            return pd.Series(list(np.argsort(-(x @ pivots.T), axis=1)[:, : min(n, count)].astype(np.int32)))
+    def unit(v: pd.Series) -> np.ndarray:
+        x = np.stack(v.to_numpy()).astype(np.float64)
+        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
-        run.__annotations__ = {"v": pd.Series, "return": pd.Series}
-        return arrow("array<int>")(run)
+    rows = unit(drawn.vector)
+    count = max(1, min(len(rows), round(vectors.count() / cell)))
+    pivots = rows[np.random.default_rng(3).choice(len(rows), count, replace=False)]
 
-    placed = vectors.select("id", "vector", F.element_at(near(1)(F.col("vector")), 1).alias("cell"))
-    asked = queries.select(F.col("id").alias("query"), F.col("vector").alias("q"), F.explode(near(probes)(F.col("vector"))).alias("cell"))
-    scored = asked.join(placed, "cell").where(F.col("query") != F.col("id")).select("query", "id", cosine(F.col("q"), F.col("vector")).alias("similarity"))
-    return scored.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy(F.desc("similarity"), "id"))).where(F.col("rank") <= k)
+    def angles(v: pd.Series):
+        """The angles of each vector to all pivots, a few rows at a time."""
+        x = unit(v)
+        for i in range(0, len(x), 512):
+            yield from np.arccos(np.clip(x[i : i + 512] @ pivots.T, -1, 1))
+
+    def place(v: pd.Series) -> pd.DataFrame:
+        best = [(int(a.argmin()), float(a.min())) for a in angles(v)]
+        return pd.DataFrame(best, columns=["cell", "angle"])
+
+    def near(v: pd.Series) -> pd.Series:
+        return pd.Series([np.argsort(a, kind="stable")[:probes].astype(np.int32) for a in angles(v)])
+
+    place.__annotations__ = {"v": pd.Series, "return": pd.DataFrame}
+    near.__annotations__ = {"v": pd.Series, "return": pd.Series}
+    by_query = W.partitionBy("query").orderBy(F.desc("similarity"), "id")
+    placed = vectors.select("id", "vector", arrow("cell int, angle double")(place)(F.col("vector")).alias("at")).select("id", "vector", "at.cell", "at.angle")
+    widest = placed.groupBy("cell").agg(F.max("angle").alias("angle")).toPandas()  # at most one row a pivot
+    width = np.full(count, -np.inf)  # nobody is in the other cells
+    width[widest.cell.to_numpy()] = widest.angle.to_numpy()
+
+    def others(v: pd.Series, kth: pd.Series) -> pd.Series:
+        found = []
+        for a, s in zip(angles(v), kth, strict=True):
+            reached = a - width <= np.arccos(np.clip(s, -1, 1)) + 1e-6
+            reached[np.argsort(a, kind="stable")[:probes]] = False
+            found.append(np.flatnonzero(reached).astype(np.int32))
+        return pd.Series(found)
+
+    others.__annotations__ = {"v": pd.Series, "kth": pd.Series, "return": pd.Series}
+
+    def looked(asked: DataFrame) -> DataFrame:
+        scored = asked.join(placed, "cell").where(F.col("query") != F.col("id")).select("query", "id", cosine(F.col("q"), F.col("vector")).alias("similarity"))
+        return scored.withColumn("rank", F.row_number().over(by_query)).where(F.col("rank") <= k)
+
+    asked = queries.select(F.col("id").alias("query"), F.col("vector").alias("q"))
+    first = cut(looked(asked.withColumn("cell", F.explode(arrow("array<int>")(near)(F.col("q"))))))
+    kth = first.where(F.col("rank") == k).select("query", F.col("similarity").alias("kth"))  # none where fewer were met: all cells then
+    reach = arrow("array<int>")(others)(F.col("q"), F.coalesce("kth", F.lit(-1.0)))
+    second = looked(asked.join(kth, "query", "left").withColumn("cell", F.explode(reach)))
+    return first.unionByName(second).drop("rank").withColumn("rank", F.row_number().over(by_query)).where(F.col("rank") <= k)

@@ -65,7 +65,7 @@ def abbr_resolve(spark, sf):
 
 @query()
 def vec_ann(spark, sf):
-    """Approximate neighbours of every twentieth vector by cells."""
+    """Neighbours of every twentieth vector by cells."""
     v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     return R.cell_search(v, v.where("id % 20 = 0"), 10, cell=200).select("query", "id", F.round("similarity", 5).alias("similarity"), "rank")
 

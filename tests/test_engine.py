@@ -1,6 +1,7 @@
 """The engine, its sources and sinks, decisions, streams and the command line."""
 
 import json
+import os
 
 import numpy as np
 import pytest
@@ -159,3 +160,19 @@ def test_command_line(spark, capsys):
 def test_manifest(spark):
     rows = packs.manifest(spark).collect()
     assert {r.kind for r in rows} == {"languages", "symbols", "abbreviations"} and all(len(r.sha256) == 64 for r in rows)
+
+
+def test_cell_search_finds_what_exact_search_finds(spark):
+    path = "/root/testdata/sf0.1/embeddings.parquet"
+    if not os.path.isfile(path):
+        pytest.skip("no test data here")
+    v = spark.read.parquet(path).selectExpr("vec_id AS id", "embedding AS vector")
+    rng = np.random.default_rng(4)
+    spread = (np.repeat(rng.normal(size=(60, 8)), 20, axis=0) + 0.05 * rng.normal(size=(1_200, 8))).tolist()
+    families = spark.createDataFrame([*enumerate(spread), (5_000, [0.0] * 8)], "id bigint, vector array<double>")
+    for vectors, cell in ((v, 200), (families, 20)):
+        queries = vectors.where("id % 20 = 0")
+        exact, got = ({(r["query"], r["rank"]): (r["id"], r["similarity"]) for r in f.collect()} for f in (retrieval.exact_search(vectors, queries, 10), retrieval.cell_search(vectors, queries, 10, cell=cell)))
+        assert got == exact and len(got) == 10 * queries.count()
+    few = families.where("id < 4")
+    assert retrieval.cell_search(few, few, 10, cell=1).count() == 12
