@@ -81,6 +81,12 @@ def norm_casefold_ascii(spark, sf):
     return _docs(spark, sf).where(~F.col("text").rlike(r"[^\x00-\x7F]")).select("doc_id", normalize.fold(F.col("text")).alias("folded"))
 
 
+@query()
+def norm_casefold_all(spark, sf):
+    """The folding of all documents; :func:`norm_casefold_ascii` has those on which DuckDB's ``lower`` agrees."""
+    return _docs(spark, sf).select("doc_id", normalize.fold(F.col("text")).alias("folded"))
+
+
 @query("SELECT doc_id, nfc_normalize(text) AS nfc FROM documents")
 def norm_nfc(spark, sf):
     return _docs(spark, sf).select("doc_id", normalize.nfc(F.col("text")).alias("nfc"))
@@ -96,6 +102,12 @@ def norm_strip_diacritics(spark, sf):
     return _docs(spark, sf).where(~F.col("text").rlike("[^\\x00-\\x7Fàâäáãåçèéêëìíîïñòóôõöùúûü¿]")).select("doc_id", normalize.strip_marks(normalize.fold(F.col("text"))).alias("bare"))
 
 
+@query()
+def norm_strip_diacritics_all(spark, sf):
+    """All documents; :func:`norm_strip_diacritics` has those on which DuckDB's ``strip_accents`` agrees."""
+    return _docs(spark, sf).select("doc_id", normalize.strip_marks(normalize.fold(F.col("text"))).alias("bare"))
+
+
 @query()
 def norm_skeleton(spark, sf):
     return _docs(spark, sf).select("doc_id", normalize.skeleton(F.col("text")).alias("skeleton"))
@@ -121,6 +133,12 @@ def norm_alnum_fold(spark, sf):
     return _docs(spark, sf).where(~F.col("text").rlike(r"[^\x00-\x7F]")).select("doc_id", normalize.letters_only(normalize.fold(F.col("text"))).alias("folded"))
 
 
+@query()
+def norm_alnum_fold_all(spark, sf):
+    """All documents; :func:`norm_alnum_fold` has those in ASCII, on which the SQL agrees."""
+    return _docs(spark, sf).select("doc_id", normalize.letters_only(normalize.fold(F.col("text"))).alias("folded"))
+
+
 @query("SELECT doc_id, left(text, 8192) AS head, length(text) > 8192 AS too_long FROM documents")
 def norm_truncate(spark, sf):
     """The head that an analysis may take, and whether a text is over the limit."""

@@ -1,5 +1,8 @@
 """Functions against plain versions of themselves and known values."""
 
+import os
+import re
+import unicodedata
 from collections import Counter
 
 import pytest
@@ -118,3 +121,43 @@ def test_readings():
     assert "I love you" in found or "I love u" in found
     assert rebus.decode_text("", lexicon) == []
     assert rebus.plausibility("for the house", lexicon) == 1.0
+
+
+def plain_fold(text):
+    """Character by character after the compatibility form."""
+    special = {"ß": "ss", "ẞ": "ss", "ς": "σ", "ſ": "s", "İ": "i\u0307"}
+    return "".join(special.get(c, c.lower()) for c in unicodedata.normalize("NFKC", text))
+
+
+def test_folding_queries_cover_all_documents(spark, tmp_path):
+    from quillmesh.plans import catalogue
+
+    # text, folded, without marks, letters and digits
+    fixture = [
+        (None, None, None, None),
+        ("", "", "", ""),
+        ("Plain TEXT 1!", "plain text 1!", "plain text 1!", "plaintext1"),
+        ("Straße, GROẞ ſo", "strasse, gross so", "strasse, gross so", "strassegrossso"),
+        ("ΣΟΦΟΣ σοφός", "σοφοσ σοφόσ", "σοφοσ σοφοσ", "σοφοσσοφόσ"),
+        ("İstanbul", "i\u0307stanbul", "istanbul", "istanbul"),
+        ("Ёлка, Йод", "ёлка, йод", "елка, иод", "ёлкайод"),
+        ("Łódź — ﬁn ①", "łódź — fin 1", "łodz — fin 1", "łódźfin1"),
+        ("e\u0301 Ａ", "é a", "e a", "éa"),
+        ("हिन्दी", "हिन्दी", "हिन्दी", "हिनदी"),
+        ("👍🏽 漢字 𝐗", "👍🏽 漢字 x", "👍🏽 漢字 x", "漢字x"),
+        ("مَدرسة", "مَدرسة", "مَدرسة", "مَدرسة"),
+    ]
+    path = str(tmp_path)
+    spark.createDataFrame([(i, r[0]) for i, r in enumerate(fixture)], "doc_id bigint, text string").write.parquet(f"{path}/documents.parquet")
+    queries = catalogue.queries()
+    for k, name in enumerate(("norm_casefold_all", "norm_strip_diacritics_all", "norm_alnum_fold_all"), 1):
+        got = {r[0]: r[1] for r in queries[name](spark, path).collect()}
+        assert got == {i: r[k] for i, r in enumerate(fixture)}, name
+    sf = "/root/testdata/sf0.01"
+    if os.path.isdir(sf):  # whole tables against a plain version
+        texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+        mark = re.compile("[\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f]")
+        folded = {i: None if t is None else plain_fold(t) for i, t in texts.items()}
+        assert sum(t is not None and not t.isascii() for t in texts.values()) > 100
+        assert {r[0]: r[1] for r in queries["norm_casefold_all"](spark, sf).collect()} == folded
+        assert {r[0]: r[1] for r in queries["norm_strip_diacritics_all"](spark, sf).collect()} == {i: None if t is None else mark.sub("", unicodedata.normalize("NFD", t)) for i, t in folded.items()}
