@@ -133,9 +133,11 @@ def idx_candidates(spark, sf):
 
 @query()
 def idx_prerank(spark, sf):
+    """The 20 best documents for each test item among those that share a word, the normalized text or a trigram with it, the
+    first 200 of each posting list as the retrieval has it."""
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
     queries = table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), "text")
-    found = R.candidates(R.postings(docs).where("channel <> 'character'"), queries)
+    found = R.candidates(R.postings(docs), queries)
     return R.preranked(found, queries, docs, 20).select("query", "id", F.round("prerank", 6).alias("prerank"), "rank")
 
 

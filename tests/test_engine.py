@@ -176,3 +176,12 @@ def test_cell_search_finds_what_exact_search_finds(spark):
         assert got == exact and len(got) == 10 * queries.count()
     few = families.where("id < 4")
     assert retrieval.cell_search(few, few, 10, cell=1).count() == 12
+
+
+def test_prerank_query_draws_from_all_channels(spark, tmp_path):
+    from quillmesh.plans import catalogue
+
+    path = str(tmp_path)
+    spark.createDataFrame([(1, "unbelievable"), (2, "zzz qqq"), (3, "believably done"), (4, None)], "doc_id bigint, text string").write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(7, "believable")], "item_id bigint, text string").write.parquet(f"{path}/benchmark.parquet")
+    assert sorted((r["query"], r["id"]) for r in catalogue.queries()["idx_prerank"](spark, path).collect()) == [(7, 1), (7, 3)]
