@@ -178,6 +178,14 @@ def test_cell_search_finds_what_exact_search_finds(spark):
     assert retrieval.cell_search(few, few, 10, cell=1).count() == 12
 
 
+def test_pattern_query_reads_whole_texts(spark, tmp_path):
+    from quillmesh.plans import catalogue
+
+    path = str(tmp_path)
+    spark.createDataFrame([("a", " " * 9_000 + "last chance to claim your prize now"), ("b", "hello"), ("c", None)], "id string, text string").write.parquet(f"{path}/spam_item.parquet")
+    assert [(r.id, r.pattern_id) for r in catalogue.queries()["pat_match"](spark, path).collect()] == [("a", "claim")]
+
+
 def test_prerank_query_draws_from_all_channels(spark, tmp_path):
     from quillmesh.plans import catalogue
 
