@@ -13,6 +13,7 @@ repeated rows. Other columns are not read.
 from __future__ import annotations
 
 import base64
+import heapq
 import os
 
 import numpy as np
@@ -86,6 +87,16 @@ class PairRanks:
             open_ = open_[~hit & (held != np.uint64(2**64 - 1))]
         return out
 
+    def find_one(self, left: int, right: int) -> int:
+        """:func:`find` for one pair."""
+        key = left << 32 | right
+        at = (key * int(_MULTIPLIER) & 2**64 - 1) >> 64 - self.bits
+        while (held := int(self.keys[at])) != key:
+            if held == 2**64 - 1:
+                return int(_NONE)
+            at = at + 1 & (1 << self.bits) - 1
+        return int(self.values[at])
+
 
 def _merge_rows(ids: np.ndarray, lengths: np.ndarray, pairs: PairRanks) -> tuple[np.ndarray, np.ndarray]:
     """The rows of a padded matrix, merged until no pair joins; returns the matrix and the new lengths."""
@@ -128,21 +139,23 @@ def _merge_rows(ids: np.ndarray, lengths: np.ndarray, pairs: PairRanks) -> tuple
 
 
 def _merge_long(ids: np.ndarray, pairs: PairRanks) -> np.ndarray:
-    """One long piece. Pairs of one rank never give a pair of lower rank, so a round may merge all pairs of the least rank."""
-    while len(ids) > 1:
-        ranks = pairs.find(ids[:-1], ids[1:])
-        best = ranks.min()
-        if best == _NONE:
-            break
-        hits = np.flatnonzero(ranks == best)
-        if len(hits) > 1:  # in a run of overlapping pairs every other one is merged, from the left
-            run = np.cumsum(np.concatenate([[1], (np.diff(hits) != 1).astype(np.int64)]))
-            first = np.concatenate([[0], np.flatnonzero(np.diff(run)) + 1])
-            hits = hits[(np.arange(len(hits)) - first[run - 1]) % 2 == 0]
-        ids = ids.copy()
-        ids[hits] = best
-        ids = np.delete(ids, hits + 1)
-    return ids
+    """One long piece, merged like a row of the matrix, always at the leftmost pair of least rank; a heap finds it."""
+    n = len(ids)
+    after, before, at = list(range(1, n + 1)), list(range(-1, n - 1)), ids.tolist()
+    heap = [(rank, i, at[i], at[i + 1]) for i, rank in enumerate(pairs.find(ids[:-1], ids[1:]).tolist()) if rank != _NONE]
+    heapq.heapify(heap)
+    while heap:
+        rank, i, left, right = heapq.heappop(heap)
+        j = after[i]
+        if at[i] != left or j >= n or at[j] != right:
+            continue  # one of the two has been merged since
+        at[i], at[j], after[i] = rank, -1, after[j]
+        if after[i] < n:
+            before[after[i]] = i
+        for k, m in ((before[i], i), (i, after[i])):
+            if k >= 0 and m < n and (found := pairs.find_one(at[k], at[m])) != _NONE:
+                heapq.heappush(heap, (found, k, at[k], at[m]))
+    return np.array([x for x in at if x >= 0], np.int32)
 
 
 def encode_pieces(pieces: list[bytes], pairs: PairRanks) -> list[np.ndarray]:

@@ -398,6 +398,18 @@ def test_encoding_of_tables(spark, tiktoken_encoding):
     assert p8_encode.encode_column(df.limit(0), "text", "tokens", ["doc_id"], TOKENIZER).count() == 0
 
 
+def test_long_pieces_merge_leftmost_first():
+    """Where a pair joins to a rank below that of its parts, it matters which is merged first."""
+    ranks = {bytes([b]): b for b in range(256)} | {b"aba": 256, b"ab": 257, b"bab": 258}
+    piece = b"ab" * 40 + b"c"
+    want = [piece[i : i + 1] for i in range(len(piece))]
+    while pairs := [(ranks[x + y], i) for i, (x, y) in enumerate(zip(want[:-1], want[1:], strict=True)) if x + y in ranks]:
+        i = min(pairs)[1]
+        want[i : i + 2] = [want[i] + want[i + 1]]
+    got = p8_encode.encode_pieces([piece], p8_encode.PairRanks(ranks))[0]
+    assert got.tolist() == [ranks[x] for x in want]
+
+
 # ---------------------------------------------------------------------------------------- leaks and repetition
 
 
