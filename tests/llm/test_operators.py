@@ -283,6 +283,40 @@ def test_neighbours(spark):
     assert p4_neighbours.neighbours(df.limit(0), 5, 16).count() == 0
 
 
+def families_of_vectors(n, seed):
+    rng = np.random.default_rng(seed)
+    v = (rng.normal(size=(n // 30, 16))[rng.integers(0, n // 30, n)] + 0.3 * rng.normal(size=(n, 16))).astype(np.float32)
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    s = (u @ u.T).astype(np.float64)
+    np.fill_diagonal(s, -2)
+    return v, [set(np.argsort(-row, kind="stable")[:5].tolist()) for row in s]
+
+
+@pytest.mark.parametrize("how", [{"leaf": 32}, {"from_random": True, "kept": 12}])
+def test_descent_does_the_work(spark, how):
+    """Small leaves, or no knowledge at all: the first graph is poor, the rounds make it good."""
+    v, want = families_of_vectors(3000, 9)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id bigint, vec array<float>")
+
+    def recall(rounds):
+        got = defaultdict(set)
+        for r in p4_neighbours.neighbours(df, 5, 16, rounds=rounds, **how).collect():
+            got[r.id].add(r.other)
+        return np.mean([len(got[i] & want[i]) / 5 for i in range(len(v))])
+
+    assert recall(0) < 0.9 and recall(12) >= 0.95
+
+
+def test_full_cells_are_divided():
+    rng = np.random.default_rng(3)
+    for rows in (rng.normal(size=(5000, 8)), np.ones((5000, 8))):  # also where nothing tells the rows apart
+        parts = list(p4_neighbours._leaves(rows.astype(np.float32), 100, 1))
+        assert max(map(len, parts)) <= 100 and sorted(np.concatenate(parts).tolist()) == list(range(5000))
+    home = p4_neighbours._homes(rng.normal(size=(300, 8)).astype(np.float32), np.ones(300), 16)
+    assert np.bincount(home, minlength=16).min() >= 10
+    assert set(p4_neighbours._homes(np.ones((3, 8), np.float32), np.ones(3), 16).tolist()) <= set(range(16))
+
+
 def test_greedy_search(spark):
     rng = np.random.default_rng(7)
     centres = rng.normal(size=(30, 16))
