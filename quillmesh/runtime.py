@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import time
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -58,10 +59,14 @@ def cut(df: DataFrame) -> DataFrame:
 def release(spark: SparkSession) -> None:
     """Lets go of the shuffle files of whatever no DataFrame leads to any more, as after a cut in a loop.
 
-    Spark deletes them when the driver's JVM finds their owners unused, which without this may be long after.
+    Spark deletes them when the driver's JVM finds their owners unused, which without this may be long after. The scheduler
+    holds on to the job that ran last, so a small one takes its place first.
     """
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    spark.range(default_parallelism(spark)).groupBy(F.col("id") % 3).count().collect()
+    for _ in range(2):
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def default_parallelism(spark: SparkSession) -> int:
