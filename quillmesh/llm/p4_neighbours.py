@@ -509,17 +509,23 @@ def sent_cells(nodes: Nodes):
 
 def descend(nodes: Nodes, sent, first: DataFrame, rounds: int = ROUNDS, kept: int = KEPT) -> DataFrame:
     """The packed lists after NN-descent from a first graph, until few change."""
-    spark = nodes.df.sparkSession
+    def counted(lists: DataFrame) -> int:
+        """The new entries; after that job nothing holds what led to the lists any longer."""
+        fresh = lists.agg(F.coalesce(F.sum("fresh"), F.lit(0))).first()[0]
+        release(nodes.df.sparkSession)
+        return fresh
+
     lists = cut(merged(first, kept))
-    del first
-    release(spark)
     enough = UPDATES * kept * max(1, nodes.rows - nodes.copied)
+    fresh = counted(lists)
     for _ in range(rounds):
+        if not fresh:
+            break
         better = _joined(_answered(nodes, sent, _meetings(lists, max(MET, kept))), nodes.dims)
         lists = cut(merged(_old(lists).unionByName(better), kept))
         del better
-        release(spark)
-        if lists.agg(F.coalesce(F.sum("fresh"), F.lit(0))).first()[0] <= enough:
+        fresh = counted(lists)
+        if fresh <= enough:
             break
     return lists
 
