@@ -38,6 +38,31 @@ def look_up(rows: DataFrame, key: str, values: DataFrame, weight: str, total: in
     return by_hub.unionByName(others)
 
 
+def salted(many: DataFrame, other: DataFrame, key: str, by: str, total: int) -> DataFrame:
+    """``many`` (``total`` rows) joined with ``other`` on ``key``, where both may have any number of rows for a key.
+
+    Of the keys that hold at least one part in ``HUBS`` of ``many``, each row draws one of so many salts that about
+    ``HUB_ROWS`` share one, by column ``by``, and the rows of ``other`` are repeated for each salt.
+    """
+    if total < HUB_ROWS:
+        return many.join(other, key)
+    least = max(HUB_ROWS, -(-total // HUBS))
+    hot = cut(many.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least).select(key, (1 + F.col("_n") / HUB_ROWS).cast("int").alias("_salts")))
+    dealt = many.join(F.broadcast(hot), key, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(by), F.col("_salts")).cast("int"), F.lit(0))).drop("_salts")
+    repeated = other.join(F.broadcast(hot), key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
+    return dealt.join(repeated, [key, "_salt"]).drop("_salt")
+
+
+def _parents_of(parents: DataFrame, known: DataFrame, total: int) -> DataFrame:
+    """``parents`` (with a column parent) and for each row what ``known`` (parent, above) says of its parent, else the parent.
+
+    A parent may have any number of children, so its children are counted first and looked up by that.
+    """
+    children = parents.groupBy("parent").agg(F.count(F.lit(1)).alias("_n"))
+    above = children.join(known, "parent", "left").select("parent", F.coalesce("above", "parent").alias("above"), "_n")
+    return look_up(parents, "parent", above, "_n", total)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (columns u and v); root is the least node of its component.
 
@@ -46,19 +71,19 @@ def components(edges: DataFrame) -> DataFrame:
     edges = cut(edges.where(F.col("u").isNotNull() & F.col("v").isNotNull()).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     alone = edges.where(F.col("u") == F.col("v")).select(F.col("u").alias("node"), F.col("u").alias("parent"))
     edges = edges.where(F.col("u") != F.col("v"))
-    rounds: list[DataFrame] = []
+    rounds: list[tuple[DataFrame, int]] = []
     left = edges.count()
     while left:
         ends = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         hooked = ends.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("parent"), F.count(F.lit(1)).alias("degree"))
         hooked = cut(hooked)
         while True:  # shortcut
-            above = hooked.select(F.col("u").alias("parent"), F.col("parent").alias("grand"))
-            jumped = cut(hooked.join(above, "parent").select("u", F.col("grand").alias("parent"), "degree", (F.col("grand") != F.col("parent")).alias("moved")))
+            known = hooked.select(F.col("u").alias("parent"), F.col("parent").alias("above"))
+            jumped = cut(_parents_of(hooked, known, 2 * left).select("u", F.col("above").alias("parent"), "degree", (F.col("above") != F.col("parent")).alias("moved")))
             hooked, moved = jumped.drop("moved"), jumped.where("moved").limit(1).count()
             if not moved:
                 break
-        rounds.append(hooked.select(F.col("u").alias("node"), "parent"))
+        rounds.append((hooked.select(F.col("u").alias("node"), "parent"), 2 * left))
         parents = hooked.select("u", "parent", "degree")
         by_u = look_up(edges, "u", parents, "degree", 2 * left).select(F.col("parent").alias("pu"), "v")
         by_v = look_up(by_u, "v", parents.withColumnRenamed("u", "v"), "degree", 2 * left).select("pu", F.col("parent").alias("pv"))
@@ -66,9 +91,10 @@ def components(edges: DataFrame) -> DataFrame:
         left = edges.count()
     if not rounds:
         return alone.select("node", F.col("parent").alias("root")).distinct()
-    roots = rounds.pop()
+    roots, _ = rounds.pop()
     while rounds:
-        known = roots.select(F.col("node").alias("parent"), F.col("parent").alias("root"))
-        roots = rounds.pop().join(known, "parent", "left").select("node", F.coalesce("root", "parent").alias("parent"))
+        known = roots.select(F.col("node").alias("parent"), F.col("parent").alias("above"))
+        own, total = rounds.pop()
+        roots = _parents_of(own, known, total).select("node", F.col("above").alias("parent"))
     found = roots.select("node", F.col("parent").alias("root"))
     return found.unionByName(alone.join(found.select("node"), "node", "left_anti").select("node", F.col("parent").alias("root")))

@@ -5,8 +5,8 @@ two sets of Jaccard similarity ``least`` share a word among the first ``n - ceil
 the evaluation side are the index; prefixes of the training side probe it, and a meeting only counts when the sizes and
 the places of the shared word leave room for the overlap asked for. What passes is verified on whole sets.
 
-Copies share one class on each side, joined once; their members are put in at the end. Words that many records hold are
-salted: the evaluation side is repeated for each salt, the training side draws one.
+Copies share one class on each side, joined once; their members are put in at the end, or only counted for the report.
+Words that many records hold are salted: the evaluation side is repeated for each salt, the training side draws one.
 
 Defined results: a record with a null text, or without any word, is no case; repeated deliveries count once; equal sets
 are a case. An empty side gives no rows.
@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillmesh.llm.components import look_up, salted
 from quillmesh.llm.p6_splits import split_of
 from quillmesh.llm.wordsets import binary_rows, by_rarity, count_of_level, prefix_length, rarity, same_sets, word_sets
 from quillmesh.runtime import cut, map_batches, table
@@ -97,23 +98,40 @@ def _linked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return overlapping(word_sets(cases, ["id", "train"], "a", "b"))
 
 
-def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(train_id, other_id, similarity) of all overlapping records."""
-    linked, members = _linked(spark, sf_dir)
+def pairs_of(linked: DataFrame, members: DataFrame) -> DataFrame:
+    """(train_id, other_id, similarity) of all records of linked classes. The members of large classes are dealt out over
+    tasks on either side, so no task writes all pairs of one."""
+    members = cut(members)
+    total = members.count()
     train = members.where("train").select(F.col("id").alias("train_id"), F.col("set_hash").alias("train_hash"))
     other = members.where(~F.col("train")).select(F.col("id").alias("other_id"), F.col("set_hash").alias("other_hash"))
-    return linked.join(train, "train_hash").join(other, "other_hash").where("train_id <> other_id").select("train_id", "other_id", "similarity").distinct()
+    with_train = salted(train, linked.select("train_hash", "other_hash", "similarity"), "train_hash", "train_id", total)
+    return salted(other, with_train, "other_hash", "other_id", total).where("train_id <> other_id").select("train_id", "other_id", "similarity").distinct()
+
+
+def counts_of(linked: DataFrame, members: DataFrame) -> DataFrame:
+    """(other_id, n, most): for each record that is not train and overlaps, the train records it overlaps and the greatest
+    similarity, from the sizes of the classes; no pair of records is made."""
+    members = cut(members)
+    sizes = members.groupBy("train", "set_hash").agg(F.count(F.lit(1)).alias("n"))
+    per = (
+        linked.join(sizes.where("train").select(F.col("set_hash").alias("train_hash"), "n"), "train_hash")
+        .groupBy("other_hash").agg(F.sum("n").alias("n"), F.max("similarity").alias("most"))
+        .join(sizes.where(~F.col("train")).select(F.col("set_hash").alias("other_hash"), F.col("n").alias("members")), "other_hash")
+    )
+    other = members.where(~F.col("train")).select(F.col("id").alias("other_id"), F.col("set_hash").alias("other_hash"))
+    return look_up(other, "other_hash", per, "members", members.count()).groupBy("other_id").agg(F.sum("n").alias("n"), F.max("most").alias("most"))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pairs of a training record and another that overlap."""
-    return _pairs(spark, sf_dir).select(F.least("train_id", "other_id").alias("id_a"), F.greatest("train_id", "other_id").alias("id_b"))
+    return pairs_of(*_linked(spark, sf_dir)).select(F.least("train_id", "other_id").alias("id_a"), F.greatest("train_id", "other_id").alias("id_b"))
 
 
 def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each split and source, how many of its records occur in training, and in how many pairs."""
     cases = table(spark, sf_dir, "evaluation_case").select("id", split_of("split").alias("split"), "source").dropDuplicates(["id"])
-    found = _pairs(spark, sf_dir).groupBy("other_id").agg(F.count(F.lit(1)).alias("n"), F.max("similarity").alias("most"))
+    found = counts_of(*_linked(spark, sf_dir))
     rows = cases.where("split <> 'train'").join(found.withColumnRenamed("other_id", "id"), "id", "left")
     return rows.groupBy("split", F.coalesce("source", F.lit("")).alias("source")).agg(
         F.count(F.lit(1)).alias("records"), F.count("n").alias("overlapping"), F.coalesce(F.sum("n"), F.lit(0)).alias("pairs"), F.coalesce(F.max("most"), F.lit(0.0)).alias("most_similar")

@@ -13,6 +13,8 @@ categories of a group go to the first in order; empty tables give no rows.
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +28,8 @@ _OUTER = r"^[\s\p{Z}]+|[\s\p{Z}]+$"
 SHARES = {"test": 0.1, "validation": 0.1}
 #: Sums that the bitsets tell apart; groups beyond them are first dealt out in proportion.
 SUMS = 1 << 22
+#: Categories that are strata of their own; all others, the smallest, share as many more by hash.
+STRATA = 1_000
 
 
 def split_of(column: str) -> F.Column:
@@ -54,9 +58,13 @@ def groups(keys: DataFrame) -> DataFrame:
 def choose(counts: list[tuple[int, int]], target: int) -> dict[int, int]:
     """How many groups of each size to take so that their sizes add up to ``target`` as nearly as can be.
 
-    ``counts`` holds each size and its number of groups. A proportional part of each is taken first where the target is
-    beyond ``SUMS``; for the rest a bitset of reachable sums grows by one power-of-two bundle of a size at a time, and is
-    read backwards from the reachable sum closest to the target (the smaller of two).
+    ``counts`` holds each size and its number of groups. A bitset of reachable sums grows by one power-of-two bundle of a
+    size at a time, and is read backwards from the reachable sum closest to the target (the smaller of two). Going back
+    needs the bitset before each bundle; one in every so many is kept, those between are made again from it.
+
+    Beyond ``SUMS`` a proportional part of each size is taken first. Of what is left, groups of at most the size of the
+    target that is left can be added one by one until they pass it, so where these are enough to pass it the total is off
+    by at most half the size of the largest of them.
     """
     total = sum(s * n for s, n in counts)
     if not total or target <= 0:
@@ -66,21 +74,28 @@ def choose(counts: list[tuple[int, int]], target: int) -> dict[int, int]:
         part = (target - SUMS // 2) / total
         taken = {s: int(n * part) for s, n in counts}
         target -= sum(s * n for s, n in taken.items())
-    reach, history = 1, []
     limit = 2 * target  # no sum beyond it is closer than none at all
     window = (1 << limit + 1) - 1
+    bundles = []
     for size, n in sorted(counts, reverse=True):
         n, bundle = min(n - taken.get(size, 0), limit // size), 1
         while n > 0:
-            k = min(bundle, n)
-            history.append((size, k, reach))
-            reach |= reach << size * k & window
-            n, bundle = n - k, bundle * 2
+            bundles.append((size, min(bundle, n)))
+            n, bundle = n - bundle, bundle * 2
+    step, reach, kept = max(1, math.isqrt(len(bundles))), 1, []
+    for i, (size, k) in enumerate(bundles):
+        if i % step == 0:
+            kept.append(reach)
+        reach |= reach << size * k & window
     best = min((s for s in (_below(reach, target), _above(reach, target)) if s is not None), key=lambda s: (abs(s - target), s))
-    for size, k, before in reversed(history):
-        if not before >> best & 1:
-            taken[size] = taken.get(size, 0) + k
-            best -= size * k
+    for start in range((len(bundles) - 1) // step * step, -1, -step) if bundles else ():
+        before = [kept.pop()]
+        for size, k in bundles[start : start + step - 1]:
+            before.append(before[-1] | before[-1] << size * k & window)
+        for (size, k), reach in zip(bundles[start : start + step][::-1], before[: len(bundles) - start][::-1], strict=True):
+            if not reach >> best & 1:
+                taken[size] = taken.get(size, 0) + k
+                best -= size * k
     return {s: n for s, n in taken.items() if n}
 
 
@@ -94,9 +109,20 @@ def _above(reach: int, target: int) -> int | None:
 
 
 def assign(records: DataFrame, shares: dict[str, float] = SHARES) -> DataFrame:
-    """``records`` (id, group_id, category) with a new split for each group; what is left after ``shares`` is train."""
+    """``records`` (id, group_id, category) with a new split for each group; what is left after ``shares`` is train.
+
+    The largest ``STRATA`` categories are balanced each on its own, all others in ``STRATA`` lots by hash, so that what the
+    driver sees stays small whatever the categories are.
+    """
     spark = records.sparkSession
-    per = records.groupBy("group_id", F.coalesce("category", F.lit("")).alias("category")).agg(F.count(F.lit(1)).alias("n"))
+    records = records.withColumn("category", F.coalesce("category", F.lit("")))
+    large = records.groupBy("category").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "category").limit(STRATA + 1)
+    large = cut(large)
+    if large.count() > STRATA:
+        named = large.orderBy(F.desc("n"), "category").limit(STRATA).select("category", F.concat(F.lit("own "), "category").alias("stratum"))
+        lot = F.concat(F.lit("lot "), F.pmod(F.xxhash64("category"), F.lit(STRATA)).cast("string"))
+        records = records.join(F.broadcast(named), "category", "left").withColumn("category", F.coalesce("stratum", lot)).drop("stratum")
+    per = records.groupBy("group_id", "category").agg(F.count(F.lit(1)).alias("n"))
     whole = per.groupBy("group_id").agg(F.sum("n").alias("size"), F.min(F.struct((-F.col("n")).alias("n"), "category")).getField("category").alias("stratum"))
     whole = cut(whole)
     sizes = whole.groupBy("stratum", "size").agg(F.count(F.lit(1)).alias("n")).collect()  # few: see above
@@ -120,18 +146,19 @@ def assign(records: DataFrame, shares: dict[str, float] = SHARES) -> DataFrame:
     if quota:
         frame = spark.createDataFrame(pd.DataFrame(quota, columns=["stratum", "size", "split", "low", "high"]), "stratum string, size bigint, split string, low bigint, high bigint")
         hit = (places["stratum"] == frame["stratum"]) & (places["size"] == frame["size"]) & places["place"].between(frame["low"], frame["high"])
-        chosen = places.join(frame, hit, "left").select("group_id", F.coalesce(frame["split"], F.lit("train")).alias("split"))
+        chosen = places.join(frame, hit, "left").select("group_id", places["size"], F.coalesce(frame["split"], F.lit("train")).alias("split"))
     else:
-        chosen = places.select("group_id", F.lit("train").alias("split"))
-    return records.select("id", "group_id").join(chosen, "group_id").select("id", "group_id", "split")
+        chosen = places.select("group_id", "size", F.lit("train").alias("split"))
+    return look_up(records.select("id", "group_id"), "group_id", chosen, "size", sum(r.size * r.n for r in sizes)).select("id", "group_id", "split")
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The records of groups that more than one split holds now."""
     cases = table(spark, sf_dir, "evaluation_case").select("id", "a", "author", "source", "split")
     found = groups(relations(cases)).join(cases.select("id", split_of("split").alias("split")).distinct(), "id")
-    parted = found.groupBy("group_id").agg(F.min("split").alias("low"), F.max("split").alias("high")).where("low <> high")
-    return found.join(parted, "group_id", "left_semi").select("id", "group_id").distinct()
+    found = cut(found.select("id", "group_id", "split"))
+    parted = found.groupBy("group_id").agg(F.min("split").alias("low"), F.max("split").alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high").select("group_id", "n")
+    return look_up(found, "group_id", parted, "n", found.count()).select("id", "group_id").distinct()
 
 
 def p6_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
