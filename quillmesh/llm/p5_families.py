@@ -14,7 +14,8 @@ blocks of its records (two blocks of ``BLOCK`` records at most), so no task hold
 What travels is packed: the ``COMMON`` words that are most frequent in a sample are one byte each (the sample decides on
 their spelling alone), all others 24 bits of their hash, words of no second record only count, and a record is sent once
 to each partition that holds groups of it. Within groups the overlap of common words is exact in the bitmaps. Two other
-words agree in 24 bits by chance once in 16 million, which can only matter to pairs one word short of the threshold.
+words agree in 24 bits by chance once in 16 million, so every link that comes out is verified on the whole 64-bit hashes of
+both sets, as in problem 2; where one proves false, its component is linked again by other bits.
 
 Defined results: null and short texts (fewer than ``least_words`` words) belong to no family; repeated deliveries are
 one record; a word counts once in a set however often it stands in the text; order of words does not matter.
@@ -32,8 +33,8 @@ from pyspark.sql import functions as F
 from quillmesh.llm.common import fields
 from quillmesh.llm.components import components, look_up
 from quillmesh.llm.plain import hash_words, words
-from quillmesh.llm.wordsets import bucket_of, binary_rows, count_of_level, packed, prefix_length, rarity, sets_of, split_rows
-from quillmesh.runtime import cut, default_parallelism, map_batches, whole_groups
+from quillmesh.llm.wordsets import binary_rows, bitmap_of, bucket_of, count_of_level, in_bitmap, packed, prefix_length, rarity, sets_of, split_rows
+from quillmesh.runtime import cut, default_parallelism, map_batches, release, sampled, whole_groups
 
 #: Records of one word that form a block, as estimated from the rarity table.
 BLOCK = 16_384
@@ -42,25 +43,37 @@ LEAF, FAN = 16, 8
 COMMON, SAMPLE = 255, 4_000
 #: Word sets that a task remembers in order to send copies once.
 SEEN = 1_000_000
+#: Words of a record that stand in the matrix.
+WIDE = 32
 _LANES = 4  # 64-bit lanes of a bitmap, for common words and again for the others
 
 
 def _bits(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """A bitmap of 256 bits for each row of numbers below 256."""
-    out = np.zeros((len(sizes), 256), bool)
-    out[np.repeat(np.arange(len(sizes)), sizes), flat] = True
-    return np.packbits(out, axis=1, bitorder="little").view(np.uint64)
+    maps, begin = [np.empty((0, 4), np.uint64)], np.concatenate([[0], np.cumsum(sizes)])
+    for a in range(0, len(sizes), 50_000):
+        b = min(len(sizes), a + 50_000)
+        out = np.zeros((b - a, 256), bool)
+        out[np.repeat(np.arange(b - a), sizes[a:b]), flat[begin[a] : begin[b]]] = True
+        maps.append(np.packbits(out, axis=1, bitorder="little").view(np.uint64))
+    return np.concatenate(maps)
 
 
 class Sets:
     """Word sets of some records: bitmaps of common words, bitmaps and a padded matrix of the others, and sizes."""
 
     def __init__(self, n: np.ndarray, flat: np.ndarray, sizes: np.ndarray, common: np.ndarray, common_sizes: np.ndarray, tags: np.ndarray | None = None):
-        width = int(sizes.max(initial=1))
         self.n = n.astype(np.int32)
+        row, begin = split_rows(flat, sizes)
+        place = np.arange(len(flat)) - begin[row]
+        width = int(min(WIDE, sizes.max(initial=1)))
+        # short rows stand in a matrix, all that is longer is found by search, so one long record widens nothing
         self.words = np.zeros((len(sizes), width), np.uint32)
+        inside = place < width
+        self.words[row[inside], place[inside]] = flat[inside]
         self.filled = np.arange(width)[None, :] < sizes[:, None]
-        self.words[self.filled] = flat
+        self.flat, self.begin = flat, begin
+        self.sorted = np.sort(row.astype(np.uint64) << np.uint64(32) | flat) if sizes.max(initial=0) > WIDE else None
         bit = flat.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(56)
         rare = _bits(bit.astype(np.int64), sizes)
         self.slack = sizes.astype(np.int32) - np.bitwise_count(rare).sum(axis=1).astype(np.int32)
@@ -77,6 +90,12 @@ class Sets:
         room = common + np.minimum(met[:, _LANES:].sum(axis=1) + np.minimum(self.slack[i], self.slack[j]), np.minimum(self.sizes[i], self.sizes[j]))
         go = np.flatnonzero((room >= need) & (self.tags[i] == self.tags[j]) & (np.minimum(ni, nj) >= least * np.maximum(ni, nj) - 1e-9))
         out = np.zeros(len(i), bool)
+        wide = np.maximum(self.sizes[i[go]], self.sizes[j[go]]) > WIDE
+        for start in range(0, int(wide.sum()), 4096):
+            k = go[wide][start : start + 4096]
+            shared = common[k] + self._searched(i[k], j[k])
+            out[k] = shared >= least * (ni[k] + nj[k] - shared) - 1e-9
+        go = go[~wide]
         step = max(1, 8_000_000 // max(1, self.words.shape[1] ** 2))
         for start in range(0, len(go), step):
             k = go[start : start + step]
@@ -89,6 +108,23 @@ class Sets:
         return out
 
 
+    def _searched(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Shared words of pairs: those of the smaller record are looked up in the larger, some hundred thousand at a time."""
+        small, large = np.where(self.sizes[i] <= self.sizes[j], i, j), np.where(self.sizes[i] <= self.sizes[j], j, i)
+        out, size = np.zeros(len(i), np.int64), self.sizes[small]
+        total = np.cumsum(size)
+        start = 0
+        while start < len(i):
+            end = max(start + 1, int(np.searchsorted(total, (total[start - 1] if start else 0) + 400_000, "right")))
+            row, _ = split_rows(small[start:end], size[start:end])
+            at = np.arange(len(row)) - np.repeat(np.cumsum(size[start:end]) - size[start:end], size[start:end])
+            sought = large[start:end][row].astype(np.uint64) << np.uint64(32) | self.flat[self.begin[small[start:end][row]] + at]
+            place = np.minimum(np.searchsorted(self.sorted, sought), len(self.sorted) - 1)
+            out[start:end] = np.bincount(row, self.sorted[place] == sought, minlength=end - start)
+            start = end
+        return out
+
+
 class Forest:
     """Union-find over the records at hand, in one array."""
 
@@ -223,7 +259,7 @@ def common_words(records: DataFrame, text: str) -> np.ndarray:
     from collections import Counter
 
     counts: Counter = Counter()
-    for r in records.select(text).where(F.length(text) > 0).limit(SAMPLE).collect():
+    for r in sampled(records.select("id", text).where(F.length(text) > 0), "id", SAMPLE, 11).select(text).collect():
         counts.update(set(words(r[0])))
     return np.sort(hash_words([w for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:COMMON]]))
 
@@ -240,7 +276,7 @@ def _records(df: DataFrame, common: np.ndarray, least_words: int) -> DataFrame:
         space = batch.column(3).to_numpy()
         new = [
             batch.column(3), pa.array(sums ^ space), pa.array(sizes.astype(np.int32)),
-            packed((hashes[~known] >> np.uint64(40)).astype(np.uint32), sizes - codes), packed(at[known].astype(np.uint8), codes),
+            packed(hashes[~known], sizes - codes), packed(at[known].astype(np.uint8), codes),
         ]
         out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *new], names=["src", "id", "space", "set_hash", "n", "rare", "common"])
         return out.filter(pa.array(total >= least_words))
@@ -253,9 +289,11 @@ _BLOB = "part int, keys binary, of binary, hashes binary, tags binary, n binary,
 PIECE = 50_000
 
 
-def _placed(records: DataFrame, common: np.ndarray, levels: np.ndarray, least: float, parts: int) -> DataFrame:
-    """Records and the groups that they stand in, packed by the partition of the groups."""
-    sent = records.sparkSession.sparkContext.broadcast((levels, (common >> np.uint64(40)).astype(np.uint32)))  # of fixed size
+def _placed(records: DataFrame, common: np.ndarray, levels: np.ndarray, least: float, parts: int, slice_: int = 0) -> DataFrame:
+    """Records and the groups that they stand in, packed by the partition of the groups. ``slice_`` tells which 24 bits of a
+    word's hash stand for it."""
+    low = np.uint64(40 - 20 * slice_)
+    sent = records.sparkSession.sparkContext.broadcast((levels, common))  # of fixed size
     seen: set[int] = set()
 
     def run(batch: pa.RecordBatch) -> pa.Table | None:
@@ -272,7 +310,7 @@ def _placed(records: DataFrame, common: np.ndarray, levels: np.ndarray, least: f
             return None
         batch = batch.filter(pa.array(fresh))
         hashes, space, n = hashes[fresh], space[fresh], n[fresh].astype(np.int64)
-        rare, sizes = binary_rows(batch.column(3), np.uint32)
+        rare, sizes = binary_rows(batch.column(3), np.uint64)
         codes, code_sizes = binary_rows(batch.column(4), np.uint8)
         # rare words first, rarest of all in front, then common ones likewise: the same order in all records
         row = np.repeat(np.arange(len(n)), sizes)
@@ -296,7 +334,7 @@ def _placed(records: DataFrame, common: np.ndarray, levels: np.ndarray, least: f
         other = np.arange(blocks.sum()) - np.repeat(np.cumsum(blocks) - blocks, blocks)
         word, who, own, width = (np.repeat(x, blocks) for x in (word, who, own, blocks))
         pair = np.minimum(own, other) * width + np.maximum(own, other)
-        key = word.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + pair.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + space[who].view(np.uint64)
+        key = word * np.uint64(0x9E3779B97F4A7C15) + pair.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + space[who].view(np.uint64)
         key ^= key >> np.uint64(29)
         part = (key * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(33)) % np.uint64(parts)
         key = (key >> np.uint64(32)).astype(np.uint32)
@@ -315,7 +353,7 @@ def _placed(records: DataFrame, common: np.ndarray, levels: np.ndarray, least: f
             sub, of = np.unique(who[a:b], return_inverse=True)
             take = np.repeat(begin[sub], sizes[sub]) + np.arange(sizes[sub].sum()) - np.repeat(np.cumsum(sizes[sub]) - sizes[sub], sizes[sub])
             code_take = np.repeat(code_begin[sub], code_sizes[sub]) + np.arange(code_sizes[sub].sum()) - np.repeat(np.cumsum(code_sizes[sub]) - code_sizes[sub], code_sizes[sub])
-            three = np.ascontiguousarray(rare[take].view(np.uint8).reshape(-1, 4)[:, :3])
+            three = np.ascontiguousarray((rare[take] >> low).astype(np.uint32).view(np.uint8).reshape(-1, 4)[:, :3])
             rows.append((p, key[a:b].tobytes(), of.astype(np.uint16).tobytes(), hashes[sub].tobytes(), tags[sub].tobytes(), n[sub].astype(np.uint32).tobytes(), sizes[sub].astype(np.uint32).tobytes(), three.tobytes(), code_sizes[sub].astype(np.uint8).tobytes(), codes[code_take].tobytes()))
         if not rows:
             return None
@@ -359,8 +397,9 @@ def links_of_pieces(table: pa.Table, least: float) -> tuple[np.ndarray, np.ndarr
     return unique[used][u], unique[used][v]
 
 
-def links(records: DataFrame, common: np.ndarray, levels: np.ndarray, least: float) -> DataFrame:
-    """(u, v): enough links between word sets to join all that are linked. Sources stay apart."""
+def links(records: DataFrame, common: np.ndarray, levels: np.ndarray, least: float, slice_: int = 0) -> DataFrame:
+    """(u, v): enough links between word sets to join all that are linked, but for words that agree in 24 bits by chance.
+    Sources stay apart."""
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches):
@@ -372,7 +411,56 @@ def links(records: DataFrame, common: np.ndarray, levels: np.ndarray, least: flo
                     yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
     parts = default_parallelism(records.sparkSession)
-    return _placed(records, common, levels, least, parts).repartitionById(parts, "part").sortWithinPartitions("part").mapInArrow(walk, "u bigint, v bigint")
+    return _placed(records, common, levels, least, parts, slice_).repartitionById(parts, "part").sortWithinPartitions("part").mapInArrow(walk, "u bigint, v bigint")
+
+
+def verified(found: DataFrame, records: DataFrame, common: np.ndarray, least: float) -> DataFrame:
+    """``found`` (u, v) with whether the whole word hashes of both sets bear it out."""
+    nodes = found.select("u").unionAll(found.select(F.col("v").alias("u"))).distinct().select(F.col("u").alias("set_hash"))
+    sent = records.sparkSession.sparkContext.broadcast(bitmap_of(nodes, nodes.count()))  # at most 64 MB
+
+    def linked(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return batch.filter(pa.array(in_bitmap(sent.value, batch.column(0).to_numpy())))
+
+    sets = map_batches(records.select("set_hash", "space", "n", "rare", "common"), linked, "set_hash bigint, space bigint, n int, rare binary, common binary").dropDuplicates(["set_hash"])
+    side = lambda key, x: sets.select(F.col("set_hash").alias(key), F.struct("space", "n", "rare", "common").alias(x))
+    both = found.join(side("u", "a"), "u").join(side("v", "b"), "v").select("u", "v", "a.n", "a.rare", "a.common", F.col("b.n").alias("n_"), F.col("b.rare").alias("rare_"), F.col("b.common").alias("common_"), (F.col("a.space") == F.col("b.space")).alias("same"))
+
+    def check(batch: pa.RecordBatch) -> pa.RecordBatch:
+        shared = np.zeros(batch.num_rows, np.int64)
+        for i, j, kind in ((3, 6, np.uint64), (4, 7, np.uint8)):
+            (x, nx), (y, ny) = binary_rows(batch.column(i), kind), binary_rows(batch.column(j), kind)
+            row, both_ = np.concatenate([split_rows(x, nx)[0], split_rows(y, ny)[0]]), np.concatenate([x, y])
+            order = np.lexsort((both_, row))
+            both_, row = both_[order], row[order]
+            shared += np.bincount(row[1:][(both_[1:] == both_[:-1]) & (row[1:] == row[:-1])], minlength=batch.num_rows)
+        n, m = batch.column(2).to_numpy(), batch.column(5).to_numpy()
+        right = (shared >= least * (n + m - shared) - 1e-9) & batch.column(8).to_numpy(zero_copy_only=False)
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(right)], names=["u", "v", "right"])
+
+    return map_batches(both, check, "u bigint, v bigint, right boolean")
+
+
+def all_links(records: DataFrame, common: np.ndarray, levels: np.ndarray, least: float) -> DataFrame:
+    """(u, v): links that hold on whole words, enough to join all that are linked.
+
+    Where one proves false, the sets of its component are linked again by other bits of their hashes, as what a false link
+    joined was not looked at any further.
+    """
+    whole, left = None, records
+    for slice_ in (0, 1, 2):
+        found = cut(links(left, common, levels, least, slice_))
+        release(records.sparkSession)
+        tested = cut(verified(found, left, common, least))
+        right = tested.where("right").select("u", "v")
+        whole = right if whole is None else whole.unionByName(right)
+        if not tested.where("NOT right").limit(1).count():
+            break
+        roots = components(found)
+        torn = tested.where("NOT right").select(F.col("u").alias("node")).join(roots, "node").select("root").distinct()
+        again = roots.join(torn, "root", "left_semi").select(F.col("node").alias("set_hash"))
+        left = cut(left.join(again, "set_hash", "left_semi"))
+    return whole
 
 
 def families(records: DataFrame, least: float = 0.6, least_words: int = 8) -> DataFrame:
@@ -380,12 +468,16 @@ def families(records: DataFrame, least: float = 0.6, least_words: int = 8) -> Da
     records = records.where("id IS NOT NULL AND text IS NOT NULL")
     common = common_words(records, "text")
     sets = cut(_records(records, common, least_words))
-    levels = rarity(sets, np.uint32, "rare", "common", (common >> np.uint64(40)).astype(np.uint32))
-    found = components(links(sets, common, levels, least))
-    members = sets.select("src", "id", "set_hash").distinct()
-    labelled = cut(members.join(found.select(F.col("node").alias("set_hash"), "root"), "set_hash", "left").select("src", "id", F.coalesce("root", "set_hash").alias("label")))
+    levels = rarity(sets, np.uint64, "rare", "common", common)
+    release(records.sparkSession)
+    found = components(all_links(sets, common, levels, least))
+    members = cut(sets.select("src", "id", "set_hash").distinct())
+    total = members.count()
+    copies = members.groupBy("set_hash").agg(F.count(F.lit(1)).alias("n"))  # one text may be that of many records
+    labels = copies.join(found.select(F.col("node").alias("set_hash"), "root"), "set_hash", "left").select("set_hash", F.coalesce("root", "set_hash").alias("label"), "n")
+    labelled = cut(look_up(members, "set_hash", labels, "n", total).select("src", "id", "label"))
     named = labelled.groupBy("label").agg(F.min("id").alias("group_id"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    return look_up(labelled, "label", named, "members", labelled.count()).select("src", "id", "group_id")
+    return look_up(labelled, "label", named, "members", total).select("src", "id", "group_id")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -136,6 +136,28 @@ def prefix_length(n: np.ndarray, least: float) -> np.ndarray:
     return n - np.ceil(least * n - 1e-9).astype(np.int64) + 1
 
 
+def bitmap_of(df: DataFrame, rows: int, most_bits: int = 1 << 29) -> np.ndarray:
+    """A bitmap that has the bit of every hash in the only column of ``df`` (about ``rows`` rows), of at most ``most_bits``."""
+    bits = min(most_bits, 1 << int(np.clip(np.ceil(np.log2(16 * max(1, rows))), 16, 40)))
+
+    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = np.unique(np.concatenate([b.column(0).to_numpy().view(np.uint64) & np.uint64(bits - 1) for b in batches if b.num_rows] or [np.empty(0, np.uint64)]))
+        if len(place):
+            at, first = np.unique(place >> np.uint64(6), return_index=True)
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(np.bitwise_or.reduceat(np.uint64(1) << (place & np.uint64(63)), first).view(np.int64))], names=["at", "bits"])
+
+    out = np.zeros(bits // 64, np.int64)
+    for r in df.mapInArrow(marks, "at bigint, bits bigint").groupBy("at").agg(F.bit_or("bits").alias("bits")).toLocalIterator():  # fewer than the bitmap has words
+        out[r[0]] = r[1]
+    return out.view(np.uint64)
+
+
+def in_bitmap(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes may be in a bitmap; those that it was made of always are."""
+    place = hashes.view(np.uint64) & np.uint64(len(bitmap) * 64 - 1)
+    return bitmap[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1) == 1
+
+
 def same_sets(df: DataFrame, *key: str) -> DataFrame:
     """One row for each distinct word set: the least of each other column by the key."""
     return df.groupBy(*key, "set_hash").agg(F.first("n").alias("n"), F.first("toks").alias("toks"))
