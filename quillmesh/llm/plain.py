@@ -101,28 +101,33 @@ def _is_picture(ch: str) -> bool:
     return unicodedata.category(ch) in ("So", "Sk") or p in (0x203C, 0x2049, 0x3030, 0x303D, 0x20E3) or 0x2190 <= p <= 0x21FF or 0x1F1E6 <= p <= 0x1FAFF or ch in "0123456789#*"
 
 
-def _segment(m: re.Match[str]) -> str:
-    """One stable character and the unstable run after it, in plain form."""
+def kept_of(m: re.Match[str]) -> list[tuple[int, str]]:
+    """What of an unstable run stays, blanks replaced, each with its place in the run."""
     base, run, after = m.group(1), m.group(2), m.group(3)
     kept, before = [], base
     for i, ch in enumerate(run):
         if _odd_blank(ch):
-            kept.append(" ")
+            kept.append((i, " "))
         elif ch in _JOINERS:
             follows = run[i + 1] if i + 1 < len(run) else after
             picture = _is_picture(before) and not (ch == "‍" and before in "0123456789#*")
             if picture and (ch != "‍" or _is_picture(follows)) and (before not in "0123456789#*" or follows == "⃣"):
-                kept.append(ch)
+                kept.append((i, ch))
                 if ch != "‍":
                     continue  # a selector leaves the picture before it in place
         elif 0x1F3FB <= ord(ch) <= 0x1F3FF or not _invisible(ch):
-            kept.append(ch)
+            kept.append((i, ch))
         elif 0xE0020 <= ord(ch) <= 0xE007F and _is_picture(base):
-            kept.append(ch)
+            kept.append((i, ch))
         else:
             continue
         before = ch
-    rest = "".join(kept)
+    return kept
+
+
+def _segment(m: re.Match[str]) -> str:
+    """One stable character and the unstable run after it, in plain form."""
+    base, rest = m.group(1), "".join(ch for _, ch in kept_of(m))
     if rest and not rest.isspace():
         return unicodedata.normalize("NFKC", base + rest)
     return base + rest
