@@ -96,6 +96,37 @@ def test_families_match_brute_force(spark):
     assert p5_families.families(df.limit(0).select("src", "id", "text")).count() == 0
 
 
+def test_a_long_record_widens_nothing():
+    """Records of a few words beside one of 50,000, and two long ones that are alike."""
+    rng = np.random.default_rng(4)
+    long = np.unique(rng.integers(1, 2**24, 50_000, dtype=np.uint32))
+    rows = [np.unique(rng.integers(1, 2**24, 12, dtype=np.uint32)) for _ in range(300)] + [long, long[: len(long) * 9 // 10], long[: len(long) // 2]]
+    sizes = np.array([len(r) for r in rows])
+    sets = p5_families.Sets(sizes, np.concatenate(rows), sizes, np.empty(0, np.uint8), np.zeros(len(rows), np.int64))
+    assert sets.words.nbytes < 1_000_000
+    i, j = np.array([300, 300, 301, 0, 0]), np.array([301, 302, 302, 300, 1])
+    assert sets.similar(i, j, 0.6).tolist() == [True, False, False, False, False]
+
+
+def test_false_links_are_found_and_made_again(spark, monkeypatch):
+    """Links that whole words do not bear out are dropped, and what their components really link is linked again."""
+    texts = make_texts(200, 5)
+    df = spark.createDataFrame([("s", f"i{k:03d}", t) for k, t in enumerate(texts)], "src string, id string, text string")
+    want = {(r.id, r.group_id) for r in p5_families.families(df).collect()}
+    real, slices = p5_families.links, []
+
+    def lying(records, common, levels, least, slice_=0):
+        slices.append(slice_)
+        found = real(records, common, levels, least, slice_)
+        if slice_:
+            return found
+        hashes = sorted(r[0] for r in records.select("set_hash").distinct().collect())
+        return found.limit(5).unionByName(spark.createDataFrame(list(zip(hashes, hashes[1:])), "u bigint, v bigint"))
+
+    monkeypatch.setattr(p5_families, "links", lying)
+    assert {(r.id, r.group_id) for r in p5_families.families(df).collect()} == want and slices == [0, 1]
+
+
 def test_tree_links_join_all_that_is_linked():
     rng = np.random.default_rng(2)
     base = rng.integers(1, 2**32, 30, dtype=np.uint32)
@@ -247,10 +278,41 @@ def test_offsets_survive_disguise(names):
     assert found["email"] == "ann.l​ee@web.test" and found["phone"] == "＋999 123 456 789"
     assert p3_personal.redacted(text, names) == "ｘ é ​ [EMAIL] [PHONE] ﬁn"
     shown, places = p3_personal.rewritten(text)
-    assert len(shown) == len(places) and all(0 <= p < len(text) for p in places) and places == sorted(places)
+    starts, stops = places
+    assert len(shown) == len(starts) == len(stops) and all(0 <= a < b <= len(text) for a, b in zip(starts, stops)) and starts == sorted(starts)
     assert p3_personal.undigit("call five five five oh one two three now", None)[0] == "call 5550123 now"
 
 
+def test_ends_of_items_keep_their_marks(names):
+    """A letter with a mark of its own, or one that becomes two, ends where its source ends."""
+    for name in ("Woldosen", "Woldosen\u0301", "Ｗｏｌｄｏｓｅｎ", "Woldo\u200bsen"):
+        text = f"ﬁne. My name is Rodrora {name}, ok"
+        assert [text[a:b] for a, b, k in p3_personal.items(text, names) if k == "name"] == [f"Rodrora {name}"], ascii(text)
+
+
+@pytest.mark.parametrize(
+    "text, kind, item",
+    [
+        ("my ssn is 123-45-6789.", "id_number", "123-45-6789"), ("SSN 123-45-6789", "id_number", "123-45-6789"), ("DNI: 12345678Z", "id_number", "12345678Z"), ("СНИЛС 112-233-445 95", "id_number", "112-233-445 95"),
+        ("ring +44 (0)20 7946 0958 now", "phone", "+44 (0)20 7946 0958"), ("phone 2 1 2 five five five one two three four.", "phone", "2 1 2 five five five one two three four"),
+        ("write to me at ann (at) mail (dot) test", "email", "ann (at) mail (dot) test"), ("write to me at ann.lee @ mail.test", "email", "ann.lee @ mail.test"), ("ann dot lee at mail dot test now", "email", "ann dot lee at mail dot test"),
+        ("scrivi a ann chiocciola posta punto test", "email", "ann chiocciola posta punto test"), ("ann@mail.test @someone said", "email", "ann@mail.test"),
+    ],
+)
+def test_items_in_forms_of_their_own(names, text, kind, item):
+    assert [text[a:b] for a, b, k in p3_personal.items(text, names) if k == kind] == [item]
+
+
+def test_whole_lexicon_is_looked_up(spark, monkeypatch):
+    monkeypatch.setattr(p3_personal, "LEXICON_ROWS", 5)
+    rows = spark.createDataFrame([(f"Namo{c}{d}", "given") for c in "abcdefg" for d in "xyz"], "name string, kind string")
+    names = p3_personal.Names([("Namoax", "given")], Counter(), p3_personal.listed_names(rows))
+    assert all(names.holds(f"namo{c}{d}", "given") for c in "abcdefg" for d in "xyz") and not names.holds("namohx", "given") and not names.holds("namoax", "family")
+    monkeypatch.setattr(p3_personal, "LARGEST_LEXICON", 10)
+    with pytest.raises(ValueError):
+        p3_personal.listed_names(rows)
+
+
 def test_items_in_tables(spark, names):
     df = spark.createDataFrame([("s", "1", None), ("s", "2", ""), ("s", "3", "mail a@b.test"), ("s", "3", "mail a@b.test"), ("s", "4", LONG)], "kind string, id string, text string").withColumnRenamed("kind", "src")
     out = p3_personal.find_items(df, ["src", "id"], "text", names).collect()
@@ -292,7 +354,7 @@ def families_of_vectors(n, seed):
     return v, [set(np.argsort(-row, kind="stable")[:5].tolist()) for row in s]
 
 
-@pytest.mark.parametrize("how", [{"leaf": 32}, {"from_random": True, "kept": 12}])
+@pytest.mark.parametrize("how", [{"leaf": 12}, {"from_random": True, "kept": 12}])
 def test_descent_does_the_work(spark, how):
     """Small leaves, or no knowledge at all: the first graph is poor, the rounds make it good."""
     v, want = families_of_vectors(3000, 9)
@@ -389,6 +451,37 @@ def test_code_lengths_are_those_of_the_recursion(trees):
         assert t.cost([word])[0] == pytest.approx([brute(lang, word) for lang in t.languages], abs=1e-4)
 
 
+def test_words_are_coded_whole(trees):
+    long = "senderforwardedthemessage" * 12
+    cost = trees.cost([long, long[:-1] + "ж", long[:70], "x" * 5000, ""])
+    assert np.isfinite(cost).all() and (cost[0] != cost[1]).any() and (cost[2] < cost[0]).all()
+    piece = p7_languages.PIECE
+    try:  # the pieces that long words are coded in change nothing
+        p7_languages.PIECE = 10_000
+        assert np.allclose(trees.cost([long]), cost[:1])
+    finally:
+        p7_languages.PIECE = piece
+
+
+def test_languages_of_nothing(spark):
+    none = p7_languages.fit([], [])
+    assert [p7_languages.languages_of(x) for x in p7_languages.judged(p7_languages.Model(none), ["Some words here", "", None])] == [{}, {}, {}]
+    df = spark.createDataFrame([(1, "Some words here"), (2, None)], "id int, text string")
+    assert [len(r.langs) for r in p7_languages.detect(df, ["id"], ["text"], none).collect()] == [0, 0]
+    assert p7_languages.detect(df, ["id"], ["text"], none, True).count() == 0
+    assert p7_languages.fit([("en", ["a"], [])], []).languages == ["en"]
+
+
+def test_sentences_are_divided_between_languages(trees):
+    model = p7_languages.Model(trees)
+    text = "the night shift lost the price list die Nachtschicht verlor die Preisliste am Montagmorgen"
+    (found,) = p7_languages.judged(model, [text])
+    assert [model.languages[s[2]] for s in found] == ["en", "de"] and found[0][1] <= found[1][0] + 1
+    assert sorted(model.languages[k] for k in p7_languages.languages_of(found)) == ["de", "en"]
+    (whole,) = p7_languages.judged(model, ["the night shift lost the price list near the front desk on Monday morning"])
+    assert len(whole) == 1 and p7_languages.languages_of(whole)[whole[0][2]] > 0.999
+
+
 def test_languages(spark, trees):
     model = p7_languages.Model(trees)
     texts = ["The sender lost the message near the front desk.", "Die Nachtschicht prüfte die Nachricht.", "7h3 53nd3r l057 7h3 m3554g3 0n M0nd4y", "Nash proveryayushchiy proveril korotkiy otvet u stoyki.", "The night shift checked the price list. Der Absender verlor eine kurze Antwort.", None, "", "12 34"]
@@ -564,7 +657,7 @@ def test_order_of_rules_changes_nothing():
     texts = [" ".join(rng.choices("abcdefghij", k=rng.randrange(80))) for _ in range(200)]
     results = []
     for order in itertools.permutations(["few_characters", "few_words", "many_distinct_words", "many_distinct_pairs"]):
-        c = p10_repetition.Cascade(0.3, 8, 16, sample=0)
+        c = p10_repetition.Cascade(0.3, 8, 16)
         c.order = list(order)
         results.append([c.is_case(t) for t in texts])
     assert all(r == results[0] for r in results)
@@ -574,3 +667,79 @@ def test_queries_are_registered():
     import __spark_entry__ as entry
 
     assert {f"p{n}_{'ids' if n == 8 else 'found'}" for n in range(1, 11)} <= set(entry.queries())
+
+
+# ---------------------------------------------------------------------------------------- hot keys and memory
+
+
+def test_a_star_of_many_records(spark):
+    """One source holds nearly all records: its key, and the record they all hang on, are looked up, not joined by one task."""
+    from pyspark.sql import functions as F
+
+    n = 60_000
+    keys = spark.range(n).select(F.format_string("r%06d", "id").alias("id"), F.lit("source all").alias("key")).unionByName(spark.range(50).select(F.format_string("x%06d", "id").alias("id"), F.format_string("author %d", (F.col("id") / 5).cast("int")).alias("key")))
+    out = p6_splits.groups(keys)
+    assert out.where("group_id = 'r000000'").count() == n and out.groupBy("group_id").count().where("count = 5").count() == 10
+
+
+def test_components_behind_a_hub(spark):
+    from pyspark.sql import functions as F
+
+    star = spark.range(30_000).select((F.col("id") + 10).alias("u"), F.lit(9).cast("bigint").alias("v"))
+    chain = spark.createDataFrame([(9, 8), (8, 7), (7, 1), (50_000, 50_001)], "u bigint, v bigint")
+    out = C.components(star.unionByName(chain))
+    assert out.groupBy("root").count().collect().__len__() == 2 and out.where("root = 1").count() == 30_004
+
+
+def test_salted_joins_lose_and_repeat_nothing(spark):
+    from pyspark.sql import functions as F
+
+    many = spark.range(50_000).select(F.when(F.col("id") < 45_000, 1).otherwise(F.col("id") % 10).cast("bigint").alias("key"), "id")
+    other = spark.createDataFrame([(1, "a"), (1, "b"), (3, "c"), (99, "d")], "key bigint, x string")
+    out = C.salted(many, other, "key", "id", 50_000)
+    assert out.count() == many.join(other, "key").count() == out.distinct().count()
+
+
+def test_overlaps_are_counted_without_pairs(spark):
+    """A class of 2,000 copies in training and 2,000 elsewhere: four million pairs are counted, none is made."""
+    linked = spark.createDataFrame([(1, 2, 5, 0.8), (3, 2, 5, 0.7)], "train_hash bigint, other_hash bigint, shared int, similarity double")
+    members = spark.range(4_003).selectExpr("concat('r', id) AS id", "id < 2000 OR id = 4000 AS train", "CASE WHEN id = 4000 THEN 3L WHEN id < 2000 THEN 1L WHEN id > 4000 THEN 7L ELSE 2L END AS set_hash")
+    out = p2_overlaps.counts_of(linked, members).collect()
+    assert len(out) == 2_000 and {(r.n, r.most) for r in out} == {(2_001, 0.8)}
+    few = members.where("id IN ('r1', 'r2', 'r2500', 'r4000')")
+    assert {(r.train_id, r.other_id) for r in p2_overlaps.pairs_of(linked, few).collect()} == {("r1", "r2500"), ("r2", "r2500"), ("r4000", "r2500")}
+
+
+def test_choosing_sizes_is_closest_and_small():
+    import tracemalloc
+
+    rng = random.Random(3)
+    for _ in range(200):
+        counts = [(s, rng.randrange(1, 4)) for s in rng.sample(range(1, 40), rng.randrange(1, 6))]
+        target = rng.randrange(1, sum(s * n for s, n in counts) + 1)
+        got = p6_splits.choose(counts, target)
+        assert all(0 < n <= dict(counts)[s] for s, n in got.items())
+        sums = {0}
+        for s, n in counts:
+            sums = {x + s * k for x in sums for k in range(n + 1)}
+        assert abs(sum(s * n for s, n in got.items()) - target) == min(abs(x - target) for x in sums)
+    tracemalloc.start()
+    counts = [(s * 7 + 1, 200) for s in range(1, 601)]
+    got = p6_splits.choose(counts, 3_600_000)
+    assert tracemalloc.get_traced_memory()[1] < 500_000_000 and sum(s * n for s, n in got.items()) == 3_600_000
+    tracemalloc.stop()
+
+
+def test_many_categories(spark, monkeypatch):
+    monkeypatch.setattr(p6_splits, "STRATA", 3)
+    df = spark.createDataFrame([(f"r{i:04d}", f"g{i // 2:04d}", f"c{i % 23}" if i % 3 else "big") for i in range(600)], "id string, group_id string, category string")
+    out = p6_splits.assign(df).collect()
+    assert len(out) == 600 and len({(r.group_id, r.split) for r in out}) == 300
+    assert 40 <= sum(r.split == "test" for r in out) <= 80
+
+
+def test_order_of_rules_is_measured():
+    texts = ["one two three " * 40] * 20 + ["short"] * 100 + [" ".join(f"w{i}" for i in range(300))] * 50
+    order = p10_repetition.order_of(texts, 0.3, 8, 16)
+    assert sorted(order) == sorted(p10_repetition.clearing_rules(0.3, 8, 16))
+    assert [p10_repetition.Cascade(0.3, 8, 16, order).is_case(t) for t in texts] == [p10_repetition.Cascade(0.3, 8, 16).is_case(t) for t in texts]
