@@ -18,8 +18,10 @@ def _edits(a: str, b: str, swaps: bool) -> int:
     """Edit distance by bit vectors: one step of a few long additions for each character of ``b``."""
     if a == b:
         return 0
-    if not a or not b:
-        return len(a) + len(b)
+    if len(a) < len(b):
+        a, b = b, a  # the distance is the same either way, and a step is cheap however long the bit vectors are
+    if not b:
+        return len(a)
     where: dict[str, int] = {}
     for i, ch in enumerate(a):
         where[ch] = where.get(ch, 0) | 1 << i
@@ -79,7 +81,10 @@ def jaro_text(a: str, b: str) -> float:
 
 def jaro_winkler_text(a: str, b: str) -> float:
     """Jaro with a bonus for up to four equal first letters, whatever the Jaro."""
-    j = jaro_text(a, b)
+    return _winkler(a, b, jaro_text(a, b))
+
+
+def _winkler(a: str, b: str, j: float) -> float:
     same = 0
     for x, y in zip(a[:4], b[:4], strict=False):
         if x != y:
@@ -99,7 +104,9 @@ def ngram_text(a: str, b: str, n: int) -> float:
 
 def lcs_text(a: str, b: str) -> int:
     """Length of the longest common subsequence, by bits."""
-    if not a or not b:
+    if len(a) < len(b):
+        a, b = b, a
+    if not b:
         return 0
     where: dict[str, int] = {}
     for i, ch in enumerate(a):
@@ -114,15 +121,29 @@ def lcs_text(a: str, b: str) -> int:
 
 def character_text(a: str, b: str) -> dict[str, float]:
     """The parts of character similarity and their blend, over folded texts without marks."""
-    a, b = (strip_marks_text(fold_text(x)) for x in (a, b))
+    return character_folded(*(strip_marks_text(fold_text(x)) for x in (a, b)))
+
+
+def character_bound(a: Counter, b: Counter) -> float:
+    """What the blend of two folded texts with these characters can't exceed, from what they have in common."""
+    n, m = a.total(), b.total()
+    shared = (a & b).total()
+    if not n or not m:
+        return 1.0 if n == m else 0.0
+    most, jaro = shared / max(n, m), (shared / n + shared / m + 1) / 3 if shared else 0.0
+    return sum(T.CHARACTER[k] * v for k, v in {"levenshtein": most, "damerau": most, "jaro": jaro, "jaro_winkler": jaro + 0.4 * (1 - jaro), "ngram": 1.0, "lcs": most}.items())
+
+
+def character_folded(a: str, b: str) -> dict[str, float]:
+    """The same for texts that are folded already."""
     if a == b:
         return dict.fromkeys([*T.CHARACTER, "combined"], 1.0)
-    longest = max(len(a), len(b), 1)
+    longest, j = max(len(a), len(b), 1), jaro_text(a, b)
     parts = {
         "levenshtein": 1 - levenshtein_text(a, b) / longest,
         "damerau": 1 - osa_text(a, b) / longest,
-        "jaro": jaro_text(a, b),
-        "jaro_winkler": jaro_winkler_text(a, b),
+        "jaro": j,
+        "jaro_winkler": _winkler(a, b, j),
         "ngram": (ngram_text(a, b, 2) + ngram_text(a, b, 3)) / 2,
         "lcs": lcs_text(a, b) / longest,
     }

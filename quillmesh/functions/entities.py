@@ -35,7 +35,7 @@ _FIRM = re.compile(r" (?:Inc|Ltd|LLC|GmbH|AG|SA|SL|BV|SARL|Corp|Co)\b")
 _compiled = [(kind, re.compile(p), conf) for kind, p, conf in _ORDER]
 
 
-def entities_text(text: str | None, most: int = T.ENTITIES) -> list[dict]:
+def entities_text(text: str | None, most: int = T.ENTITIES, longest: int = T.ENTITY_CHARS) -> list[dict]:
     """At most ``most`` entities by place; start and end in UTF-8 bytes."""
     if not text:
         return []
@@ -43,7 +43,7 @@ def entities_text(text: str | None, most: int = T.ENTITIES) -> list[dict]:
     out = []
 
     def claim(kind: str, a: int, b: int, conf: float, value: str) -> None:
-        if b - a <= T.ENTITY_CHARS and all(b <= x or y <= a for x, y in taken):
+        if b - a <= longest and all(b <= x or y <= a for x, y in taken):
             taken.append((a, b))
             out.append((a, b, kind, value, conf))
 
@@ -69,6 +69,16 @@ def entities(s: pd.Series) -> pd.Series:
     return s.map(entities_text)
 
 
+def entities_within(c: Column, most: int, longest: int) -> Column:
+    """:func:`entities` under other limits."""
+
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: entities_text(t, most, longest))
+
+    run.__annotations__ = {"s": pd.Series, "return": pd.Series}
+    return arrow("array<struct<entity_type:string,value:string,start:int,end:int,confidence:double>>")(run)(c)
+
+
 def found(c: Column, pattern: str) -> Column:
     """All findings of one kind in the JVM."""
     return F.regexp_extract_all(c, F.lit(f"({pattern})"), 1)

@@ -20,3 +20,20 @@ def arrow(kind: str) -> Callable[[Callable], Callable[..., Column]]:
         return call
 
     return wrap
+
+
+def vector(kind: str) -> Callable[[Callable], Callable[..., Column]]:
+    """Like ``arrow_udf(kind)``: whole Arrow arrays in and out, no pandas between."""
+    import pyarrow as pa
+
+    def wrap(fn: Callable) -> Callable[..., Column]:
+        names = [n for n in fn.__code__.co_varnames[: fn.__code__.co_argcount]]
+        fn.__annotations__ = {**dict.fromkeys(names, pa.Array), "return": pa.Array}
+
+        @functools.wraps(fn)
+        def call(*columns: Column | str) -> Column:
+            return F.arrow_udf(fn, kind)(*columns)
+
+        return call
+
+    return wrap

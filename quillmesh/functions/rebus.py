@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 import pickle
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column
@@ -29,14 +30,14 @@ FLOOR, ABSTAIN_SCORE, ABSTAIN_GAP, STRONG_GAP = 0.08, 0.4, 0.02, 0.15
 _LEET = str.maketrans(T.LEET_FROM, T.LEET_TO)
 
 
-def readings(piece: str, kind: str, lexicon: Lexicon) -> list[tuple[str, float, str, str]]:
+def readings(piece: str, kind: str, lexicon: Lexicon, most: int = 8) -> list[tuple[str, float, str, str]]:
     """(text, probability, step, language) of one token, its plain self among them."""
     out = [(piece, 1.0, "identity", "und")]
     if kind in ("emoji", "symbol", "number", "unknown"):
-        out += [(t, p, "symbol", lang) for t, lang, p in lexicon.symbols.get(piece.replace("️", ""), [])[:8]]
+        out += [(t, p, "symbol", lang) for t, lang, p in lexicon.symbols.get(piece.replace("️", ""), [])[:most]]
     if any(c in T.LEET_FROM for c in piece) and any(c.isalpha() for c in piece):
         out.append((piece.lower().translate(_LEET), 0.85, "leet", "und"))
-    out += [(t, p, "abbreviation", lang) for t, lang, p in lexicon.abbreviations.get(piece.lower(), [])[:8]]
+    out += [(t, p, "abbreviation", lang) for t, lang, p in lexicon.abbreviations.get(piece.lower(), [])[:most]]
     return out
 
 
@@ -59,9 +60,11 @@ def plausibility(text: str, lexicon: Lexicon) -> float:
     return 0.55 if lexicon.starts(tight) else 0.15
 
 
-def score(text: str, source: str, prior: float, steps: list[str], languages: list[str], lexicon: Lexicon) -> float:
+def score(text: str, source: str, prior: float, steps: list[str], languages: list[str], lexicon: Lexicon, sounds: list[str] | None = None) -> float:
+    """``sounds`` are those of the source, where they are known."""
     lexical = min(1.0, plausibility(text, lexicon) + min(FREQUENCY_CAP, math.log1p(lexicon.frequency(text)) / FREQUENCY_SCALE))
-    a, b = sounds_of(text), sounds_of(source)
+    b = sounds_of(source) if sounds is None else sounds
+    a = b if text == source else sounds_of(text)
     phonetic = sound_similarity(a, sound_confidence(text, a), b, sound_confidence(source, b)) if a and b else 0.5
     edge = 1.0 if lexicon.contains(text) else 0.65 if lexicon.starts(text) else 0.35
     context = 0.55 * lexical + 0.45 * edge
@@ -71,20 +74,36 @@ def score(text: str, source: str, prior: float, steps: list[str], languages: lis
     return max(0.0, min(1.0, base * (1 - min(COST_CAP, sum(COSTS[s] for s in steps)))))
 
 
-def decode_text(text: str | None, lexicon: Lexicon, most: int = KEPT) -> list[dict]:
+@dataclass(frozen=True)
+class Search:
+    """How far the search for readings goes."""
+
+    beam: int = BEAM
+    kept: int = KEPT
+    segments: int = T.SEGMENTS
+    readings: int = 8
+    strong_gap: float = STRONG_GAP
+
+
+def decode_text(text: str | None, lexicon: Lexicon, search: Search = Search()) -> list[dict]:
     """The best readings with their scores, gaps to the next, and steps; none where nothing speaks for any."""
     if not text:
         return []
-    pieces = segment_text(text)[:48]
+    pieces = segment_text(text, search.segments)
     offsets = text.encode()
     beam: list[tuple[float, str, tuple[str, ...], tuple[str, ...]]] = [(1.0, "", (), ())]
     last = 0
     for piece, start, end, kind in pieces:
         gap = offsets[last:start].decode(errors="ignore")
         apart = bool(gap)
+        last = end
+        own = readings(piece, kind, lexicon, search.readings)
+        if len(own) == 1:  # it can only be read as it is: the order of the beam stays
+            beam = [(p, done + gap + piece if done else piece, (*steps, "identity"), (*langs, "und")) for p, done, steps, langs in beam]
+            continue
         grown: dict[str, tuple[float, str, tuple[str, ...], tuple[str, ...]]] = {}
         for p, done, steps, langs in beam:
-            for t, q, step, lang in readings(piece, kind, lexicon):
+            for t, q, step, lang in own:
                 w = p * q
                 if kind == "number" and step == "symbol" and not apart and done[-1:].isalpha():
                     w *= DIGIT_IN_WORD
@@ -97,28 +116,28 @@ def decode_text(text: str | None, lexicon: Lexicon, most: int = KEPT) -> list[di
                     new = done + between + t
                     if new not in grown or grown[new][0] < v:
                         grown[new] = (v, new, (*steps, step, *extra), (*langs, lang))
-        beam = sorted(grown.values(), key=lambda x: -x[0])[:BEAM]
-        last = end
+        beam = sorted(grown.values(), key=lambda x: -x[0])[: search.beam]
+    sounds = sounds_of(text)
     best: dict[str, dict] = {}
     if len(beam) == 1:  # nothing in it can be read in another way
-        value = score(beam[0][1], text, 1.0, [], [], lexicon)
-        return [{"text": beam[0][1], "score": value, "steps": [], "changed": False, "gap": value, "strong": value >= STRONG_GAP, "confidence": value * (0.5 + 0.5 * value)}]
+        value = score(beam[0][1], text, 1.0, [], [], lexicon, sounds)
+        return [{"text": beam[0][1], "score": value, "steps": [], "changed": False, "gap": value, "strong": value >= search.strong_gap, "confidence": value * (0.5 + 0.5 * value)}]
     for p, done, steps, langs in beam:
-        value = score(done, text, p, [s for s in steps if s != "identity"], list(langs), lexicon)
+        value = score(done, text, p, [s for s in steps if s != "identity"], list(langs), lexicon, sounds)
         key = fold_text(done)
         if value >= FLOOR and (key not in best or best[key]["score"] < value):
             best[key] = {"text": done, "score": value, "steps": [s for s in steps if s != "identity"], "changed": key != fold_text(text)}
-    found = sorted(best.values(), key=lambda x: (-x["score"], x["text"]))[:most]
+    found = sorted(best.values(), key=lambda x: (-x["score"], x["text"]))[: search.kept]
     if len(found) > 1 and found[0]["score"] < ABSTAIN_SCORE and found[0]["score"] - found[1]["score"] < ABSTAIN_GAP:
         return []
     for i, f in enumerate(found):
         gap = f["score"] - found[i + 1]["score"] if i == 0 and len(found) > 1 else f["score"] if i == 0 else 0.0
-        f["gap"], f["strong"] = gap, gap >= STRONG_GAP
+        f["gap"], f["strong"] = gap, gap >= search.strong_gap
         f["confidence"] = f["score"] * (0.5 + 0.5 * gap)
     return found
 
 
-def decode(c: Column, lexicon: Lexicon) -> Column:
+def decode(c: Column, lexicon: Lexicon, search: Search = Search()) -> Column:
     """Readings of a text column; the lexicon travels with the function."""
     sent = pickle.dumps(lexicon)
     held: list[Lexicon] = []
@@ -126,7 +145,21 @@ def decode(c: Column, lexicon: Lexicon) -> Column:
     def run(s: pd.Series) -> pd.Series:
         if not held:
             held.append(pickle.loads(sent))
-        return s.map(lambda t: decode_text(t, held[0]))
+        return s.map(lambda t: decode_text(t, held[0], search))
 
     run.__annotations__ = {"s": pd.Series, "return": pd.Series}
     return arrow("array<struct<text:string,score:double,steps:array<string>,changed:boolean,gap:double,strong:boolean,confidence:double>>")(run)(c)
+
+
+def best_score(c: Column, lexicon: Lexicon, search: Search = Search()) -> Column:
+    """The score of the best reading of a text column; 0 where there is none, null for a null text."""
+    sent = pickle.dumps(lexicon)
+    held: list[Lexicon] = []
+
+    def run(s: pd.Series) -> pd.Series:
+        if not held:
+            held.append(pickle.loads(sent))
+        return s.map(lambda t: None if t is None else max((r["score"] for r in decode_text(t, held[0], search)), default=0.0)).astype("float64")
+
+    run.__annotations__ = {"s": pd.Series, "return": pd.Series}
+    return arrow("double")(run)(c)

@@ -12,6 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quillmesh.functions import tables as T
+from quillmesh.functions.distance import levenshtein_text
 from quillmesh.functions.lazy import arrow
 from quillmesh.functions.normalize import fold_text
 
@@ -109,22 +110,32 @@ def sound_distance(a: str, b: str) -> float:
 
 
 def _distances(a: list[str], b: list[str]) -> tuple[float, int]:
-    """Edit distance by features and by equality. A row is worked out at once: insertions are a running minimum."""
+    """Edit distance by features and by equality. A row is worked out at once: insertions are a running minimum.
+
+    What both begin or end with costs nothing in some best alignment, so only what lies between is worked out.
+    """
+    head = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    a, b = a[head:], b[head:]
+    tail = next((i for i, (x, y) in enumerate(zip(reversed(a), reversed(b), strict=False)) if x != y), min(len(a), len(b)))
+    a, b = a[: len(a) - tail], b[: len(b) - tail]
+    if not a or not b:
+        return float(len(a) + len(b)), len(a) + len(b)
+    if len(a) > len(b):
+        a, b = b, a  # both distances are the same either way, and the shorter side gives the rows
     kinds = {s: i for i, s in enumerate(dict.fromkeys([*a, *b]))}
     names = list(kinds)
     cost = np.array([[sound_distance(x, y) for y in names] for x in names])
-    x, y = np.array([kinds[s] for s in a]), np.array([kinds[s] for s in b])
-    step = np.arange(len(b) + 1, dtype=float)
-    out = []
-    for table in (cost, 1.0 - np.eye(len(names))):
-        row = step.copy()
-        for i, k in enumerate(x, 1):
-            new = np.empty_like(row)
-            new[0] = i
-            new[1:] = np.minimum(row[1:] + 1, row[:-1] + table[k, y])
-            row = np.minimum.accumulate(new - step) + step
-        out.append(float(row[-1]))
-    return out[0], round(out[1])
+    x, y = [kinds[s] for s in a], np.array([kinds[s] for s in b])
+    table, step = cost[:, y], np.arange(len(b) + 1, dtype=float)
+    row, new = step.copy(), np.empty(len(b) + 1)
+    for i, k in enumerate(x, 1):
+        new[0] = i
+        np.minimum(row[1:] + 1, row[:-1] + table[k], out=new[1:])
+        np.subtract(new, step, out=new)
+        np.minimum.accumulate(new, out=row)
+        row += step
+    plain = levenshtein_text("".join(chr(33 + kinds[s]) for s in a), "".join(chr(33 + kinds[s]) for s in b))
+    return float(row[-1]), plain
 
 
 def sound_ngrams(a: list[str], b: list[str], n: int) -> float:
@@ -169,6 +180,18 @@ def phonetic_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
 
 # ------------------------------------------------------------------------------------------------ transcription
 
+_CYRILLIC = str.maketrans({**dict(zip(T.CYRILLIC_FROM + T.CYRILLIC_FROM.upper(), T.CYRILLIC_TO + T.CYRILLIC_TO.upper(), strict=True)), **T.CYRILLIC_LONG, **{k.upper(): v.capitalize() for k, v in T.CYRILLIC_LONG.items()}})
+_ARABIC = str.maketrans({**T.ARABIC, **{chr(p): "" for p in range(0x64B, 0x653)}})
+
+
+def latin_view(text: str) -> str | None:
+    """A Cyrillic or Arabic text in Latin letters; None for others."""
+    if re.search("[\u0400-\u052f]", text):
+        return text.translate(_CYRILLIC)
+    if re.search("[\u0600-\u06ff]", text):
+        return text.translate(_ARABIC)
+    return None
+
 
 def cyrillic_to_latin(c: Column) -> Column:
     """Letter by letter, with letters that give several replaced first; case is kept by letter."""

@@ -6,62 +6,132 @@ bytes, need more than the match itself.
 
 from __future__ import annotations
 
+import functools
+import re
+from collections import Counter
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmesh.functions import tables as T
-from quillmesh.functions.lazy import arrow
+from quillmesh.functions.lazy import arrow, vector
 from quillmesh.functions.normalize import fold_text
+from quillmesh.runtime import map_batches
 
 SEGMENT = "array<struct<text:string,start:int,end:int,segment_type:string>>"
 # Endings cut from words without a known lemma, longest stem kept at least three letters.
 ENDINGS = ("mente", "iendo", "ación", "ción", "cion", "ando", "ing", "ed", "es", "s")
 
 
-def _pattern():
+@functools.cache
+def _patterns():
+    """The patterns for texts with and without signs of addresses and tags, and the one of user-seen characters.
+
+    Classes come from the Unicode tables of the pattern module and are written out for the faster standard one.
+    """
     import regex
 
-    word = r"[\p{Alphabetic}\p{Mn}\p{Mc}'’_‌‍]"
-    return regex.compile(
-        rf"(?P<url>(?i:https?://)\S+)|(?P<at>(?<!\S)\S*@\S*\.\S*|(?<!\S)\S*\.\S*@\S*)|(?P<mention>(?<!\S)@\S+)|(?P<hashtag>(?<!\S)\#\S+)|(?P<text>{word}+)|(?P<number>\p{{N}}+)|(?P<other>(?!\s)\X)"
-    )
+    points = "".join(chr(p) for p in range(0x110000) if not 0xD800 <= p < 0xE000)
 
+    def ranges(body: str) -> str:
+        out = []
+        for run in regex.findall(f"{body}+", points):
+            start = 0
+            for i in range(1, len(run) + 1):
+                if i == len(run) or ord(run[i]) != ord(run[i - 1]) + 1:
+                    out.append(f"\\U{ord(run[start]):08x}-\\U{ord(run[i - 1]):08x}")
+                    start = i
+        return "".join(out)
 
-_compiled = None
+    word, number, blank = ranges(r"[\p{Alphabetic}\p{Mn}\p{Mc}'’_‌‍]"), ranges(r"\p{N}"), ranges(r"\s")
+    dark, light = f"[^{blank}]", f"(?<![^{blank}])"
+    plain = rf"(?P<text>[{word}]+)|(?P<number>[{number}]+)|(?P<other>{dark})"
+    marked = rf"(?P<url>(?i:https?://){dark}+)|(?P<email>{light}{dark}*@{dark}*\.{dark}*|{light}{dark}*\.{dark}*@{dark}*)|(?P<mention>{light}@{dark}+)|(?P<hashtag>{light}\#{dark}+)|"
+    return re.compile(plain), re.compile(marked + plain), regex.compile(r"\X")
 
 
-def segment_text(text: str | None, most: int = T.SEGMENTS) -> list[tuple[str, int, int, str]]:
-    """(text, start, end, type) of at most ``most`` segments, offsets in UTF-8 bytes."""
-    global _compiled
-    if not text:
-        return []
+@functools.lru_cache(65536)
+def _kind_of_sign(piece: str) -> str:
     import regex
 
-    if _compiled is None:
-        _compiled = _pattern()
-    ascii_ = text.isascii()
-    sizes = None if ascii_ else np.concatenate([[0], np.cumsum([len(c.encode("utf-8", "surrogatepass")) for c in text])])
-    out = []
-    for m in _compiled.finditer(text):
-        kind, piece = m.lastgroup, m.group()
-        if kind == "at":
-            kind = "email"
-        elif kind == "other":
-            kind = "emoji" if regex.search(r"\p{Emoji}", piece) else "symbol" if regex.search(r"\p{S}", piece) else "unknown"
-        elif kind == "text" and len(piece) > 1 and piece[0].isupper() and piece[1:].islower():
-            kind = "named_entity" if m.start() and text[: m.start()].rstrip()[-1:] not in ("", ".", "!", "?") else "text"
-        a, b = (m.start(), m.end()) if ascii_ else (int(sizes[m.start()]), int(sizes[m.end()]))
+    return "emoji" if regex.search(r"\p{Emoji}", piece) else "symbol" if regex.search(r"\p{S}", piece) else "unknown"
+
+
+def _inside_sentence(text: str, start: int) -> bool:
+    """Whether what stands before a word is neither the start of the text nor the end of a sentence."""
+    at = start - 1
+    while at >= 0 and text[at].isspace():
+        at -= 1
+    return at >= 0 and text[at] not in ".!?"
+
+
+def segment_text(text: str | None, most: int | None = T.SEGMENTS) -> list[tuple[str, int, int, str]]:
+    """(text, start, end, type) of the segments, or of the first ``most``; offsets in UTF-8 bytes."""
+    if not text:
+        return []
+    plain, marked, shown = _patterns()
+    pattern = marked if "@" in text or "#" in text or "://" in text else plain
+    ascii_, out, at, seen, place = text.isascii(), [], 0, 0, 0
+    while m := pattern.search(text, at):
+        kind, start, end = m.lastgroup, m.start(), m.end()
+        if kind == "other":
+            if not ascii_ and not text[start : start + 2].isascii():
+                end = shown.match(text, start).end()
+            kind = _kind_of_sign(text[start:end])
+        piece = text[start:end]
+        if kind == "text" and len(piece) > 1 and piece[0].isupper() and piece[1:].islower() and start:
+            kind = "named_entity" if _inside_sentence(text, start) else "text"
+        if ascii_:
+            a, b = start, end
+        else:
+            a = place + len(text[seen:start].encode("utf-8", "surrogatepass"))
+            b = a + len(piece.encode("utf-8", "surrogatepass"))
+            seen, place = end, b
         out.append((piece, a, b, kind))
-        if len(out) == most:
+        if most is not None and len(out) == most:
             break
+        at = end
     return out
 
 
-@arrow(SEGMENT)
-def segments(s: pd.Series) -> pd.Series:
-    return s.map(lambda t: [dict(zip(("text", "start", "end", "segment_type"), x, strict=True)) for x in segment_text(t)])
+def _segment_columns(texts: list[str | None], most: int | None) -> tuple[np.ndarray, list[pa.Array]]:
+    """How many segments each text has, and their columns one after another."""
+    found = [segment_text(t, most) for t in texts]
+    flat = [s for own in found for s in own]
+    return np.fromiter(map(len, found), np.int64, len(found)), [pa.array([s[i] for s in flat], kind) for i, kind in enumerate((pa.string(), pa.int32(), pa.int32(), pa.string()))]
+
+
+@vector(SEGMENT)
+def segments(column: pa.Array) -> pa.Array:
+    """The first segments of each text, as many as an analysis takes; null texts have none."""
+    size, columns = _segment_columns(column.to_pylist(), T.SEGMENTS)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.StructArray.from_arrays(columns, names=["text", "start", "end", "segment_type"]))
+
+
+def segment_table(df: DataFrame, key: str, text: str, most: int | None = None) -> DataFrame:
+    """One row for each segment of each text: ``key``, pos, text, start, end, segment_type. Whole texts unless ``most`` is given."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        size, columns = _segment_columns(batch.column(1).to_pylist(), most)
+        row = np.repeat(np.arange(len(size)), size)
+        pos = (np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)).astype(np.int32)
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(pos), *columns], names=[key, "pos", "text", "start", "end", "segment_type"])
+
+    kind = dict(df.dtypes)[key]
+    return map_batches(df.select(key, text), run, f"`{key}` {kind}, pos int, text string, start int, end int, segment_type string")
+
+
+def segment_counts(df: DataFrame, text: str) -> DataFrame:
+    """(segment_type, n) over whole texts; each batch sends its counts alone."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = Counter(s[3] for t in batch.column(0).to_pylist() for s in segment_text(t, None))
+        return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["segment_type", "n"])
+
+    return map_batches(df.select(text), run, "segment_type string, n bigint").groupBy("segment_type").agg(F.sum("n").alias("n"))
 
 
 def tokens(segments: Column) -> Column:
@@ -73,6 +143,11 @@ def words(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(r"([\p{L}\p{N}]+)"), 1)
 
 
+def words_text(text: str) -> list[str]:
+    """The same in Python."""
+    return re.findall(r"[^\W_]+", text.lower())
+
+
 def lemma_text(word: str) -> str:
     w = word.lower()
     if len(w) > 5:
@@ -182,8 +257,6 @@ def feature_hash_texts(texts: list[str | None], dims: int = 256) -> np.ndarray:
 
 def word_hash_texts(texts: list[str | None], dims: int = 256) -> np.ndarray:
     """Words (1.0) and pairs of words (0.5), the sign from the top bit, at length one."""
-    import re
-
     out = np.zeros((len(texts), dims))
     for row, text in enumerate(texts):
         if not text:

@@ -1,12 +1,12 @@
-"""Features of characters and scripts, and the signs of disguise, as Catalyst expressions."""
+"""Features of characters and scripts as Catalyst expressions; what needs many of them at once is in :mod:`points`."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quillmesh.functions import points
 from quillmesh.functions import tables as T
-from quillmesh.functions.normalize import has_leet, repetition_ratio
 
 
 def count_of(c: Column, body: str) -> Column:
@@ -48,7 +48,8 @@ def emoji(c: Column) -> Column:
 def malformed(c: Column) -> Column:
     """User-seen characters that begin with a combining mark, end in a joiner, or hold two selectors."""
     shown = F.regexp_extract_all(c, F.lit(r"(?s)(\X)"), 1)
-    return F.size(F.filter(shown, lambda g: g.rlike(f"^[{T.COMBINING}]|‍$|[{T.SELECTORS}].*[{T.SELECTORS}]")))
+    found = F.size(F.filter(shown, lambda g: g.rlike(f"^[{T.COMBINING}]|‍$|[{T.SELECTORS}].*[{T.SELECTORS}]")))
+    return F.when(c.rlike(f"[{T.COMBINING}{T.SELECTORS}{T.JOINERS}]"), found).when(c.isNotNull(), 0)
 
 
 def suspicious_score(c: Column) -> Column:
@@ -79,59 +80,12 @@ def uppercase_ratio(c: Column) -> Column:
 
 def obfuscation(c: Column) -> Column:
     """The scores and flags of disguise as one struct."""
-    n, d, e, odd = letters(c), digits(c), emoji(c), confusables(c)
-    repeated = repetition_ratio(c)
-    fragments = F.when((n > 0) & ((d > 0) | (e > 0)), F.least(F.lit(1.0), (d + e) / n)).otherwise(0.0)
-    replaced = F.when((e > 0) & (n > 0), 0.35).otherwise(0.0)
-    leet_score = F.when(has_leet(c), F.greatest(F.lit(0.35), F.least(F.lit(1.0), d / F.greatest(n, F.lit(1))))).otherwise(0.0)
-    twins = F.least(F.lit(1.0), odd * F.lit(0.35))
-    unicode_score = suspicious_score(c)
-    flags = F.array_compact(
-        F.array(
-            F.when(has_leet(c), "leetspeak"),
-            F.when(repeated >= 0.08, "repetition"),
-            F.when(flooded(c), "punctuation_flood"),
-            F.when(mixed_scripts(c), "mixed_scripts"),
-            F.when(odd > 0, "confusables"),
-            F.when(count_of(c, T.INVISIBLE) > 0, "invisible_characters"),
-            F.when(count_of(c, T.BIDI) > 0, "bidirectional_controls"),
-            F.when(fragments >= 0.2, "fragmentation"),
-            F.when((uppercase_ratio(c) > 0.9) & (n >= 4), "uppercase_flood"),
-        )
-    )
-    score = F.least(
-        F.lit(1.0),
-        leet_score * 0.35 + repeated * 0.25 + F.when(flooded(c), 0.15).otherwise(0.0) + F.when(mixed_scripts(c), 0.2).otherwise(0.0) + twins * 0.25 + unicode_score * 0.25 + fragments * 0.15 + replaced * 0.15,
-    )
-    return F.struct(
-        ((score >= 0.25) | (F.size(flags) > 0)).alias("detected"),
-        score.alias("score"),
-        leet_score.alias("leet_score"),
-        twins.alias("homoglyph_score"),
-        unicode_score.alias("unicode_score"),
-        fragments.alias("fragmentation_score"),
-        replaced.alias("symbol_substitution_score"),
-        repeated.alias("repetition_score"),
-        flags.alias("flags"),
-    )
+    return points.obfuscation(c)
 
 
 def entropy(c: Column) -> Column:
-    """Shannon entropy of the characters in bits, as one expression over sorted characters (no shuffle).
-
-    Run lengths come from a sorted array in a single fold, so the cost is linear after the sort.
-    """
-    chars = F.array_sort(F.filter(F.split(c, ""), lambda x: x != ""))
-    n = F.size(chars)
-    start = F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(0.0).cast("double").alias("sum"))
-    term = lambda run: F.when(run > 0, run * F.log2(run.cast("double"))).otherwise(0.0)
-    total = F.aggregate(
-        chars,
-        start,
-        lambda acc, x: F.when(x == acc["last"], F.struct(acc["last"].alias("last"), (acc["run"] + 1).alias("run"), acc["sum"].alias("sum"))).otherwise(F.struct(x.alias("last"), F.lit(1).alias("run"), (acc["sum"] + term(acc["run"])).alias("sum"))),
-        lambda acc: acc["sum"] + term(acc["run"]),
-    )
-    return F.when(n == 0, 0.0).otherwise(F.log2(n.cast("double")) - total / n)
+    """Shannon entropy of the characters in bits; 0 for an empty text."""
+    return points.entropy(c)
 
 
 def char_features(c: Column) -> Column:

@@ -1,19 +1,32 @@
-"""Evidence that compares readings of two messages: shared decodings, single swapped words, symbols, transcriptions."""
+"""Evidence of pairs of messages: all channels, and the features between them that the trained scorer weighs.
+
+Each text is read once (:class:`Side`), whatever number of pairs it stands in within a task; a feature that has no evidence is
+0, a channel without evidence is missing.
+"""
 
 from __future__ import annotations
 
 import pickle
+import re
+from collections import Counter
+from dataclasses import dataclass
+from functools import cached_property
 
-import pandas as pd
-from pyspark.sql import Column
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from quillmesh.functions.distance import character_text
-from quillmesh.functions.lazy import arrow
-from quillmesh.functions.normalize import fold_text
-from quillmesh.functions.rebus import decode_text
-from quillmesh.functions.sounds import sound_confidence, sound_similarity, sounds_of
-from quillmesh.functions.tokens import segment_text
+from quillmesh.functions import tables as T
+from quillmesh.functions.distance import character_bound, character_folded, character_text
+from quillmesh.functions.entities import entities_text
+from quillmesh.functions.normalize import fold_text, strip_marks_text
+from quillmesh.functions.points import BIT, class_table
+from quillmesh.functions.rebus import Search, decode_text
+from quillmesh.functions.sounds import latin_view, sound_confidence, sound_similarity, sounds_of
+from quillmesh.functions.tokens import feature_hash_texts, lemma_text, segment_text
+from quillmesh.runtime import map_batches
 from quillmesh.sources.packs import Lexicon
 
 
@@ -21,35 +34,38 @@ def _tight(text: str) -> str:
     return "".join(fold_text(text).split())
 
 
-def graded(text: str, lexicon: Lexicon) -> dict[str, float]:
+def graded(text: str, lexicon: Lexicon, search: Search = Search()) -> dict[str, float]:
     """Folded forms of a text and of its readings, each with its confidence over its rank."""
     out = {_tight(text): 1.0}
-    for rank, r in enumerate(decode_text(text, lexicon)):
+    for rank, r in enumerate(decode_text(text, lexicon, search)):
         key = _tight(r["text"])
         out[key] = max(out.get(key, 0.0), r["confidence"] / (rank + 1))
     return out
 
 
-def exact_decode(a: str, b: str, lexicon: Lexicon) -> float:
-    """The best confidence of a form that both texts can be read as."""
-    x, y = graded(a, lexicon), graded(b, lexicon)
+def exact_decode(x: dict[str, float], y: dict[str, float]) -> float:
+    """The best confidence of a form that two texts (as :func:`graded`) can both be read as."""
     return max((min(x[k], y[k]) for k in x.keys() & y.keys()), default=0.0)
 
 
-def decoded_overlap(a: str, b: str, lexicon: Lexicon) -> float:
-    """The closest pair of readings, damped by rank."""
+def decoded_overlap(x: dict[str, float], y: dict[str, float]) -> float:
+    """The closest pair of readings of two texts (as :func:`graded`), damped by rank. Pairs that can't come closer than the best
+    so far, by their rank or by the characters they share, are not compared."""
     best = 0.0
-    for i, x in enumerate(graded(a, lexicon)):
-        for j, y in enumerate(graded(b, lexicon)):
-            damp = 1 / (1 + 0.05 * max(i, j))
-            best = max(best, damp if x == y else damp * character_text(x, y)["combined"] if abs(len(x) - len(y)) <= max(len(x), len(y)) / 2 else 0.0)
+    sides = [[(strip_marks_text(k), Counter(strip_marks_text(k))) for k in side] for side in (x, y)]
+    pairs = sorted((max(i, j), i, j) for i in range(len(x)) for j in range(len(y)))
+    for rank, i, j in pairs:
+        damp = 1 / (1 + 0.05 * rank)
+        if damp <= best:
+            break
+        (p, cp), (q, cq) = sides[0][i], sides[1][j]
+        if p == q:
+            best = damp
+        elif abs(len(p) - len(q)) <= max(len(p), len(q)) / 2 and damp * character_bound(cp, cq) > best:
+            best = max(best, damp * character_folded(p, q)["combined"])
     return best
 
 
-def word_tokens(text: str) -> list[str]:
-    return [p for p, _, _, kind in segment_text(text) if kind in ("text", "named_entity")]
-
-
 def swapped(a: list[str], b: list[str]) -> tuple[int, str, str] | None:
     """The one place at which two word lists differ, where they differ at just one; one list may have a word more."""
     a, b = [fold_text(w) for w in a], [fold_text(w) for w in b]
@@ -75,55 +91,238 @@ def swapped(a: list[str], b: list[str]) -> tuple[int, str, str] | None:
     return None
 
 
-def symbolic(a: str, b: str, lexicon: Lexicon) -> float:
-    """How well the readings of one text's symbols fit the other text."""
-    sides = []
-    for text in (a, b):
-        found = [(t.lower(), p) for piece, _, _, kind in segment_text(text) if kind in ("emoji", "symbol", "number") for t, _, p in lexicon.symbols.get(piece.replace("️", ""), [])]
-        sides.append((found, _tight(text), set(map(fold_text, word_tokens(text)))))
-    (ra, ta, wa), (rb, tb, wb) = sides
-    if not ra and not rb:
-        return 1.0 if fold_text(a) == fold_text(b) else 0.0
-    best = 0.55 * character_text(ta, tb)["combined"]
-    for own, other, words in ((ra, tb, wb), (rb, ta, wa)):
-        for t, p in dict(own).items():
-            best = max(best, character_text(t, other)["combined"], p if t in words else 0.0)
-    for x in dict(ra):
-        for y in dict(rb):
-            best = max(best, character_text(x, y)["combined"])
+def symbolic(a: Side, b: Side) -> float | None:
+    """How well the readings of one text's symbols fit the other text; None where neither has symbols."""
+    if not a.signs and not b.signs:
+        return None
+    ra, rb = a.signs, b.signs
+    best = 0.55 * character_folded(a.tight_bare, b.tight_bare)["combined"]
+    for own, other in ((ra, b), (rb, a)):
+        best = max([best, *(p for t, p in own.items() if t in other.folded_words)])
+    for x in ra:
+        for y in rb:
+            best = max(best, character_text(x, y)["combined"]) if best < 1 else best
+    for own, other in ((ra, b), (rb, a)):
+        for t in own:
+            bare = strip_marks_text(fold_text(t))
+            if character_bound(Counter(bare), other.tight_counts) > best:
+                best = max(best, character_folded(bare, other.tight_bare)["combined"])
     return min(1.0, best)
 
 
-_KIND = "exact_decode double, decoded double, symbolic double, swapped_word_similarity double, valid_swap boolean, swapped_phonetic double"
+_COLLAPSE = re.compile(r"([^\W_]|[!?.])\1{2,}")
+_BLANKS = re.compile(f"[\\s{T.EXTRA_BLANKS}]+")
+_LEET, _LOOKS = str.maketrans(T.LEET_FROM, T.LEET_TO), str.maketrans(T.CONFUSABLE_FROM, T.CONFUSABLE_TO)
+_WORDS = re.compile(r"[^\W_]+")
+_LONG_SCRIPTS = re.compile("[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]")
+
+
+class Side:
+    """One text of a pair and what has been read from it, each part worked out once."""
+
+    def __init__(self, text: str, lexicon: Lexicon, settings: Settings):
+        self.text, self.lexicon, self.settings = text, lexicon, settings
+
+    @cached_property
+    def folded(self) -> str:
+        return fold_text(self.text)
+
+    @cached_property
+    def bare(self) -> str:
+        return strip_marks_text(self.folded)
+
+    @cached_property
+    def tight(self) -> str:
+        return "".join(self.folded.split())
+
+    @cached_property
+    def tight_bare(self) -> str:
+        return strip_marks_text(self.tight)
+
+    @cached_property
+    def tight_counts(self) -> Counter:
+        return Counter(self.tight_bare)
+
+    @cached_property
+    def lemmas(self) -> frozenset[str]:
+        return frozenset(lemma_text(w) for w in _WORDS.findall(self.bare.lower()))
+
+    @cached_property
+    def looks(self) -> str:
+        return strip_marks_text(fold_text(self.folded.translate(_LOOKS)))
+
+    @cached_property
+    def even(self) -> str:
+        """Leet read as letters, repetition cut, blanks evened."""
+        return strip_marks_text(fold_text(_BLANKS.sub(" ", _COLLAPSE.sub(r"\1", self.text.translate(_LEET))).strip(" ")))
+
+    @cached_property
+    def segments(self) -> list[tuple[str, int, int, str]]:
+        return segment_text(self.text, self.settings.search.segments)
+
+    @cached_property
+    def words(self) -> list[str]:
+        return [p for p, _, _, kind in self.segments if kind in ("text", "named_entity")]
+
+    @cached_property
+    def folded_words(self) -> frozenset[str]:
+        return frozenset(map(fold_text, self.words))
+
+    @cached_property
+    def signs(self) -> dict[str, float]:
+        """Readings of emoji, symbols and numbers with their probabilities."""
+        return {t.lower(): p for piece, _, _, kind in self.segments if kind in ("emoji", "symbol", "number") for t, _, p in self.lexicon.symbols.get(piece.replace("️", ""), [])}
+
+    @cached_property
+    def graded(self) -> dict[str, float]:
+        return graded(self.text, self.lexicon, self.settings.search) if self.settings.rebus else {self.tight: 1.0}
+
+    @cached_property
+    def sounds(self) -> tuple[list[str], float]:
+        found = sounds_of(self.text)
+        return found, sound_confidence(self.text, found)
+
+    @cached_property
+    def vector(self) -> np.ndarray:
+        return feature_hash_texts([self.text])[0].astype(np.float64)
 
+    @cached_property
+    def entities(self) -> list[dict]:
+        return entities_text(self.text, self.settings.entities, self.settings.entity_chars)
 
-def pair_evidence(a: Column, b: Column, lexicon: Lexicon) -> Column:
-    """All of the above for two text columns as one struct; null where a text is null."""
+    @cached_property
+    def coverage(self) -> float:
+        return sum(self.lexicon.contains(w) for w in self.words) / len(self.words) if self.words else 0.0
+
+    @cached_property
+    def language(self) -> str:
+        """The language that has most of the words; ties go to the first in order."""
+        votes = Counter(lang for w in self.words for lang in self.lexicon.languages_of(w))
+        return min(votes, key=lambda k: (-votes[k], k)) if votes else "unknown"
+
+    @cached_property
+    def fold_key(self) -> str:
+        return "".join(c for c in self.bare if c.isalnum())
+
+    @cached_property
+    def scripts(self) -> frozenset[str]:
+        flags = int(np.bitwise_or.reduce(class_table()[np.frombuffer(self.text.encode("utf-32-le", "surrogatepass"), np.uint32)])) if self.text else 0
+        return frozenset(s for s in T.SCRIPTS if flags & int(BIT[f"script {s}"]))
+
+    @cached_property
+    def latin(self) -> str | None:
+        return latin_view(self.text)
+
+
+@dataclass(frozen=True)
+class Settings:
+    """What an engine's configuration says about pairs."""
+
+    search: Search = Search()
+    entities: int = T.ENTITIES
+    entity_chars: int = T.ENTITY_CHARS
+    rebus: bool = True
+
+
+def entity_evidence(a: list[dict], b: list[dict]) -> tuple[float, float]:
+    """Agreement (the share of values that both hold, of the longer list) and conflict (of the kinds that both hold, the share
+    without a common value); 0 where there is nothing to go by."""
+    x, y = ({(e["entity_type"], e["value"]) for e in side} for side in (a, b))
+    most = max(len(x), len(y))
+    kinds = {k for k, _ in x} & {k for k, _ in y}
+    apart = sum(not {v for k, v in x if k == kind} & {v for k, v in y if k == kind} for kind in kinds)
+    return (len(x & y) / most if most else 0.0), (apart / len(kinds) if kinds else 0.0)
+
+
+#: Sureness of a transcription letter by letter.
+TRANSCRIBED = 0.6
+
+
+def features(a: Side, b: Side) -> dict[str, float | None]:
+    """The channels (None where one is missing) and the features between them, of two texts."""
+    character = character_folded(a.bare, b.bare)["combined"]
+    lexical = len(a.lemmas & b.lemmas) / len(a.lemmas | b.lemmas) if a.lemmas | b.lemmas else 1.0
+    (sa, ca), (sb, cb) = a.sounds, b.sounds
+    semantic = float(a.vector @ b.vector)
+    symbolic_ = symbolic(a, b)
+    channels = {
+        "semantic": semantic, "lexical": lexical, "character": character, "visual": character if a.looks == a.bare and b.looks == b.bare else character_folded(a.looks, b.looks)["combined"],
+        "phonetic": sound_similarity(sa, ca, sb, cb), "symbolic": symbolic_, "decoded": decoded_overlap(a.graded, b.graded),
+        "obfuscation": character if a.even == a.bare and b.even == b.bare else character_folded(a.even, b.even)["combined"],
+    }
+    sure = {"semantic": 1.0, "lexical": 1.0, "character": 1.0, "visual": 1.0, "phonetic": min(ca, cb), "symbolic": 0.0 if symbolic_ is None else 1.0, "decoded": 1.0, "obfuscation": 1.0}
+    same = 1.0 if a.language == b.language else 0.0
+    validity, single = min(a.coverage, b.coverage), float(all(len(s.words) == 1 and len(_LONG_SCRIPTS.findall(s.words[0])) < 3 for s in (a, b)))
+    likeness = sound = swap_valid = 0.0
+    one_language = 1.0
+    if swap := swapped(a.words, b.words):
+        _, p, q = swap
+        likeness = character_text(p, q)["combined"]
+        swap_valid = float(a.lexicon.contains(p) and a.lexicon.contains(q))
+        u, v = sounds_of(p), sounds_of(q)
+        sound = sound_similarity(u, sound_confidence(p, u), v, sound_confidence(q, v))
+        own, other = set(a.lexicon.languages_of(p)), set(a.lexicon.languages_of(q))
+        one_language = 0.0 if own and other and not own & other else 1.0
+    exact = exact_decode(a.graded, b.graded)
+    identical = float(bool(a.fold_key) and a.fold_key == b.fold_key)
+    short, long = sorted((a.fold_key, b.fold_key), key=len)
+    contained = float(bool(short) and short != long and short in long and (len(short) >= 3 or not short.isascii()))
+    cross = float(bool(a.scripts) and bool(b.scripts) and not a.scripts & b.scripts)
+    transcribed = 0.0
+    if cross and (a.latin or b.latin):
+        transcribed = max(character_text(x, y)["combined"] for x, y in ((a.latin or a.text, b.text), (a.text, b.latin or b.text), (a.latin or a.text, b.latin or b.text))) * TRANSCRIBED
+    agreement, conflict = entity_evidence(a.entities, b.entities)
+    floor = max(0.0, semantic)
+    return channels | {
+        "channel_confidence": sum(sure.values()) / len(sure), "language_agreement": same, "lexicon_validity": validity, "single_word_pair": single, "swapped_word_similarity": likeness,
+        "swapped_phonetic": sound * validity * one_language, "confusable_swap": likeness * sound * (validity > 0.999) * swap_valid * one_language, "valid_swap_similarity": swap_valid * likeness**3 * one_language,
+        "normalized_identity": identical, "substring_containment": contained, "cross_script_pair": cross, "cross_script_agreement": cross * same, "exact_decode": exact, "single_word_exact": single * exact,
+        "fuzzy_decode_mismatch": min(1.0, max(0.0, (symbolic_ or 0.0) * channels["decoded"] * (1 - min(1.0, exact)))), "contextual_semantic": 0.0, "cross_language_semantic": 0.0 if same else semantic,
+        "entity_agreement": agreement, "entity_conflict": conflict, "semantic_without_lexical_overlap": semantic if lexical < 0.3 else 0.0,
+        "transliteration_semantic_agreement": transcribed * floor * cross, "transliteration_semantic_conflict": transcribed * (1 - floor) * validity * (1 - same) * cross, "swap_validity": swap_valid,
+    }
+
+
+_KIND = ", ".join(f"{k} double" for k in [*T.CHANNELS, "channel_confidence", "language_agreement", *T.PAIR_FEATURES, "swap_validity"])
+#: Texts whose readings a worker keeps.
+KEPT_SIDES = 2_000
+
+
+def with_evidence(pairs: DataFrame, a: str, b: str, lexicon: Lexicon, settings: Settings = Settings(), longest: int | None = None) -> DataFrame:
+    """``pairs`` with all features of two of its text columns as new columns, null where a text is null or over ``longest``.
+
+    One pass over Arrow batches, so whatever is done with the columns later reads no text again; a text that comes again in
+    a task is not read again either.
+    """
+    names = [c.split(" ")[0] for c in _KIND.split(", ")]
+    if clash := set(names) & set(pairs.columns):
+        raise ValueError(f"columns exist already: {sorted(clash)}")
     sent = pickle.dumps(lexicon)
     held: list[Lexicon] = []
+    sides: dict[str, Side] = {}
+
+    def side(text: str) -> Side:
+        if text not in sides:
+            if len(sides) >= KEPT_SIDES:
+                sides.clear()
+            sides[text] = Side(text, held[0], settings)
+        return sides[text]
 
-    def run(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+    def read(x: str | None, y: str | None) -> dict[str, float | None]:
+        if x is None or y is None or longest is not None and max(len(x), len(y)) > longest:
+            return dict.fromkeys(names)
+        return features(side(x), side(y))
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         if not held:
             held.append(pickle.loads(sent))
-        lex, rows = held[0], []
-        for x, y in zip(a, b, strict=True):
-            if x is None or y is None:
-                rows.append((None,) * 6)
-                continue
-            swap = swapped(word_tokens(x), word_tokens(y))
-            likeness = sound = 0.0
-            valid = False
-            if swap:
-                _, p, q = swap
-                likeness = character_text(p, q)["combined"]
-                valid = lex.contains(p) and lex.contains(q)
-                u, v = sounds_of(p), sounds_of(q)
-                sound = sound_similarity(u, sound_confidence(p, u), v, sound_confidence(q, v))
-            rows.append((exact_decode(x, y, lex), decoded_overlap(x, y, lex), symbolic(x, y, lex), likeness, valid, sound))
-        return pd.DataFrame(rows, columns=[c.split(" ")[0] for c in _KIND.split(", ")])
-
-    run.__annotations__ = {"a": pd.Series, "b": pd.Series, "return": pd.DataFrame}
-    return arrow(_KIND)(run)(a, b)
+        at = batch.schema.get_field_index
+        rows = [read(x, y) for x, y in zip(batch.column(at(a)).to_pylist(), batch.column(at(b)).to_pylist(), strict=True)]
+        new = [pa.array([r[k] if r[k] is None else float(r[k]) for r in rows], pa.float64()) for k in names]
+        return pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *names])
+
+    fields = [*pairs.schema.fields, *(StructField(k, DoubleType()) for k in names)]
+    return map_batches(pairs, run, StructType(fields))
 
 
 def transcription_agreement(views_a: Column, views_b: Column, a: Column, b: Column) -> Column:

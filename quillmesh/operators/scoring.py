@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillmesh.functions import distance, entities, normalize, sounds, tokens
+from quillmesh.functions import distance, normalize, points, rebus, sounds, tokens
 from quillmesh.functions import tables as T
 from quillmesh.functions import unicode as uni
+from quillmesh.functions.rebus import Search
+from quillmesh.sources.packs import Lexicon
 
 
 def combine(channels: dict[str, Column], weights: dict[str, float] | None = None) -> Column:
@@ -85,61 +87,67 @@ def judged(pairs: DataFrame, threshold: float = 0.85, mode: str = "combined") ->
     return pairs.withColumn("duplicate_score", value).withColumn("duplicate", value >= threshold).withColumn("reason", reason)
 
 
-def spam_features(df: DataFrame, text: str = "text") -> DataFrame:
-    """The countable spam features of a text column beside the other columns."""
+def spam_features(df: DataFrame, text: str = "text", lexicon: Lexicon | None = None, search: Search = Search(), patterns: DataFrame | None = None, key: str = "id") -> DataFrame:
+    """The fifteen spam features of a text column beside the other columns, all null for a null text.
+
+    ``lexicon`` gives the readings (the packs of the package where none is given), ``patterns`` the registry whose best
+    match by ``key`` is the pattern score; without one it is 0.
+    """
+    from quillmesh.sources import packs
+
     c = F.col(text)
-    n, a = F.greatest(F.length(c), F.lit(1)), F.greatest(uni.letters(c), F.lit(1))
-    punctuation = F.regexp_count(c, F.lit(r"[!-/:-@\[-`{-~]"))
-    emoji = uni.emoji(c)
-    return df.select(
-        *df.columns,
-        F.size(entities.found(c, entities.URL)).alias("url_count"),
-        F.size(entities.found(c, entities.EMAIL)).alias("email_count"),
-        emoji.alias("emoji_count"),
-        (uni.digits(c) / n).alias("number_ratio"),
-        (emoji / n).alias("emoji_ratio"),
-        (uni.uppercase(c) / a).alias("uppercase_ratio"),
-        (punctuation / n).alias("punctuation_ratio"),
-        uni.entropy(c).alias("entropy"),
-        normalize.repetition_ratio(c).alias("repetition_score"),
-        uni.obfuscation(c).getField("score").alias("obfuscation_score"),
-    )
+    counted = df.withColumn("_n", points.spam_counts(c)).withColumn("decoded_similarity", rebus.best_score(c, lexicon or packs.load(), search))
+    out = counted.select(*df.columns, "_n.*", "decoded_similarity")
+    if patterns is None:
+        return out.withColumn("pattern_score", F.lit(0.0)).withColumn("semantic_pattern_similarity", F.lit(0.0))
+    met = match_patterns(df.select(F.col(key).alias("id"), c.alias("text")), patterns).groupBy("id").agg(F.max("score").alias("pattern_score")).withColumnRenamed("id", key)
+    return out.join(met, key, "left").withColumn("pattern_score", F.coalesce("pattern_score", F.lit(0.0))).withColumn("semantic_pattern_similarity", F.col("pattern_score"))
 
 
-def spam_heuristic(pattern_score: Column | None = None) -> Column:
+def spam_heuristic() -> Column:
     """The untrained spam probability over :func:`spam_features`."""
     part = lambda name, each, most: F.least(F.col(name) * F.lit(each), F.lit(most))
     value = (
         F.lit(0.05) + part("url_count", 0.22, 0.44) + part("email_count", 0.10, 0.20) + part("emoji_ratio", 0.6, 0.18) + part("number_ratio", 0.5, 0.15)
-        + F.col("obfuscation_score") * 0.30 + F.col("repetition_score") * 0.20 + (pattern_score if pattern_score is not None else F.lit(0.0)) * 0.25
+        + F.col("obfuscation_score") * 0.30 + F.col("repetition_score") * 0.20 + F.col("pattern_score") * 0.25
         + part("uppercase_ratio", 0.08, 0.08) + part("punctuation_ratio", 0.12, 0.12)
     )
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), value))
 
 
 def spam_labels() -> Column:
-    return F.array_compact(
+    """What speaks for spam, by name; a message that is likely spam for no one reason is suspicious."""
+    found = F.array_compact(
         F.array(
             F.when(F.col("url_count") > 0, "promotion"),
+            F.when(F.col("leet_or_twins"), "obfuscated"),
             F.when(F.col("repetition_score") > 0.08, "flooding"),
+            F.when(F.col("pattern_score") >= 0.75, "known_pattern"),
             F.when((F.col("emoji_count") >= 2) | (F.col("number_ratio") > 0.20), "attention_grabbing"),
-            F.when(F.col("entropy") > 4.5, "high_entropy"),
+            F.when((F.col("entropy") > 4.5) & (F.col("length") >= 12), "high_entropy"),
         )
     )
+    return F.when((F.size(found) == 0) & (spam_heuristic() >= 0.5), F.array(F.lit("suspicious"))).otherwise(found)
 
 
 def spam_trained() -> Column:
     """The trained spam probability over :func:`spam_features`."""
-    names = [k for k in T.SPAM_WEIGHTS if k != "decoded_similarity"]
-    return logistic({k: F.col(k) for k in names}, {k: T.SPAM_WEIGHTS[k] for k in names}, T.SPAM_BIAS)
+    return logistic({k: F.col(k) for k in T.SPAM_WEIGHTS}, T.SPAM_WEIGHTS, T.SPAM_BIAS)
 
 
 def spam_reasons(most: int = 3) -> Column:
     """The features that speak most for spam, strongest first."""
-    parts = F.array(*(F.struct((F.col(k) * F.lit(w)).alias("part"), F.lit(k).alias("name")) for k, w in T.SPAM_WEIGHTS.items() if k != "decoded_similarity"))
+    parts = F.array(*(F.struct((F.col(k) * F.lit(w)).alias("part"), F.lit(k).alias("name")) for k, w in T.SPAM_WEIGHTS.items()))
     return F.transform(F.slice(F.array_sort(F.filter(parts, lambda p: p["part"] > 0), lambda x, y: F.when(x["part"] > y["part"], -1).when(x["part"] < y["part"], 1).otherwise(0)), 1, most), lambda p: p["name"])
 
 
+def pair_score(weights: dict[str, float] | None = None, bias: float = T.PAIR_BIAS, temperature: float = T.PAIR_TEMPERATURE) -> Column:
+    """The trained score of pairs over the columns of :func:`quillmesh.operators.evidence.with_evidence`."""
+    weights = weights or T.PAIR_WEIGHTS
+    total = sum((F.coalesce(F.col(k).cast("double"), F.lit(0.0)) * F.lit(w) for k, w in weights.items()), F.lit(bias))
+    return sigmoid(total / F.lit(temperature))
+
+
 def match_patterns(messages: DataFrame, patterns: DataFrame) -> DataFrame:
     """Messages (id, text) against patterns (pattern_id, examples, negatives, threshold): the best example of each that
     reaches its threshold. Patterns are a registry of the user's, checked to be small before they are broadcast."""

@@ -5,11 +5,13 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from quillmesh.config import EngineConfig
 from quillmesh.engine import TextEngine
+from quillmesh.functions import tables as T
 from quillmesh.functions import tokens
 from quillmesh.operators import decide, measures
 from quillmesh.plans.registry import Registry
-from quillmesh.runtime import sampled, table
+from quillmesh.runtime import sampled, spread, table
 
 query = Registry()
 
@@ -32,6 +34,40 @@ def engine_decode(spark, sf):
     return TextEngine(spark).decode(rows).select("id", "rank", "text", F.round("score", 6).alias("score"), "strong")
 
 
+@query()
+def engine_compare(spark, sf):
+    """All pairs of texts with every channel, the features between them, and both scores."""
+    pairs = _once(table(spark, sf, "evaluation_case").where("a IS NOT NULL AND b IS NOT NULL").select("id", "a", "b"), "id")
+    engine = TextEngine(spark, packs_table=table(spark, sf, "language_pack"))
+    out = engine.compare(spread(pairs))
+    return out.select("id", *(F.round(c, 6).alias(c) for c in (*T.CHANNELS, *T.PAIR_FEATURES, "channel_confidence", "language_agreement", "score", "trained")))
+
+
+@query()
+def engine_duplicates(spark, sf):
+    """Which pairs of texts are duplicates, and why."""
+    pairs = _once(table(spark, sf, "evaluation_case").where("a IS NOT NULL AND b IS NOT NULL").select("id", "a", "b"), "id")
+    return TextEngine(spark, packs_table=table(spark, sf, "language_pack")).duplicates(spread(pairs)).select("id", "duplicate", F.round("duplicate_score", 6).alias("score"), "reason")
+
+
+def _store_and_items(spark, sf):
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"), table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), "text")
+
+
+@query()
+def engine_find_similar(spark, sf):
+    """The three documents most similar to each test item, out of the 20 that come first in retrieval."""
+    engine = TextEngine(spark, EngineConfig(search_candidates=20), packs_table=table(spark, sf, "language_pack"))
+    return engine.find_similar(*_store_and_items(spark, sf), 3).select("query", "id", F.round("score", 6).alias("score"), "rank")
+
+
+@query()
+def engine_find_duplicates(spark, sf):
+    """The documents that come near a test item, by words, out of the 20 that come first in retrieval."""
+    engine = TextEngine(spark, EngineConfig(search_candidates=20), packs_table=table(spark, sf, "language_pack"))
+    return engine.find_duplicates(*_store_and_items(spark, sf), 0.3, "lexical").select("query", "id", F.round("duplicate_score", 6).alias("score"), "reason")
+
+
 @query()
 def engine_diagnostics(spark, sf):
     return TextEngine(spark).diagnostics()
@@ -51,7 +87,7 @@ def dec_similarity_adapter(spark, sf):
 def dec_spam_adapter(spark, sf):
     """Binary questions about unwanted advertising, answered by the trained spam scorer."""
     rows = _once(table(spark, sf, "decision_example").where("state IS NOT NULL AND question.type = 'binary'").select("id", "state"), "id")
-    out = TextEngine(spark).detect_spam(rows, "state")
+    out = TextEngine(spark, packs_table=table(spark, sf, "language_pack")).detect_spam(rows, "state")
     p = F.col("probability")
     return out.select("id", F.round(p, 6).alias("probability_true"), (p >= 0.5).alias("answer"), F.when(F.greatest(p, 1 - p) >= 0.5, "accept").otherwise("escalate").alias("decision"))
 

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillmesh.functions import normalize, tokens
+from quillmesh.functions import normalize, points, tokens
 from quillmesh.functions import tables as T
 from quillmesh.operators import retrieval as R
 from quillmesh.operators import scoring as S
 from quillmesh.plans.registry import Registry
 from quillmesh.runtime import table
+from quillmesh.sources import packs
 
 query = Registry()
 
@@ -79,23 +80,23 @@ def dup_normalized(spark, sf):
 
 @query()
 def spam_feature_table(spark, sf):
+    """The fifteen features of every message."""
     rows = table(spark, sf, "spam_item").where("text IS NOT NULL").select("id", "text").dropDuplicates(["id"])
-    f = S.spam_features(rows)
-    return f.select("id", "url_count", "email_count", "emoji_count", *(F.round(c, 6).alias(c) for c in ("number_ratio", "uppercase_ratio", "punctuation_ratio", "entropy", "obfuscation_score")))
+    f = S.spam_features(rows, lexicon=packs.from_table(table(spark, sf, "language_pack")))
+    return f.select("id", "url_count", "email_count", "emoji_count", *(F.round(F.col(c).cast("double"), 6).alias(c) for c in T.SPAM_WEIGHTS if c not in ("url_count", "email_count", "emoji_count")))
 
 
-@query(r"""WITH d AS (SELECT id, max(text) AS t FROM spam_item WHERE length(text) > 0 GROUP BY id) SELECT id, len(regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9._%+-]*[A-Za-z0-9]\.[A-Za-z]{2,}')) AS email_count,
-    round(len(regexp_extract_all(t, '\p{N}')) / length(t), 6) AS number_ratio, round(len(regexp_extract_all(t, '\p{Lu}')) / greatest(1, len(regexp_extract_all(t, '\p{L}'))), 6) AS uppercase_ratio, round(len(regexp_extract_all(t, '[!-/:-@\[-`{-~]')) / length(t), 6) AS punctuation_ratio FROM d""")
+@query(r"""WITH d AS (SELECT id, max(text) AS t FROM spam_item WHERE length(text) > 0 GROUP BY id) SELECT id, round(len(regexp_extract_all(t, '\p{N}')) / length(t), 6) AS number_ratio, round(len(regexp_extract_all(t, '\p{Lu}')) / greatest(1, len(regexp_extract_all(t, '\p{L}'))), 6) AS uppercase_ratio, round(len(regexp_extract_all(t, '[!-/:-@\[-`{-~]')) / length(t), 6) AS punctuation_ratio FROM d""")
 def spam_ratios(spark, sf):
     rows = table(spark, sf, "spam_item").where(F.length("text") > 0).groupBy("id").agg(F.max("text").alias("text"))
-    return S.spam_features(rows).select("id", "email_count", *(F.round(c, 6).alias(c) for c in ("number_ratio", "uppercase_ratio", "punctuation_ratio")))
+    return rows.withColumn("n", points.spam_counts(F.col("text"))).select("id", *(F.round(f"n.{c}", 6).alias(c) for c in ("number_ratio", "uppercase_ratio", "punctuation_ratio")))
 
 
 @query()
 def spam_predictions(spark, sf):
     """Untrained and trained probability, labels and reasons of every message."""
     rows = table(spark, sf, "spam_item").where("text IS NOT NULL").select("id", "text").dropDuplicates(["id"])
-    f = S.spam_features(rows)
+    f = S.spam_features(rows, lexicon=packs.from_table(table(spark, sf, "language_pack")))
     return f.select("id", F.round(S.spam_heuristic(), 6).alias("heuristic"), F.round(S.spam_trained(), 6).alias("trained"), (S.spam_trained() >= T.SPAM_THRESHOLD).alias("spam"), S.spam_labels().alias("labels"), S.spam_reasons().alias("reasons"))
 
 
@@ -124,11 +125,16 @@ _CAND = f"""WITH p AS ({_WORDS}), q AS (SELECT DISTINCT item_id AS query, unnest
 @query(_CAND + " SELECT query, id, count(*) AS shared FROM m WHERE k <= 200 GROUP BY ALL")
 def idx_candidates(spark, sf):
     """Documents that share words with a test item, at most 200 of each posting list as the retrieval has it."""
-    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
-    own = table(spark, sf, "benchmark").select(F.col("item_id").alias("query"), F.explode(F.array_distinct(tokens.words(F.col("text")))).alias("key"))
-    p = docs.select("id", F.explode(F.array_distinct(tokens.words(F.col("text")))).alias("key"))
-    met = own.join(p, "key").withColumn("k", F.row_number().over(W.partitionBy("query", "key").orderBy("id"))).where(f"k <= {T.PER_LIST}")
-    return met.groupBy("query", "id").agg(F.count(F.lit(1)).alias("shared"))
+    keys = lambda name, key, to: table(spark, sf, name).select(F.lit("lexical").alias("channel"), F.explode(F.array_distinct(tokens.words(F.col("text")))).alias("key"), F.col(key).alias(to))
+    return R.met_of(keys("documents", "doc_id", "id"), keys("benchmark", "item_id", "query")).select("query", "id", "shared")
+
+
+@query()
+def idx_read_postings(spark, sf):
+    """The longest posting lists of the channels that read a text, over the test items."""
+    items = table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), "text")
+    p = R.postings(items, R.READ_CHANNELS, packs.from_table(table(spark, sf, "language_pack")))
+    return p.groupBy("channel").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("key").alias("keys"), F.countDistinct("id").alias("items"))
 
 
 @query()

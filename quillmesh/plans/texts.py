@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmesh.functions import distance, entities, normalize, rebus, sounds, tokens
+from quillmesh.functions import distance, entities, normalize, points, rebus, sounds, tokens
 from quillmesh.functions import tables as T
 from quillmesh.functions import unicode as uni
 from quillmesh.plans.registry import Registry
@@ -202,7 +202,7 @@ def uni_classes(spark, sf):
 @query()
 def uni_suspicious_score(spark, sf):
     c = F.col("text")
-    return _docs(spark, sf).where("text IS NOT NULL").select("doc_id", F.round(uni.suspicious_score(c), 6).alias("score"), uni.malformed(c).alias("malformed"))
+    return _docs(spark, sf).where("text IS NOT NULL").select("doc_id", F.round(points.suspicion(c), 6).alias("score"), points.malformed(c).alias("malformed"))
 
 
 @query()
@@ -235,13 +235,14 @@ def tok_word_counts(spark, sf):
 
 @query()
 def tok_segment_types(spark, sf):
-    return _docs(spark, sf).select(F.explode(tokens.segments(F.col("text"))).alias("s")).groupBy("s.segment_type").agg(F.count(F.lit(1)).alias("n"))
+    """Segments of whole documents by type."""
+    return tokens.segment_counts(_docs(spark, sf), "text")
 
 
 @query()
 def tok_token_table(spark, sf):
     """One row for each segment, offsets in bytes."""
-    return _docs(spark, sf).select("doc_id", F.posexplode(tokens.segments(F.col("text"))).alias("pos", "s")).select("doc_id", "pos", "s.text", "s.start", "s.end", "s.segment_type")
+    return tokens.segment_table(_docs(spark, sf), "doc_id", "text")
 
 
 @query(r"""WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\p{L}]+')) AS word FROM documents)

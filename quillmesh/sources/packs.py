@@ -92,7 +92,7 @@ class Lexicon:
 
     def add_language(self, pack: dict) -> None:
         own = self.words.setdefault(pack["language"], {})
-        rows = [(e["word"], e.get("weight", 1.0), bool(e.get("stop_word")), e.get("lemma")) for e in pack.get("entries") or []]
+        rows = [(e["word"], 1.0 if e.get("weight") is None else e["weight"], bool(e.get("stop_word")), e.get("lemma")) for e in pack.get("entries") or []]
         rows += [(w, 1.0, False, None) for w in pack.get("words") or []] + [(w, 1.0, True, None) for w in pack.get("stop_words") or []]
         for word, weight, stop, lemma in rows:
             key = word.strip().lower()
@@ -156,6 +156,23 @@ def load(root: str = EMBEDDED, limits: Limits = Limits()) -> Lexicon:
     return lexicon
 
 
+#: Rows of a table of language packs that may be read into a lexicon, and entries of all of them.
+TABLE_ROWS, TABLE_ENTRIES = 1_000, 5_000_000
+
+
+def from_table(packs: DataFrame, root: str = EMBEDDED) -> Lexicon:
+    """The packs below a root with those of a table of language packs added; the size of the table is checked."""
+    from pyspark.sql import functions as F
+
+    rows, entries = packs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("entries")), F.lit(0))).first()
+    if rows > TABLE_ROWS or entries > TABLE_ENTRIES:
+        raise ValueError(f"{rows:,} packs with {entries:,} entries are too many for one lexicon")
+    lexicon = load(root)
+    for r in packs.collect():
+        lexicon.add_language({"language": r.language, "entries": [e.asDict() for e in r.entries or [] if e.word], "stop_words": [w for w in r.stop_words or [] if w]})
+    return lexicon
+
+
 def manifest(spark: SparkSession, root: str = EMBEDDED) -> DataFrame:
     """One row for each pack: kind, path, language, name, entries, digest."""
     rows = [

@@ -39,11 +39,132 @@ def test_compare_is_symmetric_and_knows_itself(spark):
     pairs = spark.createDataFrame([("1", "buy the house now", "buy the mouse now"), ("2", "buy the mouse now", "buy the house now"), ("3", "hello", "hello"), ("4", "I ❤ u", "I love you")], "id string, a string, b string")
     got = {r.id: r for r in e.compare(pairs).collect()}
     assert got["1"].score == pytest.approx(got["2"].score) and got["3"].score > 0.95
-    assert got["1"].swapped_word_similarity > 0.5 and got["4"].exact_decode > 0.05
+    assert got["1"].swapped_word_similarity > 0.5 and got["4"].exact_decode > 0.05 and got["3"].trained > got["1"].trained
     dup = {r.id: r for r in e.duplicates(pairs).collect()}
     assert dup["3"].duplicate and dup["3"].reason == "exact raw match"
 
 
+def test_compare_agrees_with_the_expressions(spark):
+    """The one-pass channels are those of the expressions, on texts of several scripts and disguises."""
+    texts = ["Buy the h0use now!!!", "buy the mouse now", "Ｃlick  hеre", "отправитель переслал", "gr8 w0rk 😀", "", "Ångström ﬁle", "aaa bbb"]
+    pairs = spark.createDataFrame([(f"{i}-{j}", x, y) for i, x in enumerate(texts) for j, y in enumerate(texts)], "id string, a string, b string")
+    want = {r.id: r for r in scoring.scored(pairs).collect()}
+    for r in TextEngine(spark).compare(pairs).collect():
+        for channel in ("lexical", "character", "visual", "phonetic", "obfuscation", "normalized_identity", "cross_script_pair"):
+            assert r[channel] == pytest.approx(want[r.id][channel], abs=1e-6), (r.id, channel, r.a, r.b)
+
+
+def test_compare_nulls_long_texts_and_settings(spark):
+    pairs = spark.createDataFrame([("1", None, "x"), ("2", "word", "word"), ("3", "w" * 9000, "w")], "id string, a string, b string")
+    got = {r.id: r for r in TextEngine(spark).compare(pairs).collect()}
+    assert got["1"].score is None and got["3"].trained is None and got["2"].score > 0.9 and got["2"].trained > 0.5
+    one = {r.id: r for r in TextEngine(spark, EngineConfig(weights={"lexical": 1.0})).compare(pairs).collect()}
+    assert one["2"].score == one["2"].lexical
+    assert TextEngine(spark).compare(pairs.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        TextEngine(spark).compare(pairs.withColumn("lexical", F.lit(1)))
+
+
+def test_settings_act(spark):
+    text = "I ❤ u " + "word " * 400 + "Anna Miller met Bert Jones and Carl Smith"
+    df = spark.createDataFrame([("1", text)], "id string, text string")
+    small = TextEngine(spark, EngineConfig(segments=5, entities=2, candidates=1, phonetic=True))
+    row = small.analyze(df).first()
+    assert len(row.segments) == 5 and len(row.entities) == 2 and len(row.rebus_candidates) <= 1 and "phonetic" in row.asDict() and "embedding" not in row.asDict()
+    assert "rebus_candidates" not in TextEngine(spark, EngineConfig(rebus=False)).analyze(df).columns
+    assert "entities" not in small.without_entities(df).columns and "transliterations" not in small.without_transliteration(df).columns
+    registry = spark.createDataFrame([("p", ["you were chosen"], [], None)], "pattern_id string, examples array<string>, negatives array<string>, threshold double")
+    asked = spark.createDataFrame([("1", "you were chosen today")], "id string, text string")
+    assert TextEngine(spark, EngineConfig(pattern_threshold=0.2)).match_patterns(asked, registry).count() == 1
+    assert TextEngine(spark, EngineConfig(pattern_threshold=0.99)).match_patterns(asked, registry).count() == 0
+
+
+def test_readings_follow_the_segment_limit():
+    from quillmesh.functions.rebus import Search, decode_text
+
+    text = "word " * 60 + "I ❤ u"
+    lexicon = packs.load()
+    assert any("love" in r["text"] for r in decode_text(text, lexicon)) and not any("love" in r["text"] for r in decode_text(text, lexicon, Search(segments=48)))
+
+
+def test_find_duplicates(spark):
+    docs = spark.createDataFrame([("a", "the price list for the desk"), ("b", "The  price list for the desk"), ("c", "something else")], "id string, text string")
+    queries = spark.createDataFrame([("q", "the price list for the desk"), ("n", None), ("e", "")], "id string, text string")
+    got = {r.id: r for r in TextEngine(spark).find_duplicates(docs, queries).collect()}
+    assert set(got) == {"a", "b"} and got["a"].reason == "exact raw match" and got["b"].reason == "normalized match" and got["b"].duplicate_score == 1.0
+    assert TextEngine(spark).find_duplicates(docs, queries, 0.3, "lexical").count() >= 2
+    assert TextEngine(spark).find_similar(docs, queries, 0).count() == 0
+
+
+def test_spam_features_and_score(spark):
+    """All features by hand on one text; and that the trained scorer weighs the readings."""
+    df = spark.createDataFrame([("1", "WIN now!!! http://x.io 😀 100 €"), ("2", None), ("3", ""), ("4", "The meeting moved to Monday.")], "id string, text string")
+    got = {r.id: r for r in scoring.spam_features(df).collect()}
+    r = got["1"]
+    assert (r.url_count, r.email_count, r.emoji_count) == (1, 0, 1) and r.number_ratio == pytest.approx(3 / 30) and r.punctuation_ratio == pytest.approx(7 / 30) and r.uppercase_ratio == pytest.approx(3 / 13)
+    assert r.repetition_score == pytest.approx(2 / 30) and 0 < r.decoded_similarity <= 1 and got["2"].entropy is None and got["3"].entropy == 0.0
+    out = {r.id: r for r in TextEngine(spark).detect_spam(df).collect()}
+    weights = scoring.T.SPAM_WEIGHTS
+    for row in (out["1"], out["4"]):
+        z = scoring.T.SPAM_BIAS + sum(weights[k] * float(row[k]) for k in weights)
+        assert row.probability == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-9)
+    assert "promotion" in out["1"].labels
+    registry = spark.createDataFrame([("p", ["the meeting moved to monday"], [], 0.3)], "pattern_id string, examples array<string>, negatives array<string>, threshold double")
+    met = {r.id: r for r in TextEngine(spark).detect_spam(df, registry=registry).collect()}
+    assert met["4"].pattern_score > 0.8 and met["1"].pattern_score == 0 and "known_pattern" in met["4"].labels
+
+
+def test_postings_of_all_channels(spark):
+    docs = spark.createDataFrame([("a", "I ❤ the h0use 4u"), ("b", "привет друзья"), ("n", None), ("e", "")], "id string, text string")
+    p = retrieval.postings(docs, (*retrieval.CHANNELS, *retrieval.READ_CHANNELS))
+    found = {(r.channel, r.id) for r in p.select("channel", "id").distinct().collect()}
+    assert {("lexical", "a"), ("normalized", "b"), ("character", "a"), ("symbol", "a"), ("minhash", "a"), ("semantic", "b"), ("phonetic", "a"), ("transliteration", "b"), ("decoded", "a"), ("concept", "a")} <= found
+    assert not {i for _, i in found} - {"a", "b"}
+    with pytest.raises(ValueError):
+        retrieval.postings(docs, ("nothing",))
+
+
+def test_exact_search_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    v = rng.normal(size=(300, 8))
+    v[10] = v[20]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(900, None), (901, [0.0] * 8)], "id bigint, vector array<double>")
+    queries = df.where("id % 20 = 0 OR id >= 900")
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    s = np.round(u @ u.T, 12)
+    np.fill_diagonal(s, -3)
+    for block in (50_000, 4):
+        monkeypatch.setattr(retrieval, "QUERY_BLOCK", block)
+        got = {}
+        for r in retrieval.exact_search(df, queries, 5).collect():
+            got.setdefault(r.query, []).append((r.rank, r.id))
+        for q in range(0, 300, 20):
+            assert [i for _, i in sorted(got[q])] == sorted(range(300), key=lambda i: (-s[q, i], i))[:5]
+    assert retrieval.exact_search(df, queries.limit(0), 5).count() == 0
+
+
+def test_features_of_characters_by_hand(spark):
+    """The batch form against plain definitions, and against the expressions."""
+    import math
+    from collections import Counter
+
+    from quillmesh.functions import points
+    from quillmesh.functions import unicode as uni
+
+    texts = ["h3llo woooorld!!!", "Сегодня и today", "a\u0301\u0301b", "x\u200by\u202ez", "👩\u200d💻 ok", "\u0301start", "ＦＵＬＬ", "A" * 50, "", None, "ends\u200d", "☎\ufe0f\ufe0f"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")
+    c = F.col("text")
+    got = {r.id: r for r in df.select("id", uni.entropy(c).alias("e"), points.suspicion(c).alias("s"), uni.suspicious_score(c).alias("s_"), points.malformed(c).alias("m"), uni.malformed(c).alias("m_"), uni.obfuscation(c).alias("o")).collect()}
+    for i, t in enumerate(texts):
+        r = got[i]
+        if t is None:
+            assert r.e is None and r.s is None and r.m is None and r.o is None
+            continue
+        assert r.e == pytest.approx(-sum(n / len(t) * math.log2(n / len(t)) for n in Counter(t).values()), abs=1e-9) and r.s == pytest.approx(r.s_) and r.m == r.m_
+    assert got[0].o.flags == ["leetspeak", "repetition", "punctuation_flood"] and got[0].o.repetition_score == pytest.approx(5 / 17)
+    assert got[1].o.flags == ["mixed_scripts", "confusables"] and "uppercase_flood" in got[7].o.flags
+
+
 def test_swapped_words():
     assert evidence.swapped("a b c".split(), "a x c".split()) == (1, "b", "x")
     assert evidence.swapped("a b".split(), "x y".split()) is None
