@@ -10,10 +10,12 @@ from quillmesh.engine import TextEngine
 from quillmesh.functions import tables as T
 from quillmesh.functions import tokens
 from quillmesh.operators import decide, measures
+from quillmesh.plans import texts
 from quillmesh.plans.registry import Registry
 from quillmesh.runtime import sampled, spread, table
 
 query = Registry()
+_VOTES = f"WITH votes AS ({texts.query.sql['lang_profile_detect']})"
 
 
 def _once(df, *keys):
@@ -135,7 +137,9 @@ def eval_decisions(spark, sf):
     return got.join(rows.select("id", "gold", "split"), "id").groupBy(F.coalesce("split", F.lit("?")).alias("split")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("label") == F.col("gold")).cast("double")), 6).alias("accuracy"))
 
 
-@query()
+@query(_VOTES + """, k AS (SELECT doc_id, language, row_number() OVER (PARTITION BY doc_id ORDER BY probability DESC, language) AS k FROM votes),
+    g AS (SELECT doc_id, lower(left(lang, 2)) AS gold FROM documents WHERE lang IS NOT NULL), r AS (SELECT doc_id, min(CASE WHEN language = gold THEN k END) AS rank FROM k JOIN g USING (doc_id) GROUP BY 1)
+    SELECT count(*) AS n, round(avg(coalesce(rank <= 1, false)::INT), 6) AS top_1, round(avg(coalesce(rank <= 3, false)::INT), 6) AS top_3 FROM r""")
 def eval_language(spark, sf):
     """Top-1 and top-3 of the language votes against the labels of documents that have one."""
     from quillmesh.plans.texts import lang_profile_detect

@@ -41,9 +41,10 @@ def rel_semi_join(spark, sf):
     return c.join(o, c["c_custkey"] == o["o_custkey"], "left_semi").select("c_custkey")
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT' AND o_orderstatus = 'F')")
 def rel_anti_join(spark, sf):
-    c, o = table(spark, sf, "customer"), table(spark, sf, "orders")
+    """Customers without an urgent order that is done."""
+    c, o = table(spark, sf, "customer"), table(spark, sf, "orders").where("o_orderpriority = '1-URGENT' AND o_orderstatus = 'F'")
     return c.join(o, c["c_custkey"] == o["o_custkey"], "left_anti").select("c_custkey")
 
 

@@ -301,7 +301,14 @@ def sim_jaccard_pairs(spark, sf):
     return pairs.select("id", F.round(distance.jaccard(F.array_distinct(tokens.words(F.col("a"))), F.array_distinct(tokens.words(F.col("b")))), 6).alias("jaccard")).distinct()
 
 
-@query()
+_FNV = """list_reduce(list_prepend(14695981039346656037::UBIGINT, list_transform(range(0, octet_length(encode(word))), lambda i: (16 * (strpos('0123456789ABCDEF', substr(hex(encode(word)), 2 * i + 1, 1)) - 1) + strpos('0123456789ABCDEF', substr(hex(encode(word)), 2 * i + 2, 1)) - 1)::UBIGINT)),
+    lambda a, b: ((xor(a, b)::UHUGEINT * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT)"""
+
+
+@query(rf"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+')) AS word FROM documents), h AS (SELECT word, {_FNV} AS h FROM (SELECT DISTINCT word FROM w)),
+    v AS (SELECT doc_id, bit, sum(2 * ((h // (2::UHUGEINT ** bit)::UHUGEINT) % 2)::INT - 1) AS votes FROM w JOIN h USING (word), (SELECT unnest(range(64)) AS bit) GROUP BY ALL),
+    s AS (SELECT doc_id, sum(CASE WHEN votes > 0 THEN (2::HUGEINT ** bit)::HUGEINT ELSE 0 END) AS u FROM v GROUP BY 1)
+    SELECT doc_id, (CASE WHEN u >= 9223372036854775808 THEN u - 18446744073709551616 ELSE coalesce(u, 0) END)::BIGINT AS simhash FROM documents LEFT JOIN s USING (doc_id)""")
 def hash_simhash(spark, sf):
     return _docs(spark, sf).select("doc_id", tokens.simhash(tokens.words(F.col("text"))).alias("simhash"))
 
@@ -381,7 +388,7 @@ def sim_character(spark, sf):
 
 # ------------------------------------------------------------------------------------------------ entities
 
-for _kind, _pattern in (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9._%+-]*[A-Za-z0-9]\.[A-Za-z]{2,}"), ("date", entities.DATE_ISO), ("time", entities.TIME), ("amount", entities.AMOUNT)):
+for _kind, _pattern in (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9._%+-]*[A-Za-z0-9]\.[A-Za-z]{2,}"), ("date", entities.DATE_ISO), ("time", entities.TIME)):
 
     def _make(pattern: str):
         def run(spark, sf):
@@ -392,6 +399,16 @@ for _kind, _pattern in (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9._%+-]*[A-Za-z0-
     query(f"WITH f AS (SELECT unnest(regexp_extract_all(text, '{_pattern}')) AS value FROM spam_item) SELECT value, count(*) AS n FROM f GROUP BY 1", f"ent_{_kind}")(_make(_pattern))
 
 
+_PAID = "concat('paid ', CASE o_orderkey % 3 WHEN 0 THEN '$' WHEN 1 THEN '€ ' ELSE '£' END, CAST(o_orderkey % 1000 AS VARCHAR), CASE WHEN o_orderkey % 2 = 0 THEN concat('.', CAST(10 + o_custkey % 90 AS VARCHAR)) ELSE '' END, ' for ', CAST(o_custkey % 7 AS VARCHAR))"
+
+
+@query(f"WITH f AS (SELECT unnest(regexp_extract_all({_PAID}, '{entities.AMOUNT}')) AS value FROM orders) SELECT value, count(*) AS n FROM f GROUP BY 1")
+def ent_amount(spark, sf):
+    """Amounts with a currency sign in a line for each order."""
+    lines = table(spark, sf, "orders").select(F.expr(_PAID.replace("VARCHAR", "STRING")).alias("text"))
+    return lines.select(F.explode(entities.found(F.col("text"), entities.AMOUNT)).alias("value")).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query()
 def ent_extract(spark, sf):
     found = table(spark, sf, "spam_item").select("id", "text").dropDuplicates(["id"]).select("id", F.explode(entities.entities(F.col("text"))).alias("e"))
