@@ -97,11 +97,29 @@ def ngram_text(a: str, b: str, n: int) -> float:
     """Jaccard of the multisets of character n-grams."""
     if a == b:
         return 1.0
+    if n <= 3 and len(a) + len(b) > 200:
+        return ngrams_of_codes(*(np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) for x in (a, b)), n)
     x, y = (Counter(s[i : i + n] for i in range(len(s) - n + 1)) for s in (a, b))
     union = sum((x | y).values())
     return sum((x & y).values()) / union if union else 0.0
 
 
+def ngrams_of_codes(a: np.ndarray, b: np.ndarray, n: int) -> float:
+    """The same for sequences of numbers of at most 21 bits, n-grams of at most three: counted by sorting."""
+    grams = []
+    for x in (a, b):
+        size = max(0, len(x) - n + 1)
+        key = np.zeros(size, np.uint64)
+        for i in range(n):
+            key = key << np.uint64(21) | x[i : i + size]
+        grams.append(np.unique(key, return_counts=True))
+    (p, m), (q, k) = grams
+    _, i, j = np.intersect1d(p, q, assume_unique=True, return_indices=True)
+    shared = int(np.minimum(m[i], k[j]).sum())
+    union = int(m.sum() + k.sum()) - shared
+    return shared / union if union else 0.0
+
+
 def lcs_text(a: str, b: str) -> int:
     """Length of the longest common subsequence, by bits."""
     if len(a) < len(b):

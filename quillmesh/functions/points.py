@@ -193,12 +193,10 @@ def obfuscation(column: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([*(pa.array(v) for v in found.values()), lists], names=[*found, "flags"], mask=pa.array(_nulls(column)))
 
 
-@vector("url_count int, email_count int, emoji_count int, number_ratio double, emoji_ratio double, uppercase_ratio double, punctuation_ratio double, entropy double, repetition_score double, obfuscation_score double, mixed_scripts double, confusable_count int, leet_or_twins boolean, length int")
-def spam_counts(column: pa.Array) -> pa.Array:
-    """What the spam scorers count in a text, in one pass."""
+def spam_columns(texts: list[str | None]) -> dict[str, np.ndarray]:
+    """What the spam scorers count in each text."""
     from quillmesh.functions.tokens import segment_text
 
-    texts = column.to_pylist()
     p = Points(texts)
     kinds = {"url": np.zeros(len(texts), np.int32), "email": np.zeros(len(texts), np.int32), "emoji": np.zeros(len(texts), np.int32)}
     for i, t in enumerate(texts):
@@ -206,9 +204,8 @@ def spam_counts(column: pa.Array) -> pa.Array:
             if kind in kinds:
                 kinds[kind][i] += 1
     n, a, d = np.maximum(1, p.sizes), np.maximum(1, p.count("alphabetic")), p.disguise()
-    columns = {
+    return {
         "url_count": kinds["url"], "email_count": kinds["email"], "emoji_count": kinds["emoji"], "number_ratio": p.count("number") / n, "emoji_ratio": kinds["emoji"] / n, "uppercase_ratio": p.count("upper") / a,
         "punctuation_ratio": p.count("punctuation") / n, "entropy": p.entropy(), "repetition_score": d["repetition_score"], "obfuscation_score": d["score"], "mixed_scripts": (p.scripts() > 1).astype(float),
         "confusable_count": p.count("confusable").astype(np.int32), "leet_or_twins": d["flags"]["leetspeak"] | d["flags"]["confusables"], "length": p.sizes.astype(np.int32),
     }
-    return pa.StructArray.from_arrays([pa.array(v) for v in columns.values()], names=list(columns), mask=pa.array(_nulls(column)))

@@ -150,16 +150,3 @@ def decode(c: Column, lexicon: Lexicon, search: Search = Search()) -> Column:
     run.__annotations__ = {"s": pd.Series, "return": pd.Series}
     return arrow("array<struct<text:string,score:double,steps:array<string>,changed:boolean,gap:double,strong:boolean,confidence:double>>")(run)(c)
 
-
-def best_score(c: Column, lexicon: Lexicon, search: Search = Search()) -> Column:
-    """The score of the best reading of a text column; 0 where there is none, null for a null text."""
-    sent = pickle.dumps(lexicon)
-    held: list[Lexicon] = []
-
-    def run(s: pd.Series) -> pd.Series:
-        if not held:
-            held.append(pickle.loads(sent))
-        return s.map(lambda t: None if t is None else max((r["score"] for r in decode_text(t, held[0], search)), default=0.0)).astype("float64")
-
-    run.__annotations__ = {"s": pd.Series, "return": pd.Series}
-    return arrow("double")(run)(c)

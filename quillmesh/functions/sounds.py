@@ -12,7 +12,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quillmesh.functions import tables as T
-from quillmesh.functions.distance import levenshtein_text
+from quillmesh.functions import transcribe
+from quillmesh.functions.distance import levenshtein_text, ngrams_of_codes
 from quillmesh.functions.lazy import arrow
 from quillmesh.functions.normalize import fold_text
 
@@ -39,21 +40,26 @@ def sounds_of(text: str | None, language: str = "und") -> list[str]:
     """The sounds of a text's words."""
     if not text:
         return []
+    return [x for word in re.findall(r"[^\W\d_]+", fold_text(text)) for x in _word_sounds(word, language)]
+
+
+@lru_cache(200_000)
+def _word_sounds(word: str, language: str) -> tuple[str, ...]:
+    """The sounds of one folded word; words come again and again."""
     pattern, table = _rules(language)
     before = {k[0] for k in table if k.endswith("\0")}
     out = []
-    for word in re.findall(r"[^\W\d_]+", fold_text(text)):
-        for m in pattern.finditer(word):
-            piece = m.group()
-            if piece == "gu":
-                sound = "g"
-            elif piece in before and word[m.end() : m.end() + 1] in ("e", "i"):
-                sound = table[piece + "\0"]
-            else:
-                sound = table.get(piece, "")
-            if sound:
-                out.append(sound)
-    return out
+    for m in pattern.finditer(word):
+        piece = m.group()
+        if piece == "gu":
+            sound = "g"
+        elif piece in before and word[m.end() : m.end() + 1] in ("e", "i"):
+            sound = table[piece + "\0"]
+        else:
+            sound = table.get(piece, "")
+        if sound:
+            out.append(sound)
+    return tuple(out)
 
 
 def sound_confidence(text: str, sounds: list[str]) -> float:
@@ -141,6 +147,9 @@ def _distances(a: list[str], b: list[str]) -> tuple[float, int]:
 def sound_ngrams(a: list[str], b: list[str], n: int) -> float:
     if a == b:
         return 1.0
+    if len(a) + len(b) > 200:
+        kinds = {s: i for i, s in enumerate(dict.fromkeys([*a, *b]))}
+        return ngrams_of_codes(*(np.fromiter((kinds[s] for s in x), np.uint64, len(x)) for x in (a, b)), n)
     x, y = (Counter(tuple(s[i : i + n]) for i in range(len(s) - n + 1)) for s in (a, b))
     union = sum((x | y).values())
     return sum((x & y).values()) / union if union else 0.0
@@ -190,7 +199,7 @@ def latin_view(text: str) -> str | None:
         return text.translate(_CYRILLIC)
     if re.search("[\u0600-\u06ff]", text):
         return text.translate(_ARABIC)
-    return None
+    return transcribe.other_views(text).get("Latn")
 
 
 def cyrillic_to_latin(c: Column) -> Column:
@@ -230,11 +239,13 @@ def consonantal(c: Column) -> Column:
 
 
 def views(c: Column) -> Column:
-    """One transcription for each script that a text can be written in besides its own."""
-    return F.map_filter(
+    """One transcription for each script that a text can be written in besides its own. Scripts of syllables take precedence."""
+    own = F.when(transcribe.needed(c), transcribe.syllabic_views(c)).otherwise(F.create_map().cast("map<string,string>"))
+    letters = F.map_filter(
         F.create_map(
-            F.lit("Latn"), F.when(c.rlike(r"[\x{400}-\x{52f}]"), cyrillic_to_latin(c)).when(c.rlike(r"[\x{600}-\x{6ff}]"), arabic_to_latin(c)),
+            F.lit("Latn"), F.when(c.rlike(transcribe.SYLLABIC), None).when(c.rlike(r"[\x{400}-\x{52f}]"), cyrillic_to_latin(c)).when(c.rlike(r"[\x{600}-\x{6ff}]"), arabic_to_latin(c)),
             F.lit("Cyrl"), F.when(latin_heavy(c), latin_to_cyrillic(c)),
         ),
         lambda k, v: v.isNotNull() & (v != c),
     )
+    return F.map_concat(letters, own)

@@ -21,6 +21,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from quillmesh.functions import tables as T
 from quillmesh.functions.distance import character_bound, character_folded, character_text
 from quillmesh.functions.entities import entities_text
+from quillmesh.functions.languages import detect_text
 from quillmesh.functions.normalize import fold_text, strip_marks_text
 from quillmesh.functions.points import BIT, class_table
 from quillmesh.functions.rebus import Search, decode_text
@@ -195,10 +196,12 @@ class Side:
         return sum(self.lexicon.contains(w) for w in self.words) / len(self.words) if self.words else 0.0
 
     @cached_property
+    def languages(self) -> list[tuple[str, float]]:
+        return detect_text(self.text, self.scripts, self.lexicon)
+
+    @property
     def language(self) -> str:
-        """The language that has most of the words; ties go to the first in order."""
-        votes = Counter(lang for w in self.words for lang in self.lexicon.languages_of(w))
-        return min(votes, key=lambda k: (-votes[k], k)) if votes else "unknown"
+        return self.languages[0][0]
 
     @cached_property
     def fold_key(self) -> str:
@@ -325,6 +328,29 @@ def with_evidence(pairs: DataFrame, a: str, b: str, lexicon: Lexicon, settings:
     return map_batches(pairs, run, StructType(fields))
 
 
+#: What a message alone tells to a decision.
+MESSAGE = ["language_top_probability", "language_candidate_count", "lexicon_coverage", "rebus_top_score", "rebus_candidate_count", "entity_count"]
+
+
+def with_message_features(df: DataFrame, text: str, lexicon: Lexicon, settings: Settings = Settings()) -> DataFrame:
+    """``df`` with :data:`MESSAGE` as new columns, null for a null text; one pass over Arrow batches."""
+    sent = pickle.dumps(lexicon)
+    held: list[Lexicon] = []
+
+    def read(text: str) -> list[float]:
+        side = Side(text, held[0], settings)
+        found = decode_text(text, held[0], settings.search)
+        return [side.languages[0][1], len(side.languages), side.coverage, max((r["score"] for r in found), default=0.0), len(found), len(side.entities)]
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        if not held:
+            held.append(pickle.loads(sent))
+        rows = [[None] * len(MESSAGE) if t is None else read(t) for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
+        return pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([r[i] for r in rows], pa.float64()) for i in range(len(MESSAGE)))], names=[*batch.schema.names, *MESSAGE])
+
+    return map_batches(df, run, StructType([*df.schema.fields, *(StructField(k, DoubleType()) for k in MESSAGE)]))
+
+
 def transcription_agreement(views_a: Column, views_b: Column, a: Column, b: Column) -> Column:
     """1 where a view of one text equals the other text or a view of it, without case and blanks."""
     norm = lambda c: F.regexp_replace(F.lower(c), r"\s", "")

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import pickle
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StructType
 
 from quillmesh.functions import distance, normalize, points, rebus, sounds, tokens
 from quillmesh.functions import tables as T
 from quillmesh.functions import unicode as uni
 from quillmesh.functions.rebus import Search
+from quillmesh.runtime import map_batches
 from quillmesh.sources.packs import Lexicon
 
 
@@ -95,12 +101,28 @@ def spam_features(df: DataFrame, text: str = "text", lexicon: Lexicon | None = N
     """
     from quillmesh.sources import packs
 
-    c = F.col(text)
-    counted = df.withColumn("_n", points.spam_counts(c)).withColumn("decoded_similarity", rebus.best_score(c, lexicon or packs.load(), search))
-    out = counted.select(*df.columns, "_n.*", "decoded_similarity")
+    sent = pickle.dumps(lexicon or packs.load())
+    held: list[Lexicon] = []
+    kinds = {"url_count": IntegerType(), "email_count": IntegerType(), "emoji_count": IntegerType(), "confusable_count": IntegerType(), "leet_or_twins": BooleanType(), "length": IntegerType()}
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        if not held:
+            held.append(pickle.loads(sent))
+        column = batch.column(batch.schema.get_field_index(text))
+        texts, none = column.to_pylist(), np.asarray(column.is_null())
+        new = {k: pa.array(v, mask=none) for k, v in points.spam_columns(texts).items()}
+        read = [None if t is None else max((r["score"] for r in rebus.decode_text(t, held[0], search)), default=0.0) for t in texts]
+        return pa.RecordBatch.from_arrays([*batch.columns, *new.values(), pa.array(read, pa.float64())], names=[*batch.schema.names, *new, "decoded_similarity"])
+
+    # one pass over Arrow batches: whatever is done with the features later reads no text again
+    names = ["url_count", "email_count", "emoji_count", "number_ratio", "emoji_ratio", "uppercase_ratio", "punctuation_ratio", "entropy", "repetition_score", "obfuscation_score", "mixed_scripts", "confusable_count", "leet_or_twins", "length", "decoded_similarity"]
+    schema = StructType(list(df.schema.fields))
+    for k in names:
+        schema = schema.add(k, kinds.get(k, DoubleType()))
+    out = map_batches(df, run, schema)
     if patterns is None:
         return out.withColumn("pattern_score", F.lit(0.0)).withColumn("semantic_pattern_similarity", F.lit(0.0))
-    met = match_patterns(df.select(F.col(key).alias("id"), c.alias("text")), patterns).groupBy("id").agg(F.max("score").alias("pattern_score")).withColumnRenamed("id", key)
+    met = match_patterns(df.select(F.col(key).alias("id"), F.col(text).alias("text")), patterns).groupBy("id").agg(F.max("score").alias("pattern_score")).withColumnRenamed("id", key)
     return out.join(met, key, "left").withColumn("pattern_score", F.coalesce("pattern_score", F.lit(0.0))).withColumn("semantic_pattern_similarity", F.col("pattern_score"))
 
 

@@ -9,10 +9,11 @@ from quillmesh.config import EngineConfig
 from quillmesh.engine import TextEngine
 from quillmesh.functions import tables as T
 from quillmesh.functions import tokens
-from quillmesh.operators import decide, measures
+from quillmesh.operators import decide, evidence, measures
 from quillmesh.plans import texts
 from quillmesh.plans.registry import Registry
 from quillmesh.runtime import sampled, spread, table
+from quillmesh.sources import packs
 
 query = Registry()
 _VOTES = f"WITH votes AS ({texts.query.sql['lang_profile_detect']})"
@@ -111,7 +112,9 @@ def dec_interaction_head(spark, sf):
 
 @query()
 def dec_fusion_features(spark, sf):
-    rows = _choices(spark, sf).select("id", decide.fusion(F.col("state")).alias("f"))
+    lexicon = packs.from_table(table(spark, sf, "language_pack"))
+    read = evidence.with_message_features(_choices(spark, sf).select("id", "state"), "state", lexicon)
+    rows = read.select("id", decide.fusion(F.col("state"), {k: F.col(k) for k in evidence.MESSAGE}).alias("f"))
     return rows.select("id", F.explode("f").alias("feature", "value")).select("id", "feature", F.round("value", 6).alias("value"))
 
 

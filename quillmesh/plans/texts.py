@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmesh.functions import distance, entities, normalize, points, rebus, sounds, tokens
+from quillmesh.functions import distance, entities, languages, normalize, points, rebus, sounds, tokens
 from quillmesh.functions import tables as T
 from quillmesh.functions import unicode as uni
 from quillmesh.plans.registry import Registry
@@ -503,6 +503,38 @@ def lang_profile_detect(spark, sf):
     return votes.select("doc_id", "language", F.round(F.col("votes") / F.sum("votes").over(W.partitionBy("doc_id")), 6).alias("probability"))
 
 
+_HINTS = ", ".join(f"('{script}', '{lang}', {p})" for script, own in languages.SCRIPT_HINTS.items() for lang, p in own.items())
+
+
+@query(_LEX + rf""", d AS (SELECT doc_id, text FROM documents WHERE text IS NOT NULL), w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}]+')) AS word FROM d),
+    n AS (SELECT d.doc_id, count(w.word) AS words, count(k.word) AS matched FROM d LEFT JOIN w USING (doc_id) LEFT JOIN (SELECT DISTINCT word FROM l) k ON w.word = k.word GROUP BY 1),
+    h AS (SELECT doc_id, language, sum(p) AS s FROM d, (VALUES {_HINTS}) AS t(script, language, p) WHERE regexp_matches(text, '\p{{' || script || '}}') GROUP BY ALL),
+    v AS (SELECT doc_id, language, sum(1 + ln(1 + greatest(weight, {languages.LEAST_WEIGHT}))) AS s FROM w JOIN l USING (word) GROUP BY ALL UNION ALL SELECT doc_id, language, s * CASE WHEN matched = 0 THEN 1.0 ELSE {languages.HINT_BESIDE_WORDS} END FROM h JOIN n USING (doc_id)),
+    a AS (SELECT doc_id, language, sum(s) AS s FROM v GROUP BY ALL UNION ALL SELECT doc_id, 'unknown', CASE WHEN doc_id NOT IN (SELECT doc_id FROM v) THEN 1.0 WHEN words = 0 THEN {languages.WORDLESS} ELSE {languages.UNKNOWN} * (1 - matched / words) END FROM n WHERE matched < words OR words = 0 OR doc_id NOT IN (SELECT doc_id FROM v))
+    SELECT doc_id, language, round(s / sum(s) OVER (PARTITION BY doc_id), 6) AS probability FROM a""")
+def lang_detect(spark, sf):
+    """Languages of every document by known words, script hints, and a share for what is unknown."""
+    from functools import reduce
+
+    from pyspark.sql import Window as W
+
+    docs, c = _docs(spark, sf).where("text IS NOT NULL"), F.col("text")
+    words = docs.select("doc_id", F.explode(F.regexp_extract_all(F.lower(c), F.lit(r"([\p{L}]+)"), 1)).alias("word"))
+    lexicon = _lexicon(spark, sf)
+    # matches are counted by document before anything is joined with the documents
+    votes = words.join(lexicon, "word").groupBy("doc_id", "language").agg(F.sum(1 + F.log1p(F.greatest("weight", F.lit(languages.LEAST_WEIGHT)))).alias("s"))
+    matched = words.join(lexicon.select("word").distinct(), "word", "left_semi").groupBy("doc_id").agg(F.count(F.lit(1)).alias("matched"))
+    base = docs.select("doc_id", F.size(F.regexp_extract_all(F.lower(c), F.lit(r"([\p{L}]+)"), 1)).alias("words"), uni.scripts(c).alias("scripts")).join(matched, "doc_id", "left").withColumn("matched", F.coalesce("matched", F.lit(0)))
+    given = reduce(lambda m, x: m.when(F.col("script") == x[0], F.array(*(F.struct(F.lit(k).alias("language"), F.lit(p).alias("p")) for k, p in x[1].items()))), list(languages.SCRIPT_HINTS.items()), F)
+    hints = base.select("doc_id", "matched", F.explode("scripts").alias("script")).select("doc_id", "matched", F.explode(given).alias("h"))
+    hints = hints.select("doc_id", F.col("h.language").alias("language"), (F.col("h.p") * F.when(F.col("matched") == 0, 1.0).otherwise(languages.HINT_BESIDE_WORDS)).alias("s"))
+    known = votes.unionByName(hints).groupBy("doc_id", "language").agg(F.sum("s").alias("s"))
+    none = base.join(known.select("doc_id").distinct().withColumn("any", F.lit(True)), "doc_id", "left").where("any IS NULL OR words = 0 OR matched < words")
+    share = F.when(F.col("any").isNull(), 1.0).when(F.col("words") == 0, languages.WORDLESS).otherwise(languages.UNKNOWN * (1 - F.col("matched") / F.col("words")))
+    scores = known.unionByName(none.select("doc_id", F.lit("unknown").alias("language"), share.alias("s")))
+    return scores.select("doc_id", "language", F.round(F.col("s") / F.sum("s").over(W.partitionBy("doc_id")), 6).alias("probability"))
+
+
 @query()
 def src_manifest(spark, sf):
     return packs.manifest(spark)

@@ -161,3 +161,40 @@ def test_folding_queries_cover_all_documents(spark, tmp_path):
         assert sum(t is not None and not t.isascii() for t in texts.values()) > 100
         assert {r[0]: r[1] for r in queries["norm_casefold_all"](spark, sf).collect()} == folded
         assert {r[0]: r[1] for r in queries["norm_strip_diacritics_all"](spark, sf).collect()} == {i: None if t is None else mark.sub("", unicodedata.normalize("NFD", t)) for i, t in folded.items()}
+
+
+def test_scripts_of_syllables():
+    from quillmesh.functions import transcribe as t
+
+    for text, latin in (("きって", "kitte"), ("コーヒー", "koohii"), ("しゃしん", "shashin"), ("さんぽ", "sampo"), ("ありがとう", "arigatou"), ("がっこう", "gakkou")):
+        assert t.kana_to_latin(text) == latin
+    for text, latin in (("धन्यवाद", "dhanyavad"), ("कमल", "kamal"), ("क", "ka"), ("नमस्ते", "namaste"), ("ज़रा", "zara")):
+        assert t.devanagari_to_latin(text) == latin
+    assert t.han_to_latin("你好") == "ni hao" and t.latin_to_han("ni hao") == "你好" and t.latin_to_han("nothing here") is None
+    assert t.other_views(None) == t.other_views("") == t.other_views("plain words") == {} and t.other_views("ni hao") == {"Hans": "你好"}
+
+
+def test_views_of_all_scripts(spark):
+    from pyspark.sql import functions as F
+
+    from quillmesh.functions import sounds
+
+    df = spark.createDataFrame([("привет",), ("你好",), ("ありがとう",), ("नमस्ते",), ("ni hao",), ("",), (None,)], "text string")
+    got = {r.text: r.v for r in df.select("text", sounds.views(F.col("text")).alias("v")).collect()}
+    assert got["привет"]["Latn"] == "privet" and got["你好"] == {"Latn": "ni hao"} and got["ありがとう"]["Latn"] == "arigatou" and got["नमस्ते"]["Latn"] == "namaste" and got["ni hao"]["Hans"] == "你好" and not got[""]
+
+
+def test_language_by_words_scripts_and_coverage():
+    from quillmesh.functions import languages as lang
+    from quillmesh.sources.packs import Lexicon
+
+    lexicon = Lexicon()
+    lexicon.add_language({"language": "en", "entries": [{"word": "house", "weight": 2.0}, {"word": "red", "weight": 1.0}]})
+    lexicon.add_language({"language": "es", "entries": [{"word": "red", "weight": 3.0}]})
+    got = dict(lang.detect_text("Red house qqq", frozenset({"Latin"}), lexicon))
+    import math
+
+    scores = {"en": 2 + math.log1p(2) + math.log1p(1), "es": 1 + math.log1p(3), "unknown": 0.35 / 3}
+    assert got == pytest.approx({k: v / sum(scores.values()) for k, v in scores.items()})
+    assert lang.detect_text("", frozenset(), lexicon) == [("unknown", 1.0)] and lang.detect_text("привет", frozenset({"Cyrillic"}), lexicon)[0][0] == "ru"
+    assert lang.cjk_coverage("你好吗 abc", {"你好", "abc"}) == pytest.approx(2 / 3) and lang.cjk_coverage("abc", {"abc"}) == 0.0

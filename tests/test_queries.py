@@ -197,7 +197,7 @@ def entities_stand(rows):
     texts = {r["id"]: r["text"] for r in parquet("spam_item", "id", "text")}
     for r in rows:
         shown = texts[r["id"]].encode()[r["start"] : r["end"]].decode()
-        assert shown == r["value"] or shown.lower() == r["value"] or r["entity_type"] == "currency"
+        assert shown == r["value"] or shown.lower() == r["value"] or r["entity_type"] == "currency" or r["entity_type"] == "organization" and shown.startswith(r["value"])
     per = Counter(r["id"] for r in rows)
     assert rows and max(per.values()) <= 16
 
