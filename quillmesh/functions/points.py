@@ -69,10 +69,13 @@ class Points:
         self.sizes = np.fromiter((len(t) if t else 0 for t in texts), np.int64, len(texts))
         self.codes = np.frombuffer("".join(t for t in texts if t).encode("utf-32-le", "surrogatepass"), np.uint32)
         self.row = np.repeat(np.arange(len(texts)), self.sizes)
-        self.flags = class_table()[self.codes]
         self.joined = np.zeros(len(self.codes), bool)  # whether a point and the one before stand in one text
         self.joined[1:] = self.row[1:] == self.row[:-1]
 
+    @functools.cached_property
+    def flags(self) -> np.ndarray:
+        return class_table()[self.codes]
+
     def sums(self, of: np.ndarray) -> np.ndarray:
         """How often a flag over the points is set in each text."""
         whole = np.concatenate([[0], np.cumsum(of)])

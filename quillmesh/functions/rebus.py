@@ -60,18 +60,27 @@ def plausibility(text: str, lexicon: Lexicon) -> float:
     return 0.55 if lexicon.starts(tight) else 0.15
 
 
-def score(text: str, source: str, prior: float, steps: list[str], languages: list[str], lexicon: Lexicon, sounds: list[str] | None = None) -> float:
-    """``sounds`` are those of the source, where they are known."""
+def _without_sound(text: str, prior: float, steps: list[str], languages: list[str], lexicon: Lexicon) -> tuple[float, float]:
+    """The weighted parts of a reading's score but the phonetic one, and what its steps leave of the whole."""
     lexical = min(1.0, plausibility(text, lexicon) + min(FREQUENCY_CAP, math.log1p(lexicon.frequency(text)) / FREQUENCY_SCALE))
-    b = sounds_of(source) if sounds is None else sounds
-    a = b if text == source else sounds_of(text)
-    phonetic = sound_similarity(a, sound_confidence(text, a), b, sound_confidence(source, b)) if a and b else 0.5
     edge = 1.0 if lexicon.contains(text) else 0.65 if lexicon.starts(text) else 0.35
-    context = 0.55 * lexical + 0.45 * edge
     known = [x for x in languages if x != "und"]
-    parts = {"lexical": lexical, "phonetic": phonetic, "context": context, "symbol": min(1.0, prior), "language": 1.0 if len(set(known)) == 1 else 0.7}
-    base = sum(WEIGHTS[k] * v for k, v in parts.items()) / sum(WEIGHTS.values())
-    return max(0.0, min(1.0, base * (1 - min(COST_CAP, sum(COSTS[s] for s in steps)))))
+    parts = {"lexical": lexical, "context": 0.55 * lexical + 0.45 * edge, "symbol": min(1.0, prior), "language": 1.0 if len(set(known)) == 1 else 0.7}
+    return sum(WEIGHTS[k] * v for k, v in parts.items()), 1 - min(COST_CAP, sum(COSTS[s] for s in steps))
+
+
+def _whole(parts: tuple[float, float], phonetic: float) -> float:
+    return max(0.0, min(1.0, (parts[0] + WEIGHTS["phonetic"] * phonetic) / sum(WEIGHTS.values()) * parts[1]))
+
+
+def _phonetic(text: str, source: str, sounds: list[str]) -> float:
+    own = sounds if text == source else sounds_of(text)
+    return sound_similarity(own, sound_confidence(text, own), sounds, sound_confidence(source, sounds)) if own and sounds else 0.5
+
+
+def score(text: str, source: str, prior: float, steps: list[str], languages: list[str], lexicon: Lexicon, sounds: list[str] | None = None) -> float:
+    """``sounds`` are those of the source, where they are known."""
+    return _whole(_without_sound(text, prior, steps, languages, lexicon), _phonetic(text, source, sounds_of(source) if sounds is None else sounds))
 
 
 @dataclass(frozen=True)
@@ -122,11 +131,19 @@ def decode_text(text: str | None, lexicon: Lexicon, search: Search = Search()) -
     if len(beam) == 1:  # nothing in it can be read in another way
         value = score(beam[0][1], text, 1.0, [], [], lexicon, sounds)
         return [{"text": beam[0][1], "score": value, "steps": [], "changed": False, "gap": value, "strong": value >= search.strong_gap, "confidence": value * (0.5 + 0.5 * value)}]
+    # the sounds of a reading are only compared where it can still be among those that are kept
+    nodes = []
     for p, done, steps, langs in beam:
-        value = score(done, text, p, [s for s in steps if s != "identity"], list(langs), lexicon, sounds)
-        key = fold_text(done)
+        own_steps = [s for s in steps if s != "identity"]
+        parts = _without_sound(done, p, own_steps, list(langs), lexicon)
+        nodes.append((_whole(parts, 1.0), done, own_steps, parts))
+    whole_key = fold_text(text)
+    for most, done, own_steps, parts in sorted(nodes, key=lambda x: -x[0]):
+        if len(best) >= max(2, search.kept) and most < sorted((x["score"] for x in best.values()), reverse=True)[max(2, search.kept) - 1]:
+            break
+        value, key = _whole(parts, _phonetic(done, text, sounds)), fold_text(done)
         if value >= FLOOR and (key not in best or best[key]["score"] < value):
-            best[key] = {"text": done, "score": value, "steps": [s for s in steps if s != "identity"], "changed": key != fold_text(text)}
+            best[key] = {"text": done, "score": value, "steps": own_steps, "changed": key != whole_key}
     found = sorted(best.values(), key=lambda x: (-x["score"], x["text"]))[: search.kept]
     if len(found) > 1 and found[0]["score"] < ABSTAIN_SCORE and found[0]["score"] - found[1]["score"] < ABSTAIN_GAP:
         return []

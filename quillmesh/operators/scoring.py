@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pickle
+from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
@@ -103,6 +104,7 @@ def spam_features(df: DataFrame, text: str = "text", lexicon: Lexicon | None = N
 
     sent = pickle.dumps(lexicon or packs.load())
     held: list[Lexicon] = []
+    search = replace(search, kept=1)  # only the best reading counts
     kinds = {"url_count": IntegerType(), "email_count": IntegerType(), "emoji_count": IntegerType(), "confusable_count": IntegerType(), "leet_or_twins": BooleanType(), "length": IntegerType()}
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -40,17 +40,17 @@ def engine_decode(spark, sf):
 @query()
 def engine_compare(spark, sf):
     """All pairs of texts with every channel, the features between them, and both scores."""
-    pairs = _once(table(spark, sf, "evaluation_case").where("a IS NOT NULL AND b IS NOT NULL").select("id", "a", "b"), "id")
+    pairs = _once(spread(table(spark, sf, "evaluation_case").where("a IS NOT NULL AND b IS NOT NULL").select("id", "a", "b"), "id"), "id")
     engine = TextEngine(spark, packs_table=table(spark, sf, "language_pack"))
-    out = engine.compare(spread(pairs))
+    out = engine.compare(pairs)
     return out.select("id", *(F.round(c, 6).alias(c) for c in (*T.CHANNELS, *T.PAIR_FEATURES, "channel_confidence", "language_agreement", "score", "trained")))
 
 
 @query()
 def engine_duplicates(spark, sf):
     """Which pairs of texts are duplicates, and why."""
-    pairs = _once(table(spark, sf, "evaluation_case").where("a IS NOT NULL AND b IS NOT NULL").select("id", "a", "b"), "id")
-    return TextEngine(spark, packs_table=table(spark, sf, "language_pack")).duplicates(spread(pairs)).select("id", "duplicate", F.round("duplicate_score", 6).alias("score"), "reason")
+    pairs = _once(spread(table(spark, sf, "evaluation_case").where("a IS NOT NULL AND b IS NOT NULL").select("id", "a", "b"), "id"), "id")
+    return TextEngine(spark, packs_table=table(spark, sf, "language_pack")).duplicates(pairs).select("id", "duplicate", F.round("duplicate_score", 6).alias("score"), "reason")
 
 
 def _store_and_items(spark, sf):
@@ -89,7 +89,7 @@ def dec_similarity_adapter(spark, sf):
 @query()
 def dec_spam_adapter(spark, sf):
     """Binary questions about unwanted advertising, answered by the trained spam scorer."""
-    rows = _once(table(spark, sf, "decision_example").where("state IS NOT NULL AND question.type = 'binary'").select("id", "state"), "id")
+    rows = _once(spread(table(spark, sf, "decision_example").where("state IS NOT NULL AND question.type = 'binary'").select("id", "state"), "id"), "id")
     out = TextEngine(spark, packs_table=table(spark, sf, "language_pack")).detect_spam(rows, "state")
     p = F.col("probability")
     return out.select("id", F.round(p, 6).alias("probability_true"), (p >= 0.5).alias("answer"), F.when(F.greatest(p, 1 - p) >= 0.5, "accept").otherwise("escalate").alias("decision"))

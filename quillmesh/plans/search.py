@@ -10,7 +10,7 @@ from quillmesh.functions import tables as T
 from quillmesh.operators import retrieval as R
 from quillmesh.operators import scoring as S
 from quillmesh.plans.registry import Registry
-from quillmesh.runtime import table
+from quillmesh.runtime import spread, table
 from quillmesh.sources import packs
 
 query = Registry()
@@ -81,7 +81,7 @@ def dup_normalized(spark, sf):
 @query()
 def spam_feature_table(spark, sf):
     """The fifteen features of every message."""
-    rows = table(spark, sf, "spam_item").where("text IS NOT NULL").select("id", "text").dropDuplicates(["id"])
+    rows = spread(table(spark, sf, "spam_item").where("text IS NOT NULL").select("id", "text"), "id").dropDuplicates(["id"])
     f = S.spam_features(rows, lexicon=packs.from_table(table(spark, sf, "language_pack")))
     return f.select("id", "url_count", "email_count", "emoji_count", *(F.round(F.col(c).cast("double"), 6).alias(c) for c in T.SPAM_WEIGHTS if c not in ("url_count", "email_count", "emoji_count")))
 
@@ -95,7 +95,7 @@ def spam_ratios(spark, sf):
 @query()
 def spam_predictions(spark, sf):
     """Untrained and trained probability, labels and reasons of every message."""
-    rows = table(spark, sf, "spam_item").where("text IS NOT NULL").select("id", "text").dropDuplicates(["id"])
+    rows = spread(table(spark, sf, "spam_item").where("text IS NOT NULL").select("id", "text"), "id").dropDuplicates(["id"])
     f = S.spam_features(rows, lexicon=packs.from_table(table(spark, sf, "language_pack")))
     return f.select("id", F.round(S.spam_heuristic(), 6).alias("heuristic"), F.round(S.spam_trained(), 6).alias("trained"), (S.spam_trained() >= T.SPAM_THRESHOLD).alias("spam"), S.spam_labels().alias("labels"), S.spam_reasons().alias("reasons"))
 

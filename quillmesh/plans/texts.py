@@ -9,7 +9,7 @@ from quillmesh.functions import distance, entities, languages, normalize, points
 from quillmesh.functions import tables as T
 from quillmesh.functions import unicode as uni
 from quillmesh.plans.registry import Registry
-from quillmesh.runtime import table
+from quillmesh.runtime import even, table
 from quillmesh.sources import packs
 
 query = Registry()
@@ -185,7 +185,7 @@ def obf_flood_and_upper(spark, sf):
     n AS (SELECT doc_id, ch, count(*) AS n FROM c GROUP BY ALL), t AS (SELECT doc_id, sum(n) AS total FROM n GROUP BY 1)
     SELECT doc_id, round(-sum(n / total * log2(n / total)), 6) AS entropy FROM n JOIN t USING (doc_id) GROUP BY doc_id""")
 def feat_entropy(spark, sf):
-    return _docs(spark, sf).where(F.length("text") > 0).select("doc_id", F.round(uni.entropy(F.col("text")), 6).alias("entropy"))
+    return even(_docs(spark, sf).where(F.length("text") > 0)).select("doc_id", F.round(uni.entropy(F.col("text")), 6).alias("entropy"))
 
 
 _INVISIBLE_SQL = r"[\x{00AD}\x{061C}\x{180E}\x{200B}-\x{200F}\x{2028}-\x{202E}\x{2060}-\x{206F}\x{FEFF}\x{FFF9}-\x{FFFB}\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x{9f}]"
@@ -202,12 +202,12 @@ def uni_classes(spark, sf):
 @query()
 def uni_suspicious_score(spark, sf):
     c = F.col("text")
-    return _docs(spark, sf).where("text IS NOT NULL").select("doc_id", F.round(points.suspicion(c), 6).alias("score"), points.malformed(c).alias("malformed"))
+    return even(_docs(spark, sf).where("text IS NOT NULL")).select("doc_id", F.round(points.suspicion(c), 6).alias("score"), points.malformed(c).alias("malformed"))
 
 
 @query()
 def obf_features(spark, sf):
-    return _docs(spark, sf).where("text IS NOT NULL").select("doc_id", uni.obfuscation(F.col("text")).alias("o")).select("doc_id", "o.detected", F.round("o.score", 6).alias("score"), F.array_join("o.flags", ",").alias("flags"))
+    return even(_docs(spark, sf).where("text IS NOT NULL")).select("doc_id", uni.obfuscation(F.col("text")).alias("o")).select("doc_id", "o.detected", F.round("o.score", 6).alias("score"), F.array_join("o.flags", ",").alias("flags"))
 
 
 _HITS = "".join(ch for ch in T.CONFUSABLE_FROM if not ("０" <= ch <= "ｚ") and ch != "Ⅰ")
@@ -236,13 +236,13 @@ def tok_word_counts(spark, sf):
 @query()
 def tok_segment_types(spark, sf):
     """Segments of whole documents by type."""
-    return tokens.segment_counts(_docs(spark, sf), "text")
+    return tokens.segment_counts(even(_docs(spark, sf)), "text")
 
 
 @query()
 def tok_token_table(spark, sf):
     """One row for each segment, offsets in bytes."""
-    return tokens.segment_table(_docs(spark, sf), "doc_id", "text")
+    return tokens.segment_table(even(_docs(spark, sf)), "doc_id", "text")
 
 
 @query(r"""WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\p{L}]+')) AS word FROM documents)

@@ -74,11 +74,17 @@ def default_parallelism(spark: SparkSession) -> int:
 
 
 def spread(df: DataFrame, *columns: str) -> DataFrame:
-    """Even out work before a costly Python stage when the scan has fewer splits than the session has shuffle partitions."""
+    """Rows dealt out to as many partitions as the session shuffles into, which adaptive execution leaves as they are."""
     n = default_parallelism(df.sparkSession)
     return df.repartition(n, *columns) if columns else df.repartition(n)
 
 
+def even(df: DataFrame) -> DataFrame:
+    """``df`` as it is where it is read from at least as many files as the session shuffles into; else dealt out, so that a
+    costly Python stage over a few small files does not run in a few tasks. A large table is never shuffled by this."""
+    return df if len(df.inputFiles()) >= default_parallelism(df.sparkSession) else spread(df)
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table | None], schema: str) -> DataFrame:
     """Arrow batches through ``fn``; a None or empty result is left out."""
 
