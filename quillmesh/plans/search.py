@@ -88,7 +88,7 @@ def spam_feature_table(spark, sf):
 
 @query(r"""WITH d AS (SELECT id, max(text) AS t FROM spam_item WHERE length(text) > 0 GROUP BY id) SELECT id, round(len(regexp_extract_all(t, '\p{N}')) / length(t), 6) AS number_ratio, round(len(regexp_extract_all(t, '\p{Lu}')) / greatest(1, len(regexp_extract_all(t, '\p{L}'))), 6) AS uppercase_ratio, round(len(regexp_extract_all(t, '[!-/:-@\[-`{-~]')) / length(t), 6) AS punctuation_ratio FROM d""")
 def spam_ratios(spark, sf):
-    rows = table(spark, sf, "spam_item").where(F.length("text") > 0).groupBy("id").agg(F.max("text").alias("text"))
+    rows = spread(table(spark, sf, "spam_item").where(F.length("text") > 0), "id").groupBy("id").agg(F.max("text").alias("text"))
     return S.spam_features(rows).select("id", *(F.round(c, 6).alias(c) for c in ("number_ratio", "uppercase_ratio", "punctuation_ratio")))
 
 
