@@ -1,15 +1,19 @@
 """Problem 5: families of records that differ by small edits.
 
 Two records are linked when their word sets have a Jaccard similarity of at least ``least``; a family is everything
-linked. The search runs in groups of records that share a rare word (two linked sets share one of the rarest
-``n - ceil(least * n) + 1`` words of each, in an order that all records use), so no group sees the whole collection. In
+linked. The search runs in groups of records that share a rare word (the rarest word that two linked sets share is one of
+the rarest ``n - ceil(least * n) + 1`` words of the larger and, as they share at least ``2 * least / (1 + least)`` of the
+smaller, one of the fewer rarest words of the smaller that this leaves, in an order that all records use), so no group sees
+the whole collection, and two records that both hold its word beyond these fewer are not compared there. In
 each group the records are leaves of a signature tree: a node holds the OR of its records' word bitmaps and the range of
 their sizes. Two trees, or one and itself, are walked from the roots down together, and a pair of nodes is left as soon as
 its bitmaps or sizes leave no room for the overlap asked for. Pairs of records that come through are verified on words.
 Pairs whose records are in one component already are left too, so a family of any density costs few verifications.
 
-Copies are one class from the start. A word that very many records hold gives not one group but one for each pair of
-blocks of its records (two blocks of ``BLOCK`` records at most), so no task holds an unbounded group.
+Copies are one class from the start. Of words that many records hold it is counted how many have them among the fewer
+rarest, in a table of fixed size: where none has, the word gives no group, however many records hold it. Where very many
+have, it gives not one group but one for each pair of blocks of its records (two blocks of ``BLOCK`` records at most), so
+no task holds an unbounded group.
 
 What travels is packed: the ``COMMON`` words that are most frequent in a sample are one byte each (the sample decides on
 their spelling alone), all others 24 bits of their hash, words of no second record only count, and a record is sent once
@@ -33,11 +37,13 @@ from pyspark.sql import functions as F
 from quillmesh.llm.common import fields
 from quillmesh.llm.components import components, look_up
 from quillmesh.llm.plain import hash_words, words
-from quillmesh.llm.wordsets import binary_rows, bitmap_of, bucket_of, count_of_level, in_bitmap, packed, prefix_length, rarity, sets_of, split_rows
+from quillmesh.llm.wordsets import BITS, binary_rows, bitmap_of, bucket_levels, bucket_of, count_of_level, in_bitmap, packed, prefix_length, rarity, sets_of, split_rows
 from quillmesh.runtime import cut, default_parallelism, map_batches, release, sampled, whole_groups
 
-#: Records of one word that form a block, as estimated from the rarity table.
+#: Records of one word that form a block, as estimated from the table of its postings.
 BLOCK = 16_384
+#: Records of a word from which its postings are counted, and the bits of the table: half of its cells for each role.
+HEAVY, CELL_BITS = 256, BITS - 1
 LEAF, FAN = 16, 8
 #: Words that are spelled in one byte, and the texts that they are counted in.
 COMMON, SAMPLE = 255, 4_000
@@ -157,9 +163,12 @@ class Forest:
         return i[kept], j[kept]
 
 
-def tree_links(sets: Sets, rows: np.ndarray, forest: Forest, least: float) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Links among ``rows``, enough to join all that are linked, by a dual walk of their signature tree."""
-    order = rows[np.lexsort((*sets.words[rows, : min(4, sets.words.shape[1])].T[::-1], sets.n[rows]))]
+def tree_links(sets: Sets, rows: np.ndarray, forest: Forest, least: float, leads: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Links among ``rows``, enough to join all that are linked, by a dual walk of their signature tree. Pairs without a row
+    that ``leads`` are not looked at; without it all do."""
+    leads = np.ones(len(rows), bool) if leads is None else leads
+    order = rows[np.lexsort((*sets.words[rows, : min(4, sets.words.shape[1])].T[::-1], sets.n[rows], ~leads))]
+    leading = int(leads.sum())  # these stand in front, so the first of two rows tells
     # the lowest level are leaves of LEAF records, each further one nodes of FAN
     bounds = [np.arange(0, len(order), LEAF)]
     levels = []
@@ -176,7 +185,7 @@ def tree_links(sets: Sets, rows: np.ndarray, forest: Forest, least: float) -> li
         maps, low, high, slack = levels[level]
         need = np.ceil(least / (1 + least) * (low[a].astype(np.int64) + low[b]) - 1e-9)
         room = np.minimum(np.bitwise_count(maps[a] & maps[b]).sum(axis=1, dtype=np.int32) + np.minimum(slack[a], slack[b]), np.minimum(high[a], high[b]))
-        go = (room >= need) & (high[b] >= least * low[a] - 1e-9) & (high[a] >= least * low[b] - 1e-9)
+        go = (room >= need) & (high[b] >= least * low[a] - 1e-9) & (high[a] >= least * low[b] - 1e-9) & (a * (LEAF * FAN**level) < leading)
         return a[go], b[go]
 
     a = b = np.zeros(1, np.int64)
@@ -213,7 +222,7 @@ def tree_links(sets: Sets, rows: np.ndarray, forest: Forest, least: float) -> li
         open_x, open_y = fit(rows_x, y), fit(rows_y, x)
         roots = forest.roots(order)
         root_x, root_y = roots[np.minimum(rows_x, n - 1)], roots[np.minimum(rows_y, n - 1)]
-        go = open_x[:, :, None] & open_y[:, None, :] & (root_x[:, :, None] != root_y[:, None, :]) & (rows_x[:, :, None] < rows_y[:, None, :])
+        go = open_x[:, :, None] & open_y[:, None, :] & (root_x[:, :, None] != root_y[:, None, :]) & (rows_x[:, :, None] < rows_y[:, None, :]) & (rows_x[:, :, None] < leading)
         p, i, j = np.nonzero(go)
         i, j = order[rows_x[p, i]], order[rows_y[p, j]]
         hit = sets.similar(i, j, least)
@@ -235,14 +244,15 @@ def _small_pairs(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.
     return np.concatenate(i_all), np.concatenate(j_all)
 
 
-def links_of_groups(key: np.ndarray, of: np.ndarray, sets: Sets, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Links inside groups: record ``of[i]`` of ``sets`` stands in group ``key[i]``; keys ascend."""
+def links_of_groups(key: np.ndarray, of: np.ndarray, leads: np.ndarray, sets: Sets, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links inside groups: record ``of[i]`` of ``sets`` stands in group ``key[i]``, once, and ``leads`` or does not; keys ascend."""
     starts = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1])
     sizes = np.diff(np.concatenate([starts, [len(key)]]))
     forest, found = Forest(len(sets.n)), []
     small = sizes <= LEAF
     i, j = _small_pairs(starts[small], sizes[small])
-    i, j = of[i], of[j]
+    go = leads[i] | leads[j]
+    i, j = of[i[go]], of[j[go]]
     if len(i):
         pairs = np.unique(np.minimum(i, j) * len(sets.n) + np.maximum(i, j))
         i, j = pairs // len(sets.n), pairs % len(sets.n)
@@ -250,7 +260,7 @@ def links_of_groups(key: np.ndarray, of: np.ndarray, sets: Sets, least: float) -
         hit = np.concatenate([sets.similar(i[k : k + 200_000], j[k : k + 200_000], least) for k in range(0, len(i), 200_000)] or [np.empty(0, bool)])
         found.append(forest.link(i[hit], j[hit]))
     for s, m in zip(starts[~small].tolist(), sizes[~small].tolist(), strict=True):
-        found += tree_links(sets, np.unique(of[s : s + m]), forest, least)
+        found += tree_links(sets, of[s : s + m], forest, least, leads[s : s + m])
     return tuple(np.concatenate([f[k] for f in found]) if found else np.empty(0, np.int64) for k in (0, 1))
 
 
@@ -289,11 +299,88 @@ _BLOB = "part int, keys binary, of binary, hashes binary, tags binary, n binary,
 PIECE = 50_000
 
 
+def _postings(levels: np.ndarray, spelled: np.ndarray, n: np.ndarray, rare: tuple[np.ndarray, np.ndarray], codes: tuple[np.ndarray, np.ndarray], least: float) -> tuple:
+    """The other words of records and the common ones, rarest first, and the words by which a record meets others: (words,
+    their rows and levels), (codes, their rows), (words, rows, levels, whether it leads there)."""
+    (rare, sizes), (codes, code_sizes) = rare, codes
+    # rare words first, rarest of all in front, then common ones likewise: the same order in all records
+    row = np.repeat(np.arange(len(n)), sizes)
+    level = levels[bucket_of(rare)]
+    order = np.lexsort((rare, level, row))
+    rare, level, row = rare[order], level[order], row[order]
+    prefix, lead = prefix_length(n, least), prefix_length(n, 2 * least / (1 + least))
+    place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    post = (place < prefix[row]) & (level > 0)
+    code_row = np.repeat(np.arange(len(n)), code_sizes)
+    codes = codes[np.lexsort((codes, levels[bucket_of(spelled)][codes], code_row))]
+    code_place = sizes[code_row] + np.arange(len(code_row)) - np.repeat(np.cumsum(code_sizes) - code_sizes, code_sizes)
+    code_post = code_place < prefix[code_row]
+    spelled_codes = spelled[codes[code_post]]
+    who = np.concatenate([row[post], code_row[code_post]])
+    held = np.concatenate([level[post], levels[bucket_of(spelled_codes)]])
+    leads = np.concatenate([place[post], code_place[code_post]]) < lead[who]
+    return (rare, row, level), (codes, code_row), (np.concatenate([rare[post], spelled_codes]), who, held, leads)
+
+
+def _heavy(held: np.ndarray) -> np.ndarray:
+    return count_of_level(held) >= HEAVY
+
+
+def _cell(word: np.ndarray, space: np.ndarray) -> np.ndarray:
+    """The cell of a heavy word of a source in the table of postings."""
+    mixed = word * np.uint64(0xD6E8FEB86659FD93) + space.view(np.uint64)
+    mixed ^= mixed >> np.uint64(32)
+    return (mixed * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+
+
+def meetings(records: DataFrame, common: np.ndarray, levels: np.ndarray, least: float) -> np.ndarray:
+    """For each cell of heavy words a level of the records that lead by a word of it, and one of the others that hold it in
+    front; 0 is none."""
+    sent = records.sparkSession.sparkContext.broadcast((levels, common))  # of fixed size
+
+    def tally(batch: pa.RecordBatch, sums: np.ndarray) -> None:
+        space, n = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int64)
+        _, _, (word, who, held, leads) = _postings(*sent.value, n, binary_rows(batch.column(2), np.uint64), binary_rows(batch.column(3), np.uint8), least)
+        go = _heavy(held)
+        np.add.at(sums, _cell(word[go], space[who[go]]) * 2 + ~leads[go], 1)
+
+    return bucket_levels(records.select("space", "n", "rare", "common"), tally, 0).reshape(-1, 2)
+
+
+def _met(table: np.ndarray, word: np.ndarray, space: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each posting the numbers of blocks of the records that lead by its word and of the others; no block of the first
+    where none does, or but one record holds the word in front."""
+    first, other = np.ones(len(word), np.int64), np.ones(len(word), np.int64)
+    go = np.flatnonzero(_heavy(held))
+    own = table[_cell(word[go], space[go])]
+    blocks = np.where(own == 0, 0, np.ceil(count_of_level(own) / BLOCK)).astype(np.int64)
+    first[go] = np.where((own[:, 0] == 1) & (own[:, 1] == 0), 0, blocks[:, 0])
+    other[go] = np.maximum(1, blocks[:, 1])
+    return first, other
+
+
+def _pairs_of_blocks(hashes: np.ndarray, leads: np.ndarray, first: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The groups of postings, as their places and the pair of blocks that each group is of.
+
+    Records that lead meet each other and all others: a group for each pair of blocks. Where there is but one block of them,
+    they meet each other beside the others.
+    """
+    each = np.where(first == 0, 0, np.where(leads, other + np.where(first > 1, first, 0), first))
+    at = np.repeat(np.arange(len(each)), each)
+    own = (hashes.view(np.uint64) % np.maximum(1, np.where(leads, first, other)).astype(np.uint64)).astype(np.int64)[at]
+    k = np.arange(len(at)) - np.repeat(np.cumsum(each) - each, each)
+    leads, first, other = leads[at], first[at], other[at]
+    across = k < other
+    one = np.where(leads, np.where(across, own, np.minimum(own, k - other)), k)
+    two = np.where(leads, np.where(across, first + k, np.maximum(own, k - other)), first + own)
+    return at, one * (first + other) + two
+
+
 def _placed(records: DataFrame, common: np.ndarray, levels: np.ndarray, least: float, parts: int, slice_: int = 0) -> DataFrame:
     """Records and the groups that they stand in, packed by the partition of the groups. ``slice_`` tells which 24 bits of a
     word's hash stand for it."""
     low = np.uint64(40 - 20 * slice_)
-    sent = records.sparkSession.sparkContext.broadcast((levels, common))  # of fixed size
+    sent = records.sparkSession.sparkContext.broadcast((levels, common, meetings(records, common, levels, least)))  # of fixed size
     seen: set[int] = set()
 
     def run(batch: pa.RecordBatch) -> pa.Table | None:
@@ -301,7 +388,7 @@ def _placed(records: DataFrame, common: np.ndarray, levels: np.ndarray, least: f
         return pa.concat_tables(tables) if tables else None
 
     def place(batch: pa.RecordBatch) -> pa.Table | None:
-        levels, spelled = sent.value
+        levels, spelled, table = sent.value
         hashes, space, n = (batch.column(i).to_numpy() for i in (0, 1, 2))
         if len(seen) > SEEN:
             seen.clear()
@@ -310,34 +397,16 @@ def _placed(records: DataFrame, common: np.ndarray, levels: np.ndarray, least: f
             return None
         batch = batch.filter(pa.array(fresh))
         hashes, space, n = hashes[fresh], space[fresh], n[fresh].astype(np.int64)
-        rare, sizes = binary_rows(batch.column(3), np.uint64)
-        codes, code_sizes = binary_rows(batch.column(4), np.uint8)
-        # rare words first, rarest of all in front, then common ones likewise: the same order in all records
-        row = np.repeat(np.arange(len(n)), sizes)
-        level = levels[bucket_of(rare)]
-        order = np.lexsort((rare, level, row))
-        rare, level, row = rare[order], level[order], row[order]
-        prefix = prefix_length(n, least)
-        place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        post = (place < prefix[row]) & (level > 0)
-        code_row = np.repeat(np.arange(len(n)), code_sizes)
-        codes = codes[np.lexsort((codes, levels[bucket_of(spelled)][codes], code_row))]
-        code_place = sizes[code_row] + np.arange(len(code_row)) - np.repeat(np.cumsum(code_sizes) - code_sizes, code_sizes)
-        code_post = code_place < prefix[code_row]
-        spelled_codes = spelled[codes[code_post]]
-        word = np.concatenate([rare[post], spelled_codes])
-        who = np.concatenate([row[post], code_row[code_post]])
-        held = np.concatenate([level[post], levels[bucket_of(spelled_codes)]])
-        # a word of many records gives a group for each pair of blocks
-        blocks = np.maximum(1, np.ceil(count_of_level(held) / BLOCK)).astype(np.int64)
-        own = (hashes[who].view(np.uint64) % blocks.astype(np.uint64)).astype(np.int64)
-        other = np.arange(blocks.sum()) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-        word, who, own, width = (np.repeat(x, blocks) for x in (word, who, own, blocks))
-        pair = np.minimum(own, other) * width + np.maximum(own, other)
+        codes = binary_rows(batch.column(4), np.uint8)
+        code_sizes = codes[1]
+        (rare, row, level), (codes, code_row), (word, who, held, leads) = _postings(levels, spelled, n, binary_rows(batch.column(3), np.uint64), codes, least)
+        first, other = _met(table, word, space[who], held)
+        at, pair = _pairs_of_blocks(hashes[who], leads, first, other)
+        word, who, leads = word[at], who[at], leads[at]
         key = word * np.uint64(0x9E3779B97F4A7C15) + pair.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + space[who].view(np.uint64)
         key ^= key >> np.uint64(29)
         part = (key * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(33)) % np.uint64(parts)
-        key = (key >> np.uint64(32)).astype(np.uint32)
+        key = (key >> np.uint64(32)).astype(np.uint32) & np.uint32(0xFFFFFFFE) | leads.astype(np.uint32)  # the last bit tells who leads
         tags = (space.view(np.uint64) >> np.uint64(48)).astype(np.uint16)
         # words that no second record holds are sent as part of n alone
         shared = level > 0
@@ -374,15 +443,15 @@ def links_of_pieces(table: pa.Table, least: float) -> tuple[np.ndarray, np.ndarr
     sizes, common_sizes = sizes.astype(np.int64), common_sizes.astype(np.int64)
     unique, first, same = np.unique(hashes, return_index=True, return_inverse=True)
     of = same[of]
-    order = np.lexsort((of, keys))
-    keys, of = keys[order], of[order]
+    leads, keys = keys & np.uint32(1) == 1, keys >> np.uint32(1)
+    order = np.lexsort((~leads, of, keys))
+    keys, of, leads = keys[order], of[order], leads[order]
     fresh = np.ones(len(keys), bool)
     fresh[1:] = (keys[1:] != keys[:-1]) | (of[1:] != of[:-1])
-    keys, of = keys[fresh], of[fresh]
+    keys, of, leads = keys[fresh], of[fresh], leads[fresh]
     _, at, count = np.unique(keys, return_index=True, return_counts=True)
-    lone = np.zeros(len(keys), bool)
-    lone[at[count == 1]] = True
-    keys, of = keys[~lone], of[~lone]
+    useful = np.repeat((count > 1) & (np.add.reduceat(leads, at, dtype=np.int64) > 0), count) if len(at) else np.zeros(0, bool)
+    keys, of, leads = keys[useful], of[useful], leads[useful]
     if not len(keys):
         return np.empty(0, np.int64), np.empty(0, np.int64)
     used, of = np.unique(of, return_inverse=True)
@@ -393,7 +462,7 @@ def links_of_pieces(table: pa.Table, least: float) -> tuple[np.ndarray, np.ndarr
         return flat[np.repeat(begin, m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)], m
 
     sets = Sets(n[pick], *chosen(rare, sizes), *chosen(codes, common_sizes), tags[pick])
-    u, v = links_of_groups(keys, of, sets, least)
+    u, v = links_of_groups(keys, of, leads, sets, least)
     return unique[used][u], unique[used][v]
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -87,13 +87,22 @@ def rarity(sets: DataFrame, kind: type = np.uint64, column: str = "toks", codes:
     hashes ``spelled``.
     """
 
+    def tally(batch: pa.RecordBatch, sums: np.ndarray) -> None:
+        sums += np.bincount(bucket_of(binary_rows(batch.column(0), kind)[0]), minlength=1 << BITS)
+        if codes:
+            uses = np.bincount(binary_rows(batch.column(1), np.uint8)[0], minlength=len(spelled))
+            np.add.at(sums, bucket_of(spelled), uses)
+
+    return bucket_levels(sets.select(column, *([codes] if codes else [])), tally, 1)
+
+
+def bucket_levels(rows: DataFrame, tally: Callable[[pa.RecordBatch, np.ndarray], None], none: int) -> np.ndarray:
+    """A level for each bucket that grows with the number that ``tally`` adds to it over all batches; 0 up to ``none``."""
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(1 << BITS, np.int64)
         for batch in batches:
-            sums += np.bincount(bucket_of(binary_rows(batch.column(0), kind)[0]), minlength=1 << BITS)
-            if codes:
-                uses = np.bincount(binary_rows(batch.column(1), np.uint8)[0], minlength=len(spelled))
-                np.add.at(sums, bucket_of(spelled), uses)
+            tally(batch, sums)
         met = np.flatnonzero(sums)
         part = met * _CHUNKS >> BITS
         edges = np.searchsorted(part, np.arange(_CHUNKS + 1))
@@ -107,12 +116,12 @@ def rarity(sets: DataFrame, kind: type = np.uint64, column: str = "toks", codes:
         for batch in groups:
             for at, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 sums[np.frombuffer(at, np.int32) - chunk * width] += np.frombuffer(n, np.int64)
-        level = np.where(sums <= 1, 0, 1 + 4 * np.log2(np.maximum(sums, 1))).clip(0, 255).astype(np.uint8)
+        level = np.where(sums <= none, 0, 1 + 4 * np.log2(np.maximum(sums, 1))).clip(0, 255).astype(np.uint8)
         yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([level.tobytes()], pa.binary())], names=["chunk", "level"])
 
-    rows = sets.select(column, *([codes] if codes else [])).mapInArrow(count, "chunk int, at binary, n binary").groupBy("chunk").applyInArrow(add, "chunk int, level binary").collect()
+    found = rows.mapInArrow(count, "chunk int, at binary, n binary").groupBy("chunk").applyInArrow(add, "chunk int, level binary").collect()
     out = np.zeros(1 << BITS, np.uint8)
-    for r in rows:
+    for r in found:
         at = r.chunk * ((1 << BITS) // _CHUNKS)
         out[at : at + (1 << BITS) // _CHUNKS] = np.frombuffer(bytes(r.level), np.uint8)
     return out

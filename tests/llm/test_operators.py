@@ -127,6 +127,48 @@ def test_false_links_are_found_and_made_again(spark, monkeypatch):
     assert {(r.id, r.group_id) for r in p5_families.families(df).collect()} == want and slices == [0, 1]
 
 
+def test_a_common_word_that_nobody_leads_by_makes_no_group(spark):
+    """Records of one template meet by their rare words alone; those of few rare words still meet by the template's."""
+    template = " ".join(f"common{i}" for i in range(13))
+    rows = [("s", f"i{k:03d}", f"{template} {' '.join(f'own{k // 2}x{i}' for i in range(6))} single{k}") for k in range(600)]
+    rows += [("s", f"j{k:02d}", f"{template} {' '.join(f'few{k}x{i}' for i in range(2 + k % 3))}") for k in range(20)]
+    df = spark.createDataFrame(rows, "src string, id string, text string")
+    want = {(f"i{k:03d}", f"i{k // 2 * 2:03d}") for k in range(600)} | {(f"j{k:02d}", "j00") for k in range(20)}
+    assert {(r.id, r.group_id) for r in p5_families.families(df).collect()} == want
+    common = p5_families.common_words(df, "text")
+    sets = p5_families._records(df.where("id LIKE 'i%'"), common, 8).cache()
+    levels = p5_families.rarity(sets, np.uint64, "rare", "common", common)
+    groups = Counter()
+    for r in p5_families._placed(sets, common, levels, 0.6, 1).select("keys").collect():
+        groups.update((np.frombuffer(bytes(r.keys), np.uint32) >> 1).tolist())
+    assert groups and max(groups.values()) == 2
+
+
+def test_blocks_meet_where_one_side_leads():
+    rng = np.random.default_rng(3)
+    hashes, leads = rng.integers(0, 2**62, 60), rng.random(60) < 0.4
+    for first, other in ((1, 1), (1, 4), (3, 1), (3, 5), (0, 2)):
+        at, pair = p5_families._pairs_of_blocks(hashes, leads, np.full(60, first), np.full(60, other))
+        groups = defaultdict(set)
+        for i, g in zip(at.tolist(), pair.tolist(), strict=True):
+            groups[g].add(i)
+        met = {p for g in groups.values() for p in itertools.combinations(sorted(g), 2)}
+        assert not (first == 0 and groups)
+        assert first == 0 or all(p in met for p in itertools.combinations(range(60), 2) if leads[p[0]] or leads[p[1]])
+
+
+def test_tree_links_leave_pairs_that_do_not_lead():
+    rng = np.random.default_rng(6)
+    rows = [np.unique(np.concatenate([np.arange(1, 25, dtype=np.uint32), rng.integers(100, 2**24, 4, dtype=np.uint32)])) for _ in range(300)]
+    sizes = np.array([len(r) for r in rows])
+    sets = p5_families.Sets(sizes, np.concatenate(rows), sizes, np.empty(0, np.uint8), np.zeros(len(rows), np.int64))
+    for leading in (0, 1, 20):
+        forest, leads = p5_families.Forest(300), np.zeros(300, bool)
+        leads[rng.permutation(300)[:leading]] = True
+        p5_families.tree_links(sets, np.arange(300), forest, 0.6, leads)
+        assert len(np.unique(forest.roots())) == (1 if leading else 300)
+
+
 def test_tree_links_join_all_that_is_linked():
     rng = np.random.default_rng(2)
     base = rng.integers(1, 2**32, 30, dtype=np.uint32)
