@@ -355,6 +355,41 @@ def test_whole_lexicon_is_looked_up(spark, monkeypatch):
         p3_personal.listed_names(rows)
 
 
+def test_all_texts_are_counted(spark, tmp_path, monkeypatch):
+    """The model of a folder is that of all texts of both tables, as the plain fit makes it, whatever the size of the lexicon."""
+    rng = random.Random(3)
+    lexicon = [("Bricath", "given"), ("Rodrora", "given"), ("Woldosen", "family"), ("Duskarette", "family")]
+    pool = [f"{a}{b}{c}" for a in ("lem", "vor", "tan", "zu") for b in ("ba", "ki", "lo") for c in ("s", "mer", "x")]
+    make = lambda: " ".join(rng.choices(pool, k=6)) + rng.choice([". Regards, Rodrora Woldosen.", " mail a@b.test", ", ask for Kelmira Duskarette", ""])
+    spam, cases = [make() for _ in range(300)] + [None, ""], ["Quibble " + make() for _ in range(60)]
+    spark.createDataFrame([(f"s{i}", t) for i, t in enumerate(spam)], "id string, text string").write.parquet(f"{tmp_path}/spam_item.parquet")
+    spark.createDataFrame([(f"c{i}", t) for i, t in enumerate(cases)], "id string, a string").write.parquet(f"{tmp_path}/evaluation_case.parquet")
+    spark.createDataFrame([*lexicon, (None, "given")], "name string, kind string").write.parquet(f"{tmp_path}/name_lexicon.parquet")
+    want = p3_personal.fit(lexicon, [t for t in spam + cases if t])
+    for rows in (100_000, 2):
+        monkeypatch.setattr(p3_personal, "LEXICON_ROWS", rows)
+        got = p3_personal.fitted(spark, str(tmp_path))
+        assert got.common == want.common and "quibble" in got.common and "kelmira" not in got.common
+        for a, b in zip(got.models, want.models, strict=True):
+            for x, y in zip(a.grams + a.heads, b.grams + b.heads, strict=True):
+                assert x.keys() == y.keys() and all(abs(x[g] - y[g]) < 1e-3 * y[g] for g in y)
+        assert got.holds("rodrora", "given") and not got.holds("rodrora", "family")
+
+
+def test_common_words_follow_the_number_of_texts():
+    assert p3_personal.Names([], Counter(some=50, many=100), None, 12_000).common == {"many"}
+    assert p3_personal.Names([], Counter(some=50, few=30), None, 100).common == {"some"}
+
+
+def test_introduced_is_the_search():
+    rng = random.Random(8)
+    phrases = ["my name is", "Regards", "lo ha firmato da", "Je m’appelle", "dear Mr.", "г-жа", "--", "=>", '"', "(", "спросите", "Sig.ra", "querida", "liebe", "ok", "a1", "Señor", "vraag om", "eu me chamo", "bien à vous", "é", "m"]
+    for _ in range(2000):
+        text = "".join(rng.choice(phrases) + rng.choice([" ", ", ", ": ", ". ", "\n", "", " - "]) for _ in range(rng.randrange(1, 6))) + "Name here"
+        for at in [m.start() for m in p3_personal._WORD.finditer(text)]:
+            assert p3_personal.introduced(text, at) == bool(p3_personal._BEFORE.search(text, max(0, at - 60), at)), (text, at)
+
+
 def test_items_in_tables(spark, names):
     df = spark.createDataFrame([("s", "1", None), ("s", "2", ""), ("s", "3", "mail a@b.test"), ("s", "3", "mail a@b.test"), ("s", "4", LONG)], "kind string, id string, text string").withColumnRenamed("kind", "src")
     out = p3_personal.find_items(df, ["src", "id"], "text", names).collect()
