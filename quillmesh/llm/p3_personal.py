@@ -21,12 +21,15 @@ Repeated deliveries count once in :func:`p3_found`.
 
 from __future__ import annotations
 
+import functools
 import math
 import pickle
 import re
 import unicodedata
+from bisect import bisect_left, bisect_right
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmesh.llm.common import fields
-from quillmesh.llm.plain import _letters_elsewhere, _mixed, _segment, _segments, _unmix, hash_words, kept_of, unstable_points
+from quillmesh.llm.plain import _as_ranges, _letters_elsewhere, _mixed, _segment, _segments, _unmix, hash_words, kept_of, unstable_points
 from quillmesh.runtime import cut, map_batches, table
 
 #: Names of a lexicon that are sent as they are; of a larger one hashes are.
@@ -49,6 +52,8 @@ COMMON_TIMES, COMMON_TEXTS = 40, 150
 PARTS = 4096
 #: Words whose scores a worker keeps.
 KNOWN_WORDS = 300_000
+#: Words that a worker keeps what it found of, and the characters of the longest that is kept.
+KNOWN, LONGEST_KNOWN = 100_000, 64
 _DIGIT = re.compile(r"\d")
 KINDS = ("email", "id_number", "phone", "address", "name")
 
@@ -58,6 +63,37 @@ KINDS = ("email", "id_number", "phone", "address", "name")
 Places = tuple[list[int], list[int]] | None
 
 
+class Known(dict):
+    """What a function gives for a word, kept for those met before; all is forgotten once there are too many."""
+
+    def __init__(self, fn: Callable):
+        super().__init__()
+        self.fn = fn
+
+    def __missing__(self, word: str):
+        found = self.fn(word)
+        if len(word) <= LONGEST_KNOWN:
+            if len(self) >= KNOWN:
+                self.clear()
+            self[word] = found
+        return found
+
+
+_PIECE_MIXED = Known(lambda piece: _mixed.search(piece) is not None)
+
+
+def _mixes_scripts(text: str, chars: set[str]) -> bool:
+    """Whether a word of a text of these characters mixes scripts; no word goes over a blank."""
+    return not chars.isdisjoint(_letters_elsewhere()) and any(map(_PIECE_MIXED.__getitem__, text.split(" ")))
+
+
+@functools.cache
+def _basic_segments() -> re.Pattern[str]:
+    """The segments of texts whose unstable characters are all of the basic plane: a class that is looked up at once."""
+    c = _as_ranges(sorted(p for p in map(ord, unstable_points()) if p < 0x10000))
+    return re.compile(f"([^{c}]?)([{c}]+)(?=(.?))", re.DOTALL)
+
+
 def _straight(a: int, b: int) -> tuple[range, range]:
     return range(a, b), range(a + 1, b + 1)
 
@@ -67,15 +103,14 @@ def rewritten(text: str) -> tuple[str, Places]:
     if text.isascii():
         return text, None
     chars = set(text)
-    if chars.isdisjoint(unstable_points()):
-        if not chars.isdisjoint(_letters_elsewhere()) and _mixed.search(text):
-            return _unmix(text), None  # one letter for one letter
-        return text, None
+    unstable = chars & unstable_points()
+    if not unstable:
+        return _unmix(text) if _mixes_scripts(text, chars) else text, None  # one letter for one letter
     out: list[str] = []
     starts: list[int] = []
     stops: list[int] = []
     at = 0
-    for m in _segments().finditer(text):
+    for m in (_segments() if max(unstable) > "\uffff" else _basic_segments()).finditer(text):
         if m.start() > at:
             out.append(text[at : m.start()])
             a, b = _straight(at, m.start())
@@ -93,7 +128,7 @@ def rewritten(text: str) -> tuple[str, Places]:
     starts.extend(a)
     stops.extend(b)
     new = "".join(out)
-    if not set(new).isdisjoint(_letters_elsewhere()) and _mixed.search(new):
+    if _mixes_scripts(new, set(new)):
         new = _unmix(new)
     return new, (starts, stops)
 
@@ -144,7 +179,7 @@ SPELLED_DIGITS = range(7, 16)
 
 def undigit(text: str, places: Places) -> tuple[str, Places, list[tuple[int, int]]]:
     """Runs of at least six digits of which three or more are spelled, as digits, and where these runs are."""
-    if sum(w in _SPELLED for w in text.lower().replace("-", " ").replace(",", " ").split()) < 3:
+    if sum(map(_SPELLED.__contains__, text.lower().replace("-", " ").replace(",", " ").split())) < 3:
         return text, places, []
     starts, stops = map(list, _straight(0, len(text))) if places is None else places
     out, a_all, b_all, at, size, runs = [], [], [], 0, 0, []
@@ -173,7 +208,7 @@ _AT_WORDS, _DOT_WORDS = r"at|arroba|chiocciola|arobase|собака", r"dot|punt
 _BRACKETED_AT = rf"[(\[{{<]\s?(?:{_AT_WORDS}|@)\s?[)\]}}>]"
 #: A word is no sign where an address with a sign of its own follows ("write to me at ...").
 _NO_SIGN_NEAR = rf"(?!\S{{1,64}}?(?:\s(?:{_DOT_WORDS})\s\S{{1,64}}?)?(?:\s?@|\s?{_BRACKETED_AT}|\s(?:{_AT_WORDS})\s))"
-_SIGN = re.compile(rf"\s?[(\[{{<]\s?(?P<at>{_AT_WORDS}|@)\s?[)\]}}>]\s?|\s?[(\[{{<]\s?(?P<dot>{_DOT_WORDS}|\.)\s?[)\]}}>]\s?|\s(?P<at_>{_AT_WORDS})\s{_NO_SIGN_NEAR}|\s(?P<dot_>{_DOT_WORDS})\s|\s@\s?(?=[^\W_][\w-]*(?:\.|\s?[(\[{{<]\s?(?:{_DOT_WORDS}|\.)|\s(?:{_DOT_WORDS})\s))|(?<=\S)@\s", re.IGNORECASE)
+_SIGN = re.compile(rf"(?=[\s(\[{{<@])(?:\s?[(\[{{<]\s?(?P<at>{_AT_WORDS}|@)\s?[)\]}}>]\s?|\s?[(\[{{<]\s?(?P<dot>{_DOT_WORDS}|\.)\s?[)\]}}>]\s?|\s(?P<at_>{_AT_WORDS})\s{_NO_SIGN_NEAR}|\s(?P<dot_>{_DOT_WORDS})\s|\s@\s?(?=[^\W_][\w-]*(?:\.|\s?[(\[{{<]\s?(?:{_DOT_WORDS}|\.)|\s(?:{_DOT_WORDS})\s))|(?<=\S)@\s)", re.IGNORECASE)
 
 
 def unsigned(text: str) -> tuple[str, list[int], list[int]]:
@@ -258,9 +293,56 @@ ADDRESS_HINT = [
 ]
 ADDRESS_HINT.append(ADDRESS_HINT[5])
 
+
+def _starts(pieces: list[str]) -> re.Pattern[str]:
+    """Pieces that begin with a blank, which is what is looked for first."""
+    return re.compile(f" (?:{'|'.join(re.escape(x[1:]) for x in pieces)})")
+
+
+_ALL_HINTS = list(dict.fromkeys(x for hint in ADDRESS_HINT for x in hint))
+_AFTER_BLANK = _starts([x for x in _ALL_HINTS if x[0] == " "])
+_BEFORE_BLANK_REVERSED = _starts([x[::-1] for x in _ALL_HINTS if x[0] != " " and x[-1] == " "])
+_ANYWHERE = tuple(x for x in _ALL_HINTS if " " not in (x[0], x[-1]))
+_ANYWHERE_LATIN, _RUSSIAN = tuple(x for x in _ANYWHERE if not re.match("[а-яё]", x)), re.compile("[а-яё]")
+_ANYWHERE_ASCII, _PAPERS_ASCII = (tuple(x for x in hints if x.isascii()) for hints in (_ANYWHERE, _PAPER_STEMS))
+
+
+def _holds_any(low: str, pieces: tuple[str, ...]) -> bool:
+    for piece in pieces:
+        if piece in low:
+            return True
+    return False
+
+
+def address_patterns(low: str) -> list[re.Pattern[str]]:
+    """The patterns for which a lower-case text holds a hint. Most hold none of any, which is seen at once."""
+    anywhere = _ANYWHERE_ASCII if low.isascii() else _ANYWHERE if _RUSSIAN.search(low) else _ANYWHERE_LATIN
+    if not (_AFTER_BLANK.search(low) or _BEFORE_BLANK_REVERSED.search(low[::-1]) or _holds_any(low, anywhere)):
+        return []
+    return [pattern for hint, pattern in zip(ADDRESS_HINT, ADDRESS, strict=True) if _holds_any(low, hint)]
+
+
 # ---------------------------------------------------------------------------------------------- names
 
 _WORD = re.compile(r"(?<![\w@#])[^\W\d_]+(?:[-'’][^\W\d_]+)*(?![\w@])")
+_ASTRAL = re.compile("[\U00010000-\U0010ffff]")
+
+
+@functools.cache
+def _splitter(last: int) -> re.Pattern[str]:
+    """Splits texts without characters after ``last`` into what ``_WORD`` finds and what is between, by classes that are looked up at once."""
+    letter, inside = (_as_ranges([p for p in range(last + 1) if re.match(c, chr(p))]) for c in (r"[^\W\d_]", r"\w"))
+    return re.compile(f"(?<![{inside}@#])([{letter}]++(?:[-'’][{letter}]++)*)(?![{inside}@])")
+
+
+_ANY_SPLITTER = re.compile(r"(?<![\w@#])([^\W\d_]++(?:[-'’][^\W\d_]++)*)(?![\w@])")
+
+
+def split_words(text: str) -> list[str]:
+    """What is before the first word, this word, what is before the next, and so on to what is after the last."""
+    return (_splitter(0x7F) if text.isascii() else _ANY_SPLITTER if _ASTRAL.search(text) else _splitter(0xFFFF)).split(text)
+
+
 _TITLE = r"(?:ms|mr|mrs|miss|dr|prof|frau|herr|hr|fr|mme|mlle|m|monsieur|madame|señora?|sra?|srta|don|doña|signora?|sig|sig\.ra|dott|senhora?|dhr|mevr|mevrouw|meneer|г-жа|г-н|госпожа|господин)"
 # Phrases after which a name stands, in the eight languages.
 _BEFORE = re.compile(
@@ -283,12 +365,18 @@ _INITIAL_AFTER = re.compile(r"\s[^\W\d_]\.(?!\w)")
 _FIRM = re.compile(r"\s(?:GmbH|AG|Ltd|LLC|Inc|BV|NV|SARL|SA|SL|SpA|S\.?r\.?l|Lda|Ltda|KG|OOO|ООО|ЗАО|ОАО)\b\.?", re.IGNORECASE)
 
 
+def _ends(phrase: str) -> set[str]:
+    """The last words of the forms of a phrase."""
+    forms = [phrase[:-4] + "o", phrase[:-4] + "a"] if phrase.endswith("[oa]") else [phrase[:-4], phrase[:-4] + "r"] if phrase.endswith("[r]?") else [phrase[:-2], phrase[:-1]] if phrase.endswith("?") else [phrase]
+    return {re.search(r"[^\W\d_]+$", form).group() for form in forms}
+
+
+_PHRASES = _BEFORE.pattern.split(r")\b|(?:^")[0].removeprefix(r"(?:\b(?:").split("|")
+_TITLE_ENDS = {word for title in _TITLE[3:-1].split("|") for word in _ends(title)}
 # The last words of these phrases and titles: no name stands after a phrase where none of them is before it.
-_LAST_WORDS = {
-    re.search(r"[^\W\d_]+$", variant).group()
-    for phrase in (*_BEFORE.pattern.split(r")\b|(?:^")[0].removeprefix(r"(?:\b(?:").split("|"), *_TITLE[3:-1].split("|"))
-    for variant in ([phrase[:-4] + "o", phrase[:-4] + "a"] if phrase.endswith("[oa]") else [phrase[:-4], phrase[:-4] + "r"] if phrase.endswith("[r]?") else [phrase[:-2], phrase[:-1]] if phrase.endswith("?") else [phrase])
-}
+_LAST_WORDS = _TITLE_ENDS | {word for phrase in _PHRASES for word in _ends(phrase)}
+#: For each of them the search that is left: one for the phrases that end in it, or after a title the whole.
+_ENDING = {word: _BEFORE if word in _TITLE_ENDS else re.compile(rf"\b(?:{'|'.join(p for p in _PHRASES if word in _ends(p))})\b[\s,:]*$", re.IGNORECASE) for word in _LAST_WORDS}
 
 
 def introduced(text: str, start: int) -> bool:
@@ -298,19 +386,30 @@ def introduced(text: str, start: int) -> bool:
         end -= 1
     if not end:
         return False
+    search = _BEFORE
     if text[end - 1] not in "->\"“«(":
         at = end
         while at and text[at - 1].isalpha():
             at -= 1
-        if text[at:end].lower() not in _LAST_WORDS:
+        search = _ENDING.get(text[at:end].lower())
+        if search is None:
             return False
-    return _BEFORE.search(text, max(0, start - 60), start) is not None
+    return search.search(text, max(0, start - 60), start) is not None
 
 
 def _pieces(word: str) -> list[str]:
     return [word] if word.isalpha() else re.split(r"[-'’]", word)
 
 
+def is_plain_word(word: str) -> bool:
+    """Whether a word is letters alone and not the last of a phrase or title."""
+    return word.isalpha() and (low := word.lower()).isalpha() and low not in _LAST_WORDS
+
+
+#: What leaves it to the word before whether a phrase ends there, and holds no end of a line.
+_PLAIN_GAPS = frozenset((" ", ", ", ". ", ": "))
+
+
 def trigrams(word: str) -> list[str]:
     s = "^^" + word + "$"
     return [s[i : i + 3] for i in range(len(s) - 2)]
@@ -364,6 +463,13 @@ class Names:
             self.models = tuple(CharModel(Counter(), sums.get(kind, {})) for kind in ("given", "family", "other"))
         self.known: dict[str, tuple[float, float]] = {}
         self.odds: dict[str, tuple[float, float]] = {}
+        self.seen = Known(self._seen)
+
+    def _seen(self, word: str) -> tuple[bool, float, float, bool, bool]:
+        """Whether a word is capitalised, its log odds as a given and as a family name, whether a name can begin with it, and
+        whether it is plain."""
+        (g, f), upper = self.like(word.lower()), word[0].isupper()
+        return upper, g, f, max(g, f) >= LIKELY or upper and g >= AFTER_PHRASE, is_plain_word(word)
 
     def _odds(self, word: str) -> tuple[float, float]:
         """Log odds of a word as a given and as a family name against any other word."""
@@ -412,49 +518,61 @@ LIKELY, SURE = 1.0, 6.0
 AFTER_PHRASE = -5.0
 
 
+_LINE_BEFORE, _SIGN_AFTER = re.compile(r"(?:^|\n)\s*$"), re.compile(r"\s*[|/;,\n]")
+
+
+def _cued(text: str, start: int, end: int) -> bool:
+    """Whether a phrase or sign introduces the word, or it stands first in a line that has a sign after it."""
+    return introduced(text, start) or _SIGN_AFTER.match(text[end : end + 3]) is not None and _LINE_BEFORE.search(text[max(0, start - 60) : start]) is not None
+
+
 def names_in(text: str, names: Names, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Spans of person names."""
-    tokens = [(m.start(), m.end(), m.group()) for m in _WORD.finditer(text)]
-    if taken:
-        tokens = [t for t in tokens if not any(a < t[1] and t[0] < b for a, b in taken)]
-    like = [names.like(t[2].lower()) for t in tokens]
+    """Spans of person names; none in those ``taken``, which are in order and apart."""
+    parts, seen = split_words(text), names.seen
+    tokens = [seen[word] for word in parts[1::2]]
+    if not any([token[3] for token in tokens]):
+        return []
+    ends = list(accumulate(map(len, parts)))
+    starts, stops = ends[:-1:2], ends[1::2]
+    for a, b in reversed(taken):
+        gone = slice(bisect_right(stops, a), bisect_left(starts, b))
+        del tokens[gone], starts[gone], stops[gone]
     out: list[tuple[int, int]] = []
-    i = 0
-    while i < len(tokens):
-        start, end, word = tokens[i]
-        g, f = like[i]
-        upper = word[0].isupper()
-        if max(g, f) < LIKELY and not (upper and g >= AFTER_PHRASE):
-            i += 1
+    free = 0
+    for i, (upper, g, f, may, _) in enumerate(tokens):
+        if not may or i < free:
             continue
-        near = i + 1 < len(tokens) and text[end : tokens[i + 1][0]] in (" ", "  ")
-        before = text[max(0, start - 60) : start]
-        cue = introduced(text, start) or bool(re.search(r"(?:^|\n)\s*$", before) and re.match(r"\s*[|/;,\n]", text[end : end + 3]))
-        if near:
-            g2, f2 = like[i + 1]
-            shown = tokens[i + 1][2]
+        start, end = starts[i], stops[i]
+        after_plain = i > 0 and tokens[i - 1][4] and text[stops[i - 1] : start] in _PLAIN_GAPS
+        cue = False if after_plain else None  # looked for only where it can matter
+        if i + 1 < len(tokens) and text[end : starts[i + 1]] in (" ", "  "):
+            upper2, g2, f2, _, _ = tokens[i + 1]
             pair = max(min(g, 40.0) + min(f2, 40.0), min(f, 40.0) + min(g2, 40.0))
-            both = min(g, f2) >= LIKELY or min(f, g2) >= LIKELY or cue and upper and g >= AFTER_PHRASE and f2 >= SURE
-            cased = upper and shown[0].isupper()
-            sure = pair >= 40 or cue and f2 >= SURE or cue and pair >= SURE or cased and pair >= 2 * SURE
-            if both and sure and (cased or cue or pair >= 80) and not _FIRM.match(text, tokens[i + 1][1]):
-                out.append((start, tokens[i + 1][1]))
-                i += 2
+            both = min(g, f2) >= LIKELY or min(f, g2) >= LIKELY
+            cased = upper and upper2
+            sure = pair >= 40 or cased and pair >= 2 * SURE
+            found = both and sure and (cased or pair >= 80)
+            if not found and cue is None and (both or upper and g >= AFTER_PHRASE and f2 >= SURE) and (sure or f2 >= SURE or pair >= SURE):
+                found = cue = _cued(text, start, end)
+            if found and not _FIRM.match(text, stops[i + 1]):
+                out.append((start, stops[i + 1]))
+                free = i + 2
                 continue
-        initial = _INITIAL_BEFORE.search(before)
-        if initial and f >= SURE and upper:
-            first = start - len(initial.group())
-            out.append((first, end))
-        elif _INITIAL_AFTER.match(text, end) and g >= SURE and upper and (cue or g == 99):
+        before = text[max(0, start - 60) : start]
+        if upper and f >= SURE and "." in before[-3:] and (initial := _INITIAL_BEFORE.search(before)):
+            out.append((start - len(initial.group()), end))
+            continue
+        if (upper or g == 99) and g >= AFTER_PHRASE and cue is None and not (upper and g == 99):
+            cue = _cued(text, start, end)
+        if upper and g >= SURE and (cue or g == 99) and _INITIAL_AFTER.match(text, end):
             end += 3
-            if i + 1 < len(tokens) and tokens[i + 1][0] == end + 1 and like[i + 1][1] >= LIKELY:
-                end = tokens[i + 1][1]
-                i += 1
+            if i + 1 < len(tokens) and starts[i + 1] == end + 1 and tokens[i + 1][2] >= LIKELY:
+                end = stops[i + 1]
+                free = i + 2
             out.append((start, end))
-        elif upper and g == 99 or cue and g >= (AFTER_PHRASE if upper and _PHRASE_BEFORE.search(before) else SURE) and (upper or g == 99) or f >= SURE and upper and _TITLE_BEFORE.search(before):
+        elif upper and g == 99 or cue and (upper or g == 99) and (g >= SURE or upper and g >= AFTER_PHRASE and _PHRASE_BEFORE.search(before)) or f >= SURE and upper and not after_plain and _TITLE_BEFORE.search(before):
             if not _FIRM.match(text, end):
                 out.append((start, end))
-        i += 1
     return out
 
 
@@ -488,15 +606,14 @@ def items(text: str | None, names: Names) -> list[tuple[int, int, str]]:
     if _email_hinted(shown, low):
         found += emails(shown)
     if _DIGIT.search(shown):
-        for m in IDENTITY.finditer(shown) if any(stem in low for stem in _PAPER_STEMS) else ():
+        for m in IDENTITY.finditer(shown) if _holds_any(low, _PAPERS_ASCII if low.isascii() else _PAPER_STEMS) else ():
             if sum(map(str.isdigit, m.group("id"))) >= 5:
                 series = _SERIES.search(shown, max(0, m.start("id") - 5), m.start("id"))
                 found.append((series.start() if series and series.start() > m.start() else m.start("id"), m.end("id"), "id_number"))
         found += [(m.start(), m.end(), "phone") for m in PHONE.finditer(shown)]
         found += [(a, b, "phone") for a, b in spelled if b - a in SPELLED_DIGITS]
-        for hint, pattern in zip(ADDRESS_HINT, ADDRESS, strict=True):
-            if any(piece in low for piece in hint):
-                found += [(m.start(), m.end(), "address") for m in pattern.finditer(shown)]
+        for pattern in address_patterns(low):
+            found += [(m.start(), m.end(), "address") for m in pattern.finditer(shown)]
     found = _apart(found)
     found += [(a, b, "name") for a, b in names_in(shown, names, [(a, b) for a, b, _ in found])]
     found = _apart(found)
@@ -547,6 +664,14 @@ def gram_sums(words_: DataFrame, weigh: Callable[[str, str, int], int]) -> dict[
     return {str(kind): dict(zip(own.gram, own.n / PARTS, strict=True)) for kind, own in rows.groupby("kind")}
 
 
+@functools.lru_cache(maxsize=2)
+def loaded(sent: bytes) -> tuple[Names, Known]:
+    """Names that were sent to a worker, with what it has found of words since, and the facts of words by their lexicon."""
+    names = pickle.loads(sent)
+    listed = names.given | names.family
+    return names, word_facts((lambda w: names.holds(w, "given") or names.holds(w, "family")) if names.listed else listed.__contains__)
+
+
 def fit_tables(names: DataFrame, texts: DataFrame) -> Names:
     """As :func:`fit`, from a table of distinct (name, kind) and one of texts, both of any size; every delivery counts."""
     spark, listed = names.sparkSession, listed_names(names)
@@ -558,23 +683,19 @@ def fit_tables(names: DataFrame, texts: DataFrame) -> Names:
     sums = gram_sums(map_batches(names.where("kind IS NOT NULL"), lower, "kind string, word string").distinct().withColumn("n", F.lit(1)), lambda kind, word, n: PARTS)
     looked_up = Names(lexicon, Counter(), listed, sums=sums)
     sent = spark.sparkContext.broadcast(pickle.dumps(looked_up))
-    held: list[Names] = []
-
-    def known() -> Names:
-        if not held:
-            held.append(pickle.loads(sent.value))
-        return held[0]
 
     def prepare(batch: pa.RecordBatch) -> pa.RecordBatch:
         """The texts in plain form with the places of words that are left out, and after them the counts of the others."""
-        shown, gone, found = [], [], Counter()
-        own = known()
-        holds = (lambda w: own.holds(w, "given") or own.holds(w, "family")) if own.listed else (own.given | own.family).__contains__
-        for text in batch.column(0).to_pylist():
-            plain_, tokens, hidden = parted(text, holds)
-            shown.append(plain_)
-            gone.append(np.array(sorted(hidden), np.int32).tobytes())
-            found.update(w for i, t in enumerate(tokens) if i not in hidden for w in _pieces(t[2]))
+        shown, gone, facts = [], [], loaded(sent.value)[1]
+
+        def rows() -> Iterator[tuple[str, list[str], set[int]]]:
+            for text in batch.column(0).to_pylist():
+                row = parted(text, facts)
+                shown.append(row[0])
+                gone.append(np.array(sorted(row[2]), np.int32).tobytes())
+                yield row
+
+        found = count_shown(rows())
         columns = (shown, pa.string()), (gone, pa.binary()), (list(found), pa.string()), (list(found.values()), pa.int64())
         return pa.RecordBatch.from_arrays([pa.array([None] * (k > 1) * len(shown) + x + [None] * (k < 2) * len(found), kind) for k, (x, kind) in enumerate(columns)], names=["shown", "hidden", "word", "n"])
 
@@ -584,25 +705,23 @@ def fit_tables(names: DataFrame, texts: DataFrame) -> Names:
     counts = cut(both.where("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("n")))
 
     def weigh(kind: str, word: str, n: int) -> int:
-        return 0 if known().holds(word, "given") or known().holds(word, "family") else round(PARTS * (1 + math.log(n)))
+        names = loaded(sent.value)[0]
+        return 0 if names.holds(word, "given") or names.holds(word, "family") else round(PARTS * (1 + math.log(n)))
 
     def fitted_to(counts: DataFrame) -> Names:
         common = {r.word: r.n for r in counts.where(F.col("n") >= common_from(size)).collect()}
         return Names(lexicon, Counter(common), listed, size, sums | gram_sums(counts.withColumn("kind", F.lit("other")), weigh))
 
     first = spark.sparkContext.broadcast(pickle.dumps(fitted_to(counts)))
-    holder: list[Names] = []
 
     def name_words(batch: pa.RecordBatch) -> pa.RecordBatch:
         """The words that were counted and stand in names that the first fit finds."""
-        if not holder:
-            holder.append(pickle.loads(first.value))
-        found: Counter = Counter()
+        names, found = loaded(first.value)[0], Counter()
         for shown, hidden in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            spans = names_in(shown, holder[0], [])
+            spans = names_in(shown, names, [])
             if spans:
-                gone = set(np.frombuffer(hidden, np.int32).tolist())
-                found.update(w for i, m in enumerate(_WORD.finditer(shown)) if i not in gone and any(a <= m.start() < b for a, b in spans) for w in _pieces(m.group().lower()))
+                gone, parts = set(np.frombuffer(hidden, np.int32).tolist()), split_words(shown)
+                found.update(w for i in in_names(parts, spans) if i not in gone for w in _pieces(parts[2 * i + 1].lower()))
         return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["word", "gone"])
 
     gone = map_batches(prepared, name_words, "word string, gone bigint").groupBy("word").agg(F.sum("gone").alias("gone"))
@@ -626,51 +745,73 @@ def listed_names(names: DataFrame) -> dict[str, np.ndarray]:
     return {str(kind): np.sort(own.hash.to_numpy(np.int64).view(np.uint64)) for kind, own in rows.groupby("kind")}
 
 
-def parted(text: str, holds: Callable[[str], bool]) -> tuple[str, list[tuple[int, int, str]], set[int]]:
+def word_facts(holds: Callable[[str], bool]) -> Known:
+    """Of a word: 1 if it is not plain, and 2 more if the lexicon ``holds`` its first piece."""
+    return Known(lambda word: (not is_plain_word(word)) + 2 * bool(holds(_pieces(word.lower())[0])))
+
+
+def parted(text: str, facts: Known) -> tuple[str, list[str], set[int]]:
     """A text in plain form without email addresses, its words, and which of them stand where names do: after a phrase that
-    introduces one, or beside a word that the lexicon ``holds``."""
+    introduces one, or beside a word of the lexicon."""
     shown = rewritten(text)[0]
     for a, b, _ in reversed(emails(shown) if _email_hinted(shown, shown.lower()) else []):
         shown = shown[:a] + " " + shown[b:]
-    tokens = [(m.start(), m.end(), m.group().lower()) for m in _WORD.finditer(shown)]
+    parts = split_words(shown)
+    words = parts[1::2]
     hidden: set[int] = set()
-    last, before = -1, ""
-    for i, (start, end, word) in enumerate(tokens):
-        # after a blank and a plain word, that word alone tells whether to look
-        if (start - last != 1 or shown[last] != " " or not before.isalpha() or before in _LAST_WORDS) and introduced(shown, start):
-            hidden |= {i, i + 1}
-        if holds(word if word.isalpha() else _pieces(word)[0]):
+    if not words:
+        return shown, words, hidden
+    starts = list(accumulate(map(len, parts)))[:-1:2]
+    if introduced(shown, starts[0]):
+        hidden |= {0, 1}
+    for i, gap, fact in [x for x in zip(range(len(words)), parts[2::2], map(facts.__getitem__, words), strict=True) if x[2] or x[1] not in _PLAIN_GAPS]:
+        if fact & 2:
             hidden |= {i - 1, i + 1}
-        last, before = end, word
-    return shown, tokens, hidden
+        # after a plain word and a plain gap no phrase ends
+        if (fact & 1 or gap not in _PLAIN_GAPS) and i + 1 < len(words) and introduced(shown, starts[i + 1]):
+            hidden |= {i + 1, i + 2}
+    return shown, words, hidden
 
 
-def fit(lexicon: list[tuple[str, str]], texts: list[str], more: dict[str, np.ndarray] | None = None) -> Names:
-    """Names from (name, kind) and texts. Words that stand where names do are left out of the other words."""
-    listed = {n.lower() for n, _ in lexicon}
-    rows = [parted(text, listed.__contains__) for text in texts]
+def count_shown(rows: Iterable[tuple[str, list[str], set[int]]]) -> Counter:
+    """How often the pieces of the words stand in parted texts, in lower case and where no name does."""
+    whole: Counter = Counter()
+    for _, words, hidden in rows:
+        whole.update(words)
+        whole.subtract([words[i] for i in hidden if 0 <= i < len(words)])
+    found: Counter = Counter()
+    for word, n in whole.items():
+        for piece in _pieces(word.lower()) if n else ():
+            found[piece] += n
+    return found
+
 
-    def fitted_to() -> Names:
-        return Names(lexicon, Counter(w for _, tokens, hidden in rows for i, t in enumerate(tokens) if i not in hidden for w in _pieces(t[2])), more, len(texts))
+def in_names(parts: list[str], names: list[tuple[int, int]]) -> set[int]:
+    """Which words of a split text begin in spans, which may share some."""
+    starts = list(accumulate(map(len, parts)))[:-1:2]
+    return {i for a, b in names for i in range(bisect_left(starts, a), bisect_left(starts, b))}
 
-    names = fitted_to()
-    for shown, tokens, hidden in rows:  # names that the first fit finds are no other words in the second
-        spans = names_in(shown, names, [])
-        hidden |= {i for i, t in enumerate(tokens) if any(a <= t[0] < b for a, b in spans)}
-    return fitted_to()
+
+def fit(lexicon: list[tuple[str, str]], texts: list[str], more: dict[str, np.ndarray] | None = None) -> Names:
+    """Names from (name, kind) and texts. Words that stand where names do are left out of the other words."""
+    facts = word_facts({n.lower() for n, _ in lexicon}.__contains__)
+    rows = [parted(text, facts) for text in texts]
+    names = Names(lexicon, count_shown(rows), more, len(texts))
+    for shown, _, hidden in rows:  # names that the first fit finds are no other words in the second
+        if spans := names_in(shown, names, []):
+            hidden.update(in_names(split_words(shown), spans))
+    return Names(lexicon, count_shown(rows), more, len(texts))
 
 
 def find_items(df: DataFrame, keep: list[str], text: str, names: Names) -> DataFrame:
     """Columns ``keep`` with kind, start_pos and end_pos, one row for each item in column ``text``."""
     sent = df.sparkSession.sparkContext.broadcast(pickle.dumps(names))  # its size follows from the lexicon and the alphabets
-    holder: list[Names] = []
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        if not holder:
-            holder.append(pickle.loads(sent.value))
+        names = loaded(sent.value)[0]
         take, rows = [], []
         for i, t in enumerate(batch.column(batch.schema.get_field_index(text)).to_pylist()):
-            for item in items(t, holder[0]):
+            for item in items(t, names):
                 take.append(i)
                 rows.append(item)
         kept = batch.select(keep).take(pa.array(take, pa.int64()))
@@ -693,12 +834,10 @@ def p3_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text with its items replaced."""
     df, names = fields(spark, sf_dir, _FIELDS), fitted(spark, sf_dir)
     sent = spark.sparkContext.broadcast(pickle.dumps(names))
-    holder: list[Names] = []
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        if not holder:
-            holder.append(pickle.loads(sent.value))
-        new = pa.array([redacted(t, holder[0]) for t in batch.column(3).to_pylist()], pa.string())
+        names = loaded(sent.value)[0]
+        new = pa.array([redacted(t, names) for t in batch.column(3).to_pylist()], pa.string())
         return pa.RecordBatch.from_arrays([*batch.columns[:3], new], names=["src", "id", "field", "redacted"])
 
     return map_batches(df, run, "src string, id string, field string, redacted string").distinct()

@@ -390,6 +390,28 @@ def test_introduced_is_the_search():
             assert p3_personal.introduced(text, at) == bool(p3_personal._BEFORE.search(text, max(0, at - 60), at)), (text, at)
 
 
+def test_little_is_done_where_no_name_can_stand(names, monkeypatch):
+    """A phrase is looked for only before words that it can matter for, and a word met before is not scored again."""
+    text = "Zork told the Reviewer and Zelmergo Bricath that Polvimer, Glue and Paper went to Zork."
+    want = p3_personal.names_in(text, names, [])
+    scored, looked = [], []
+    like, introduced = names.like, p3_personal.introduced
+    monkeypatch.setattr(names, "like", lambda word: scored.append(word) or like(word))
+    monkeypatch.setattr(p3_personal, "introduced", lambda text, start: looked.append(start) or introduced(text, start))
+    assert p3_personal.names_in(text, names, []) == want
+    assert not scored and set(looked) <= {0}
+
+
+def test_words_and_hints_are_those_of_the_plain_search():
+    rng = random.Random(4)
+    pool = ["Name", "o'Neil", "Anne-Marie’s", "x²", "a_b", "#tag", "@at", "a@b", "12", "é", "Ж", "中文", "\U0001d400x", "😀", "-", "’", "ß9", "Ünal", *(x for hint in p3_personal.ADDRESS_HINT for x in hint)]
+    for _ in range(3000):
+        text = "".join(rng.choice(pool) + rng.choice(["", " ", " ", ", ", "\n"]) for _ in range(rng.randrange(6)))
+        parts, low = p3_personal.split_words(text), text.lower()
+        assert "".join(parts) == text and parts[1::2] == p3_personal._WORD.findall(text), text
+        assert p3_personal.address_patterns(low) == [p for hint, p in zip(p3_personal.ADDRESS_HINT, p3_personal.ADDRESS, strict=True) if any(x in low for x in hint)], text
+
+
 def test_items_in_tables(spark, names):
     df = spark.createDataFrame([("s", "1", None), ("s", "2", ""), ("s", "3", "mail a@b.test"), ("s", "3", "mail a@b.test"), ("s", "4", LONG)], "kind string, id string, text string").withColumnRenamed("kind", "src")
     out = p3_personal.find_items(df, ["src", "id"], "text", names).collect()
