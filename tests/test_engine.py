@@ -314,3 +314,56 @@ def test_prerank_query_draws_from_all_channels(spark, tmp_path):
     spark.createDataFrame([(1, "unbelievable"), (2, "zzz qqq"), (3, "believably done"), (4, None)], "doc_id bigint, text string").write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame([(7, "believable")], "item_id bigint, text string").write.parquet(f"{path}/benchmark.parquet")
     assert sorted((r["query"], r["id"]) for r in catalogue.queries()["idx_prerank"](spark, path).collect()) == [(7, 1), (7, 3)]
+
+
+def _some_pairs():
+    import random
+
+    rng = random.Random(5)
+    alphabets = ["ab", "abcdefgh ", "abcdéжю日本語😀 ", "abcdefghijklmnopqrstuvwxyz 0123"]
+    make = lambda: "".join(rng.choices(rng.choice(alphabets), k=rng.choice([0, 1, 2, 3, 20, 63, 64, 65, 127, 128, 129, 200])))
+
+    def changed(text):
+        for _ in range(rng.randrange(8)):
+            at = rng.randrange(len(text) + 1)
+            text = rng.choice([text[:at] + text[at + 1 :], text[:at] + "é" + text[at:], text[:at] + text[at : at + 2][::-1] + text[at + 2 :]])
+        return text
+
+    firsts = [make() for _ in range(400)]
+    return [(a, changed(a) if i % 2 else make()) for i, a in enumerate(firsts)] + [("a" * 2_000, "b" + "a" * 1_990)]
+
+
+def test_many_pairs_at_once_as_one_by_one():
+    from quillmesh.functions import distance, many, sounds
+
+    pairs = _some_pairs()
+    single = [distance.character_folded(a, b)["combined"] for a, b in pairs]
+    assert np.allclose(many.character_many(pairs), single, atol=1e-12)
+    assert many.edits_many(pairs) == [distance.levenshtein_text(a, b) for a, b in pairs]
+    own = list(dict.fromkeys(t for pair in pairs for t in pair))
+    one, two, three, lengths = many.character_counts(own)
+    x, y = (np.array([own.index(p[k]) for p in pairs]) for k in (0, 1))
+    shared = lambda counts: np.minimum(counts[x], counts[y]).sum(axis=1, dtype=int)
+    assert (many.character_bounds(shared(one), lengths[x], lengths[y], shared(two), shared(three)) >= np.where(x == y, 0, single) - 1e-9).all()  # equal ones are not asked for
+    spoken = [(sounds.sounds_of(a), 0.65, sounds.sounds_of(b), 0.35) for a, b in pairs]
+    assert np.allclose(many.sounds_many([(sounds.as_letters(a), ca, sounds.as_letters(b), cb) for a, ca, b, cb in spoken]), [sounds.sound_similarity(*p) for p in spoken], atol=1e-9)
+    assert many.character_many([]) == many.sounds_many([]) == []
+
+
+def test_readings_of_pairs_are_compared_at_once(monkeypatch):
+    from quillmesh.functions import rebus
+
+    lexicon, settings = packs.load(), evidence.Settings()
+    pairs = [("gr8 2 c u 4 ever m8", "great to see you for ever mate"), ("I ❤ u", "i love you"), ("", "a b"), ("w1n 4 pr1z3 n0w", "win a prize now"), ("привет мир", "privet mir"), ("a b c", "a x c")]
+    sides = [(evidence.Side(a, lexicon, settings), evidence.Side(b, lexicon, settings)) for a, b in pairs]
+    single = [evidence.decoded_overlap(*(evidence.graded(s.text, lexicon) for s in pair)) for pair in sides]
+    found = [rebus.decode_text(s.text, lexicon) for pair in sides for s in pair]
+    one_by_one = []
+    for module, name in ((evidence, "character_folded"), (evidence, "decode_text"), (rebus, "sound_similarity")):
+        monkeypatch.setattr(module, name, lambda *x, name=name, f=getattr(module, name): one_by_one.append(name) or f(*x))
+    evidence.prepare([s for pair in sides for s in pair])
+    compared = evidence.Compared(sides)
+    assert np.allclose([evidence.channels(*pair, compared)["decoded"] for pair in sides], single, atol=1e-9)
+    assert one_by_one.count("decode_text") == 0 and one_by_one.count("sound_similarity") == 0 and len(one_by_one) <= 10
+    again = rebus.decode_texts([s.text for pair in sides for s in pair], lexicon)
+    assert [[(r["text"], round(r["score"], 9), r["steps"]) for r in rs] for rs in again] == [[(r["text"], round(r["score"], 9), r["steps"]) for r in rs] for rs in found]
