@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quillmesh import cli
 from quillmesh.config import ConfigurationError, EngineConfig
 from quillmesh.engine import CHANNELS, TextEngine
+from quillmesh.functions import tables as T
 from quillmesh.operators import decide, evidence, measures, retrieval, scoring
 from quillmesh.sources import datasets, packs
 from quillmesh.streaming import jobs
@@ -367,3 +368,12 @@ def test_readings_of_pairs_are_compared_at_once(monkeypatch):
     assert one_by_one.count("decode_text") == 0 and one_by_one.count("sound_similarity") == 0 and len(one_by_one) <= 10
     again = rebus.decode_texts([s.text for pair in sides for s in pair], lexicon)
     assert [[(r["text"], round(r["score"], 9), r["steps"]) for r in rs] for rs in again] == [[(r["text"], round(r["score"], 9), r["steps"]) for r in rs] for rs in found]
+
+
+def test_duplicates_need_the_channels_alone(spark):
+    engine = TextEngine(spark)
+    pairs = spark.createDataFrame([("1", "Win a prize now", "W1n a pr1ze n0w"), ("2", "a", None), ("3", "see you", "see  YOU"), ("4", "hello", "x" * 9_000), ("5", "quick brown fox", "lazy dog")], "id string, a string, b string")
+    whole, alone = engine.duplicates(pairs), engine.duplicates(pairs, between=False)
+    assert set(T.CHANNELS) <= set(alone.columns) and not {"trained", "language_agreement", *T.PAIR_FEATURES} & set(alone.columns)
+    seen = lambda df: sorted(tuple(r) for r in df.select("id", "duplicate", F.round("duplicate_score", 9), "reason", *T.CHANNELS).collect())
+    assert str(seen(whole)) == str(seen(alone))
